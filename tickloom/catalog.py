@@ -122,7 +122,7 @@ def indicators_all(spark, d):
 @query
 def supplier_bars_indicators(spark, d):
     done = ind.compute_indicators(src.supplier_bars(spark, d))
-    return shown(done, "ticker", "bar_ts", "close", "vwap", "rsi_14", "macd", "macd_signal", "bb_upper", "atr_14", "sma_50", digits=4)
+    return shown(done, "ticker", "bar_ts", "close", "vwap", "rsi_14", "macd", "macd_signal", "bb_upper", "atr_14", "sma_50", digits=3)
 
 
 # --- selections, checks, positions -------------------------------------------------------------------

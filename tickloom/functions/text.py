@@ -34,10 +34,12 @@ def clamp_enum(x: Column | str, allowed: Sequence[str], default: str) -> Column:
     return F.when(upper.isin(list(allowed)), upper).otherwise(F.lit(default))
 
 
-def row_key(ticker: Column | str, ts: Column | str, cycle: Column | str) -> Column:
-    """Ledger key made from the row itself, so that a retried task writes the same key."""
-    at = F.date_format(_col(ts), "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return F.sha2(F.concat_ws(":", _col(ticker), at, _col(cycle)), 256)
+# Ledger key made from the row itself, so that a retried task writes the same key.
+ROW_KEY_SQL = "sha2(concat_ws(':', ticker, date_format(bar_ts, 'yyyy-MM-dd HH:mm:ss.SSSSSS'), cycle_id), 256)"
+
+
+def row_key() -> Column:
+    return F.expr(ROW_KEY_SQL)
 
 
 def sample_index(cycle_id: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.functions.scoring import resolved, short_ticker
 from tickloom.operators.replay import scored
-from tickloom.plans.blocks import SeriesBlocks
+from tickloom.plans.blocks import SeriesBlocks, trailing
 from tickloom.plans.ranking import number_rows
 from tickloom.schema import CONFIDENCES, DIRECTIONS
 
@@ -201,15 +201,13 @@ def rolling_accuracy(df: DataFrame, window: int | str = 20, min_periods: int = 1
     rows = prediction_index(scored(df, include_expired), by)
     good = F.col("prediction_accuracy").cast("long")
     if window != "auto":
+        helpers = () if by else ("_all",)
         rows, key = _keyed(rows, by)
         b = SeriesBlocks(rows, back=window - 1, size=size or max(4096, 4 * window), key=key, ts="timestamp")
-        frame = b.trailing(window)
-        return b.add(
-            _n=F.count(good).over(frame),
-            _s=F.sum(good).over(frame),
-        ).add(
-            rolling_accuracy_pct=F.when(F.col("_n") >= min_periods, F.col("_s") / F.col("_n") * 100)
-        ).own("_n", "_s", "_all")
+        hits, frame = "bigint(prediction_accuracy)", trailing(window)
+        b.add(_n=b.over(f"count({hits})", frame), _s=b.over(f"sum({hits})", frame))
+        b.add(rolling_accuracy_pct=f"CASE WHEN _n >= {min_periods} THEN _s / _n * 100 END")
+        return b.own("_n", "_s", *helpers)
 
     rows, key = _keyed(rows, by)
     width = F.greatest(F.lit(20), F.floor(F.col("series_len") / 15))
@@ -238,5 +236,6 @@ def centered_ma(df: DataFrame, column: str, size: int, by: str | None = None) ->
     behind, ahead = size // 2, size - size // 2 - 1
     rows, key = _keyed(df, by)
     b = SeriesBlocks(rows, back=behind, ahead=ahead, size=max(4096, 4 * size), key=key, ts="timestamp")
-    mean = F.avg(column).over(b.window.rowsBetween(-behind, ahead))
-    return b.add(centered_ma=mean).own("_all")
+    around = f"ROWS BETWEEN {behind} PRECEDING AND {ahead} FOLLOWING"
+    helpers = () if by else ("_all",)
+    return b.add(centered_ma=b.over(f"avg(`{column}`)", around)).own(*helpers)

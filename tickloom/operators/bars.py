@@ -90,11 +90,9 @@ def systematic_sample(bars: DataFrame, start: int = SAMPLE_START, step: int = SA
 
 def bar_returns(bars: DataFrame) -> DataFrame:
     """Previous close and simple return of each bar."""
-    blocks = SeriesBlocks(bars, back=1)
-    prev = F.lag("close").over(blocks.window)
-    return blocks.add(prev_close=prev).add(
-        simple_return=F.try_divide(F.col("close") - F.col("prev_close"), F.col("prev_close"))
-    ).own()
+    b = SeriesBlocks(bars, back=1)
+    b.add(prev_close=b.over("lag(close)"))
+    return b.add(simple_return="try_divide(close - prev_close, prev_close)").own()
 
 
 def latest_per_key(df: DataFrame, key: str = "ticker", ts: str = "bar_ts") -> DataFrame:

@@ -12,7 +12,9 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tickloom.plans.blocks import SeriesBlocks, block_size, forget_rows, index_series, with_day
+from tickloom.plans.blocks import (
+    SeriesBlocks, block_size, forget_rows, index_series, real, replace_columns, trailing, with_day,
+)
 from tickloom.schema import INDICATOR_COLUMNS, MIN_HISTORY_ROWS
 
 RSI_N = ATR_N = 14
@@ -42,74 +44,66 @@ def vwap(bars: DataFrame) -> DataFrame:
     return add_vwap(bars).drop("_day")
 
 
-class _Plan:
-    """How many earlier rows the requested indicators need, and the slices for them."""
-
-    def __init__(self, bars: DataFrame, alphas: Sequence[float], rows: int, lead_in: int, ahead: int = 0,
-                 size: int | None = None):
-        back = max([rows, *[rows + forget_rows(a) for a in alphas]])
-        size = size or block_size(list(alphas), back, lead_in)
-        self.blocks = SeriesBlocks(bars, back=back, ahead=ahead, size=size)
+def _slices(bars: DataFrame, alphas: Sequence[float], rows: int, lead_in: int, size: int | None) -> SeriesBlocks:
+    """Slices with enough earlier rows for the given smoothing factors on top of ``rows``."""
+    back = rows + max([0, *[forget_rows(a) for a in alphas]])
+    return SeriesBlocks(bars, back=back, size=size or block_size(list(alphas), back, lead_in))
 
 
-def _true_range(b: SeriesBlocks) -> SeriesBlocks:
-    b.add(_pc=F.lag("close").over(b.window))
-    spans = [F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")),
-             F.abs(F.col("low") - F.col("_pc"))]
-    return b.add(true_range=F.when(F.col("_pc").isNotNull(), F.greatest(*spans)))
+_PREV = "lag(close)"
+_TRUE_RANGE = (
+    "CASE WHEN _pc IS NOT NULL THEN greatest(high - low, abs(high - _pc), abs(low - _pc)) END"
+)
+_RSI = "try_divide(_gain, _gain + _loss) * 100"
 
 
-def _rsi_columns(b: SeriesBlocks, n: int):
-    change = F.col("close") - F.col("_pc")
-    gain = b.smooth(F.greatest(change, F.lit(0.0)), rma_alpha(n), n, first=1, seed="first")
-    loss = b.smooth(F.greatest(-change, F.lit(0.0)), rma_alpha(n), n, first=1, seed="first")
-    return {"_gain": gain, "_loss": loss}
+def _rsi_pair(b: SeriesBlocks, n: int) -> dict[str, str]:
+    up, down = "greatest(close - _pc, 0)", "greatest(_pc - close, 0)"
+    return {
+        "_gain": b.smooth(up, rma_alpha(n), n, first=1, seed="first"),
+        "_loss": b.smooth(down, rma_alpha(n), n, first=1, seed="first"),
+    }
 
 
-def _rsi_of_pair():
-    return F.try_divide(F.col("_gain"), F.col("_gain") + F.col("_loss")) * 100
+def _atr(b: SeriesBlocks, n: int) -> str:
+    return b.smooth("true_range", rma_alpha(n), n, first=1, seed="first")
 
 
-def _bollinger_columns(b: SeriesBlocks, n: int, ddof: int):
-    frame = b.trailing(n)
-    std = F.stddev_samp("close") if ddof else F.stddev_pop("close")
-    return {"_mid": F.avg("close").over(frame), "_dev": std.over(frame)}
+def _bollinger_pair(b: SeriesBlocks, n: int, ddof: int) -> dict[str, str]:
+    std = "stddev_samp(close)" if ddof else "stddev_pop(close)"
+    return {"_mid": b.over("avg(close)", trailing(n)), "_dev": b.over(std, trailing(n))}
 
 
-def _bollinger_bands(n: int, k: float):
-    full = F.col("series_idx") >= n - 1
-    mid, dev = F.col("_mid"), F.col("_dev") * k
+def _bollinger_bands(n: int, k: float) -> dict[str, str]:
+    full = f"CASE WHEN series_idx >= {n - 1} THEN"
     return {
-        "bb_lower": F.when(full, mid - dev),
-        "bb_middle": F.when(full, mid),
-        "bb_upper": F.when(full, mid + dev),
+        "bb_lower": f"{full} _mid - _dev * {real(k)} END",
+        "bb_middle": f"{full} _mid END",
+        "bb_upper": f"{full} _mid + _dev * {real(k)} END",
     }
 
 
+def _sma(b: SeriesBlocks, n: int) -> str:
+    return f"CASE WHEN series_idx >= {n - 1} THEN {b.mean_from_pair('close', n)} END"
+
+
 def true_range(bars: DataFrame) -> DataFrame:
-    return _true_range(SeriesBlocks(bars, back=1)).own("_pc")
+    b = SeriesBlocks(bars, back=1)
+    return b.add(_pc=b.over(_PREV)).add(true_range=_TRUE_RANGE).own("_pc")
 
 
 def rsi(bars: DataFrame, n: int = RSI_N, size: int | None = None) -> DataFrame:
-    b = _Plan(bars, [rma_alpha(n)], 1, n, size=size).blocks
-    b.add(_pc=F.lag("close").over(b.window)).add(**_rsi_columns(b, n)).add(**{f"rsi_{n}": _rsi_of_pair()})
+    b = _slices(bars, [rma_alpha(n)], 1, n, size)
+    b.add(_pc=b.over(_PREV)).add(**_rsi_pair(b, n)).add(**{f"rsi_{n}": _RSI})
     return b.own("_pc", "_gain", "_loss")
 
 
 def atr(bars: DataFrame, n: int = ATR_N, size: int | None = None) -> DataFrame:
-    b = _true_range(_Plan(bars, [rma_alpha(n)], 1, n, size=size).blocks)
-    b.add(**{f"atr_{n}": b.smooth(F.col("true_range"), rma_alpha(n), n, first=1, seed="first")})
+    b = _slices(bars, [rma_alpha(n)], 1, n, size)
+    b.add(_pc=b.over(_PREV)).add(true_range=_TRUE_RANGE).add(**{f"atr_{n}": _atr(b, n)})
     return b.own("_pc", "true_range")
 
 
-def _macd(b: SeriesBlocks, fast: int, slow: int, signal: int) -> SeriesBlocks:
-    close = F.col("close")
-    b.add(_fast=b.smooth(close, ema_alpha(fast), fast), _slow=b.smooth(close, ema_alpha(slow), slow))
-    b.add(macd=F.col("_fast") - F.col("_slow"))
-    b.add(macd_signal=b.smooth(F.col("macd"), ema_alpha(signal), signal, first=max(fast, slow) - 1))
-    return b.add(macd_hist=F.col("macd") - F.col("macd_signal"))
-
-
 def _macd_back(fast: int, slow: int, signal: int) -> int:
     """Rows for the slower average to settle, then for the signal line on top of it."""
     return max(forget_rows(ema_alpha(fast)), forget_rows(ema_alpha(slow))) + forget_rows(ema_alpha(signal))
@@ -119,52 +113,46 @@ def macd(bars: DataFrame, fast: int = MACD_FAST, slow: int = MACD_SLOW, signal:
          size: int | None = None) -> DataFrame:
     alphas = [ema_alpha(n) for n in (fast, slow, signal)]
     back = _macd_back(fast, slow, signal)
-    size = size or block_size(alphas, back, slow + signal)
-    return _macd(SeriesBlocks(bars, back=back, size=size), fast, slow, signal).own("_fast", "_slow")
+    b = SeriesBlocks(bars, back=back, size=size or block_size(alphas, back, slow + signal))
+    b.add(_fast=b.smooth("close", alphas[0], fast), _slow=b.smooth("close", alphas[1], slow))
+    b.add(macd="_fast - _slow")
+    b.add(macd_signal=b.smooth("macd", alphas[2], signal, first=max(fast, slow) - 1))
+    return b.add(macd_hist="macd - macd_signal").own("_fast", "_slow")
 
 
 def bollinger(bars: DataFrame, n: int = BB_N, k: float = BB_K, ddof: int = 1) -> DataFrame:
     b = SeriesBlocks(bars, back=n - 1)
-    return b.add(**_bollinger_columns(b, n, ddof)).add(**_bollinger_bands(n, k)).own("_mid", "_dev")
-
-
-def _sma(b: SeriesBlocks, lengths: Sequence[int]) -> SeriesBlocks:
-    b.running_pair(F.col("close"), "close")
-    out = {}
-    for n in lengths:
-        mean, _ = b.mean_from_pair("close", n)
-        out[f"sma_{n}"] = F.when(F.col("series_idx") >= n - 1, mean)
-    return b.add(**out)
+    return b.add(**_bollinger_pair(b, n, ddof)).add(**_bollinger_bands(n, k)).own("_mid", "_dev")
 
 
 def sma(bars: DataFrame, *lengths: int) -> DataFrame:
     lengths = lengths or SMA_LENGTHS
     back = max(lengths)
     b = SeriesBlocks(bars, back=back, size=block_size([], back))
-    return _sma(b, lengths).own("_close_s", "_close_c")
-
-
-def _generic(bars: DataFrame, col: str, out: str, alpha: float, n: int, seed: str, size: int | None):
-    b = _Plan(bars, [alpha], 0, n, size=size).blocks
-    return b.add(**{out: b.smooth(F.col(col).cast("double"), alpha, n, seed=seed)}).own()
+    b.add(**b.running_pair("close", "close")).add(**{f"sma_{n}": _sma(b, n) for n in lengths})
+    return b.own("_close_s", "_close_c")
 
 
 def ema(bars: DataFrame, col: str, n: int, size: int | None = None) -> DataFrame:
     """Exponential average of a non-null column, started with the mean of the first n values."""
-    return _generic(bars, col, f"ema_{n}", ema_alpha(n), n, "sma", size)
+    b = _slices(bars, [ema_alpha(n)], 0, n, size)
+    return b.add(**{f"ema_{n}": b.smooth(f"double(`{col}`)", ema_alpha(n), n)}).own()
 
 
 def rma(bars: DataFrame, col: str, n: int, size: int | None = None) -> DataFrame:
     """Wilder average of a non-null column, started with the first value."""
-    return _generic(bars, col, f"rma_{n}", rma_alpha(n), n, "first", size)
+    b = _slices(bars, [rma_alpha(n)], 0, n, size)
+    return b.add(**{f"rma_{n}": b.smooth(f"double(`{col}`)", rma_alpha(n), n, seed="first")}).own()
 
 
 def min_history_gate(df: DataFrame, rows: int = MIN_HISTORY_ROWS,
                      columns: Sequence[str] = INDICATOR_COLUMNS) -> DataFrame:
     """Nulls in all indicator columns of series shorter than ``rows``."""
     df = index_series(df)
-    enough = F.col("series_len") >= rows
-    return df.withColumns({c: F.when(enough, F.col(c)) for c in columns if c in df.columns})
+    have = df.columns
+    return replace_columns(
+        df, {c: f"CASE WHEN series_len >= {rows} THEN `{c}` END" for c in columns if c in have}
+    )
 
 
 # Rows the indicator columns look back, in total.
@@ -172,8 +160,9 @@ INDICATOR_BACK = max(
     _macd_back(MACD_FAST, MACD_SLOW, MACD_SIGNAL), forget_rows(rma_alpha(RSI_N)) + 1, max(SMA_LENGTHS)
 )
 _ALPHAS = [rma_alpha(RSI_N), ema_alpha(MACD_FAST), ema_alpha(MACD_SLOW), ema_alpha(MACD_SIGNAL)]
-_HELPERS = ("_pc", "_gain", "_loss", "_fast", "_slow", "_close_s", "_close_c", "true_range",
-            "_mid", "_dev")
+HELPERS = (
+    "_pc", "true_range", "_gain", "_loss", "_fast", "_slow", "_mid", "_dev", "_close_s", "_close_c"
+)
 
 
 def indicator_blocks(bars: DataFrame, extra_back: int = 0, ahead: int = 0,
@@ -182,38 +171,32 @@ def indicator_blocks(bars: DataFrame, extra_back: int = 0, ahead: int = 0,
     back = INDICATOR_BACK + extra_back
     size = size or block_size(_ALPHAS, back, max(SMA_LENGTHS))
     b = SeriesBlocks(index_series(add_vwap(bars)), back=back, ahead=ahead, size=size)
-    _true_range(b)
-    close = F.col("close")
+    b.add(_pc=b.over(_PREV)).add(true_range=_TRUE_RANGE)
+    b.add(
+        **_rsi_pair(b, RSI_N),
+        _fast=b.smooth("close", ema_alpha(MACD_FAST), MACD_FAST),
+        _slow=b.smooth("close", ema_alpha(MACD_SLOW), MACD_SLOW),
+        atr_14=_atr(b, ATR_N),
+        **_bollinger_pair(b, BB_N, 1),
+        **b.running_pair("close", "close"),
+    )
+    b.add(rsi_14=_RSI, macd="_fast - _slow", **_bollinger_bands(BB_N, BB_K))
     b.add(
-        **_rsi_columns(b, RSI_N),
-        _fast=b.smooth(close, ema_alpha(MACD_FAST), MACD_FAST),
-        _slow=b.smooth(close, ema_alpha(MACD_SLOW), MACD_SLOW),
-        **{f"atr_{ATR_N}": b.smooth(F.col("true_range"), rma_alpha(ATR_N), ATR_N, first=1, seed="first")},
-        **_bollinger_columns(b, BB_N, 1),
-        _close_s=F.sum("close").over(b.running),
-        _close_c=F.count("close").over(b.running),
+        macd_signal=b.smooth("macd", ema_alpha(MACD_SIGNAL), MACD_SIGNAL, first=MACD_SLOW - 1),
+        **{f"sma_{n}": _sma(b, n) for n in SMA_LENGTHS},
     )
-    means = {}
-    for n in SMA_LENGTHS:
-        mean, _ = b.mean_from_pair("close", n)
-        means[f"sma_{n}"] = F.when(F.col("series_idx") >= n - 1, mean)
-    b.add(**{f"rsi_{RSI_N}": _rsi_of_pair()}, **_bollinger_bands(BB_N, BB_K), macd=F.col("_fast") - F.col("_slow"))
-    b.add(macd_signal=b.smooth(F.col("macd"), ema_alpha(MACD_SIGNAL), MACD_SIGNAL, first=MACD_SLOW - 1), **means)
-    b.add(macd_hist=F.col("macd") - F.col("macd_signal"))
-    return b
+    return b.add(macd_hist="macd - macd_signal")
 
 
 def compute_indicators(bars: DataFrame, display: bool = False, min_rows: int = MIN_HISTORY_ROWS,
                        size: int | None = None) -> DataFrame:
     """All indicators; null for series shorter than ``min_rows``. ``display`` rounds to 2 places."""
-    done = min_history_gate(indicator_blocks(bars, size=size).own(*_HELPERS), min_rows)
-    if display:
-        done = done.withColumns({c: F.round(c, 2) for c in INDICATOR_COLUMNS})
-    return done
+    done = min_history_gate(indicator_blocks(bars, size=size).own(*HELPERS), min_rows)
+    return replace_columns(done, {c: f"round({c}, 2)" for c in INDICATOR_COLUMNS}) if display else done
 
 
 def drop_warmup(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("rsi_14").isNotNull())
+    return df.where("rsi_14 IS NOT NULL")
 
 
 # Indicator registry: name to operator on bars.

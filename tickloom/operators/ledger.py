@@ -8,12 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.scoring import direction_label, elapsed_s, hit, pending, return_pct, reward
-from tickloom.functions.text import encode_messages, row_key
-from tickloom.operators.indicators import drop_warmup
+from tickloom.functions.text import ROW_KEY_SQL
+from tickloom.operators.indicators import drop_warmup, min_history_gate
 from tickloom.operators.prompts import ROLES, SYNTHESIZER
-from tickloom.operators.signals import ANALYST_HELPERS, Predictor, _gate, analysed_blocks, ensemble
+from tickloom.operators.signals import ANALYST_HELPERS, Predictor, analysed_blocks, ensemble
 from tickloom.plans.asof import asof_forward
-from tickloom.plans.blocks import SeriesBlocks, index_series
+from tickloom.plans.blocks import WHOLE, SeriesBlocks, index_series
 from tickloom.schema import (
     BAR_SECONDS, EXPIRED, EXPIRY_SECONDS, LEDGER_INDICATORS, PHASE1, PHASE2, SAMPLE_START, SAMPLE_STEP,
 )
@@ -25,24 +25,23 @@ def fill_indicator_nulls(df: DataFrame) -> DataFrame:
     return df.fillna(0.0, [c for c in LEDGER_INDICATORS if c in df.columns])
 
 
-def analyst_messages() -> Column:
-    """What the three analysts and the synthesis said about a row, as ledger messages."""
-    texts = [
-        F.concat_ws(" ", F.col("technical_direction"), F.concat(F.lit("score="), F.col("score"))),
-        F.concat_ws(" ", F.col("regime"), F.concat(F.lit("squeeze="), F.col("squeeze").cast("string"))),
-        F.concat_ws(" ", F.col("conviction"), F.concat(F.lit("divergence="), F.col("divergence").cast("string"))),
-        F.concat_ws(" ", "prediction_direction", "prediction_confidence"),
-    ]
-    senders = [r.name for r in ROLES] + [SYNTHESIZER]
-    kinds = ["contribution"] * len(ROLES) + ["synthesis"]
-    return F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("sender"), t.alias("text"), F.lit(k).alias("type"), F.lit(i).alias("turn")
-            )
-            for i, (s, t, k) in enumerate(zip(senders, texts, kinds))
-        ]
+def _message(i: int, sender: str, text: str, kind: str) -> str:
+    return f"named_struct('sender', '{sender}', 'text', {text}, 'type', '{kind}', 'turn', {i})"
+
+
+# What the three analysts and the synthesis said about a row, as ledger messages.
+_SAID = (
+    "concat(technical_direction, ' score=', score)",
+    "concat(regime, ' squeeze=', squeeze)",
+    "concat(conviction, ' divergence=', divergence)",
+    "concat(prediction_direction, ' ', prediction_confidence)",
+)
+_ANALYST_MESSAGES = "array({})".format(
+    ", ".join(
+        _message(i, sender, text, "synthesis" if sender == SYNTHESIZER else "contribution")
+        for i, (sender, text) in enumerate(zip([*(r.name for r in ROLES), SYNTHESIZER], _SAID))
     )
+)
 
 
 def empty_phase2() -> dict[str, Column]:
@@ -56,28 +55,26 @@ def phase1_rows(df: DataFrame, mode: str = "inference_only", model_version: str
     Needs the indicator and prediction columns, carries ``keep`` along; ``cycle_id``, ``band_room_id``,
     ``agent_contributions`` and ``inference_latency_ms`` are filled in when absent.
     """
-    df = fill_indicator_nulls(df)
     have = set(df.columns)
-    extra: dict[str, Column] = {"timestamp": F.col("bar_ts")}
+    derived = {"timestamp": "bar_ts"}
     if "cycle_id" not in have:
-        extra["cycle_id"] = F.concat(F.lit("cycle_"), F.unix_seconds("bar_ts"))
+        derived["cycle_id"] = "concat('cycle_', unix_seconds(bar_ts))"
     if "inference_latency_ms" not in have:
-        extra["inference_latency_ms"] = F.lit(0.0)
+        derived["inference_latency_ms"] = "0"
     if "agent_contributions" not in have:
-        extra["agent_contributions"] = encode_messages(analyst_messages())
-    df = df.withColumns(extra)
+        derived["agent_contributions"] = f"to_json({_ANALYST_MESSAGES})"
+    df = fill_indicator_nulls(df).selectExpr("*", *[f"{e} AS `{c}`" for c, e in derived.items()])
+    keys = {
+        "row_id": ROW_KEY_SQL,
+        "model_version": f"'{model_version}'",
+        "mode": f"'{mode}'",
+        "data_source": f"'{data_source}'",
+    }
     if "band_room_id" not in have:
-        df = df.withColumn("band_room_id", F.concat_ws("_", "cycle_id", "ticker"))
-    df = df.withColumns(
-        {
-            "row_id": row_key("ticker", "bar_ts", "cycle_id"),
-            "model_version": F.lit(model_version),
-            "mode": F.lit(mode),
-            "data_source": F.lit(data_source),
-            **empty_phase2(),
-        }
-    )
-    return df.select(*[F.col(f.name).cast(f.dataType) for f in PHASE1], *PHASE2_COLUMNS, *keep)
+        keys["band_room_id"] = "concat_ws('_', cycle_id, ticker)"
+    phase1 = [f"CAST({keys.get(f.name, f'`{f.name}`')} AS {f.dataType.simpleString()}) AS `{f.name}`" for f in PHASE1]
+    phase2 = [f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in PHASE2]
+    return df.selectExpr(*phase1, *phase2, *[f"`{c}`" for c in keep])
 
 
 def outcome_columns(price: Column, at: Column) -> dict[str, Column]:
@@ -175,10 +172,10 @@ def resolve_by_offset(bars: DataFrame, offset: int = SAMPLE_STEP) -> DataFrame:
     return b.add(resolution_price=_close_ahead(b, offset)).own()
 
 
-def _close_ahead(b, offset: int) -> Column:
+def _close_ahead(b: SeriesBlocks, offset: int) -> str:
     # The slice holds ``offset`` later rows, so only the end of the series can be missing, and
     # then the last row of the slice is the last row of the series.
-    return F.coalesce(F.lead("close", offset).over(b.window), F.last("close").over(b.whole))
+    return f"coalesce({b.over(f'lead(close, {offset})')}, {b.over('last(close)', WHOLE)})"
 
 
 def backtest(bars: DataFrame, start: int = SAMPLE_START, step: int = SAMPLE_STEP,
@@ -191,9 +188,8 @@ def backtest(bars: DataFrame, start: int = SAMPLE_START, step: int = SAMPLE_STEP
     """
     b = analysed_blocks(bars, ahead=offset, size=size)
     b.add(_later=_close_ahead(b, offset))
-    rows = _gate(b.own(*ANALYST_HELPERS))
-    idx = F.col("series_idx")
-    sampled = drop_warmup(rows.filter((idx >= start) & (F.pmod(idx - start, F.lit(step)) == 0)))
+    rows = min_history_gate(b.own(*ANALYST_HELPERS))
+    sampled = drop_warmup(rows.where(f"series_idx >= {start} AND (series_idx - {start}) % {step} = 0"))
     named = predictor(sampled).withColumns(
         {
             "cycle_id": F.concat(F.lit("backtest_"), F.col("series_idx").cast("string")),

@@ -10,11 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.functions.scoring import direction_of_sign
-from tickloom.operators.indicators import _HELPERS, indicator_blocks
-from tickloom.plans.blocks import SeriesBlocks
+from tickloom.operators.indicators import HELPERS, indicator_blocks, min_history_gate
+from tickloom.plans.blocks import SeriesBlocks, trailing
 from tickloom.plans.quota import hash_key
-from tickloom.schema import INDICATOR_COLUMNS, MIN_HISTORY_ROWS
 
 RSI_LOW, RSI_HIGH = 30.0, 70.0
 REGIME_ROWS, REGIME_HIGH, REGIME_LOW = 100, 1.5, 0.5
@@ -26,60 +24,45 @@ VOLATILITY = ("bb_width", "atr_pct", "regime", "squeeze")
 VOLUME = ("volume_ratio", "spike", "divergence", "conviction")
 
 
-def _sign(x: Column) -> Column:
+def _sign(difference: str) -> str:
     """Sign of a price difference, where rounding noise counts as no difference."""
-    return F.signum(F.round(x, 6)).cast("int")
+    return f"int(signum(round({difference}, 6)))"
+
+
+def _label(sign: str) -> str:
+    return f"CASE WHEN {sign} > 0 THEN 'UP' WHEN {sign} < 0 THEN 'DOWN' WHEN {sign} = 0 THEN 'SIDEWAYS' END"
 
 
 def _analyst_columns(b: SeriesBlocks) -> SeriesBlocks:
-    close = F.col("close")
     b.add(
-        _prev_hist=F.lag("macd_hist").over(b.window),
-        bb_width=F.try_divide(F.col("bb_upper") - F.col("bb_lower"), F.col("bb_middle")),
-        atr_pct=F.try_divide(F.col("atr_14"), close) * 100,
-        volume_ratio=F.try_divide(
-            F.col("volume").cast("double"),
-            F.avg("volume").over(b.window.rowsBetween(-VOLUME_ROWS, -1)),
-        ),
+        _prev_hist=b.over("lag(macd_hist)"),
+        bb_width="try_divide(bb_upper - bb_lower, bb_middle)",
+        atr_pct="try_divide(atr_14, close) * 100",
+        volume_ratio=f"try_divide(double(volume), {b.over('avg(volume)', trailing(VOLUME_ROWS, skip=1))})",
+        trend=f"coalesce({_sign('close - vwap')}, 0)",
+        _body=_sign("close - open"),
+        rsi_signal=f"CASE WHEN rsi_14 < {RSI_LOW} THEN 1 WHEN rsi_14 > {RSI_HIGH} THEN -1 ELSE 0 END",
     )
-    b.running_pair(F.col("atr_pct"), "atr")
-    usual, _ = b.mean_from_pair("atr", REGIME_ROWS, skip=1)
-    b.add(_usual_atr=usual, _tightest=F.min("bb_width").over(b.trailing(SQUEEZE_ROWS)))
-
-    hist, prev = F.col("macd_hist"), F.col("_prev_hist")
-    cross = F.when((hist > 0) & (prev <= 0), 1).when((hist < 0) & (prev >= 0), -1).otherwise(0)
-    rsi = F.when(F.col("rsi_14") < RSI_LOW, 1).when(F.col("rsi_14") > RSI_HIGH, -1).otherwise(0)
-    b.add(trend=F.coalesce(_sign(close - F.col("vwap")), F.lit(0)), rsi_signal=rsi, macd_cross=cross)
-    b.add(score=F.col("rsi_signal") + F.col("macd_cross"))
-    b.add(technical_direction=direction_of_sign("score"))
-
-    regime = (
-        F.when(F.col("atr_pct") > REGIME_HIGH * F.col("_usual_atr"), "HIGH")
-        .when(F.col("atr_pct") < REGIME_LOW * F.col("_usual_atr"), "LOW")
-        .otherwise("MED")
+    b.add(
+        **b.running_pair("atr_pct", "atr"),
+        _tightest=b.over("min(bb_width)", trailing(SQUEEZE_ROWS)),
+        macd_cross="CASE WHEN macd_hist > 0 AND _prev_hist <= 0 THEN 1 "
+                   "WHEN macd_hist < 0 AND _prev_hist >= 0 THEN -1 ELSE 0 END",
+        spike=f"coalesce(volume_ratio >= {SPIKE_RATIO}, false)",
+        divergence="vwap IS NOT NULL AND coalesce(_body * trend = -1, false)",
     )
-    b.add(regime=regime, squeeze=F.coalesce(F.col("bb_width") == F.col("_tightest"), F.lit(False)))
-
-    body = _sign(close - F.col("open"))
-    spike = F.coalesce(F.col("volume_ratio") >= SPIKE_RATIO, F.lit(False))
-    b.add(spike=spike, divergence=F.coalesce(body * _sign(close - F.col("vwap")) == -1, F.lit(False)))
-    weak = F.col("divergence") | F.coalesce(F.col("volume_ratio") < THIN_RATIO, F.lit(False))
-    conviction = (
-        F.when(F.col("spike") & ~F.col("divergence"), "STRONG").when(weak, "WEAK").otherwise("NEUTRAL")
+    b.add(_usual_atr=b.mean_from_pair("atr", REGIME_ROWS, skip=1), score="rsi_signal + macd_cross")
+    return b.add(
+        technical_direction=_label("score"),
+        regime=f"CASE WHEN atr_pct > {REGIME_HIGH} * _usual_atr THEN 'HIGH' "
+               f"WHEN atr_pct < {REGIME_LOW} * _usual_atr THEN 'LOW' ELSE 'MED' END",
+        squeeze="coalesce(bb_width = _tightest, false)",
+        conviction="CASE WHEN spike AND NOT divergence THEN 'STRONG' "
+                   f"WHEN divergence OR volume_ratio < {THIN_RATIO} THEN 'WEAK' ELSE 'NEUTRAL' END",
     )
-    return b.add(conviction=conviction)
 
 
-def _ensemble_columns() -> dict[str, Column]:
-    vote = F.col("score") + F.when(F.col("conviction") == "STRONG", F.col("trend")).otherwise(0)
-    strength = F.abs(vote)
-    sure = F.when((strength == 2) & (F.col("regime") != "HIGH"), "HIGH").when(strength >= 1, "MED")
-    return {
-        "vote": vote,
-        "prediction_direction": direction_of_sign(vote),
-        "prediction_return_pct": F.signum(vote.cast("double")) * F.coalesce("atr_pct", F.lit(0.0)),
-        "prediction_confidence": sure.otherwise("LOW"),
-    }
+ANALYST_HELPERS = (*HELPERS, "_prev_hist", "_body", "_usual_atr", "_tightest", "_atr_s", "_atr_c")
 
 
 def analysed_blocks(bars: DataFrame, ahead: int = 0, size: int | None = None) -> SeriesBlocks:
@@ -87,17 +70,9 @@ def analysed_blocks(bars: DataFrame, ahead: int = 0, size: int | None = None) ->
     return _analyst_columns(indicator_blocks(bars, extra_back=extra, ahead=ahead, size=size))
 
 
-ANALYST_HELPERS = (*_HELPERS, "_prev_hist", "_usual_atr", "_tightest", "_atr_s", "_atr_c")
-
-
-def _gate(df: DataFrame, min_rows: int = MIN_HISTORY_ROWS) -> DataFrame:
-    enough = F.col("series_len") >= min_rows
-    return df.withColumns({c: F.when(enough, F.col(c)) for c in INDICATOR_COLUMNS})
-
-
 def analyse(bars: DataFrame, size: int | None = None) -> DataFrame:
     """Indicators and the columns of all three analysts, in one pass over the slices."""
-    return _gate(analysed_blocks(bars, size=size).own(*ANALYST_HELPERS))
+    return min_history_gate(analysed_blocks(bars, size=size).own(*ANALYST_HELPERS))
 
 
 def _only(bars: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
@@ -118,7 +93,14 @@ def volume_signal(bars: DataFrame) -> DataFrame:
 
 def ensemble(analysed: DataFrame) -> DataFrame:
     """Direction, expected return and confidence from the three analysts, row by row."""
-    return analysed.withColumns(_ensemble_columns())
+    voted = analysed.selectExpr("*", "score + CASE WHEN conviction = 'STRONG' THEN trend ELSE 0 END AS vote")
+    return voted.selectExpr(
+        "*",
+        f"{_label('vote')} AS prediction_direction",
+        "signum(vote) * coalesce(atr_pct, 0) AS prediction_return_pct",
+        "CASE WHEN abs(vote) = 2 AND regime <> 'HIGH' THEN 'HIGH' WHEN abs(vote) >= 1 THEN 'MED' "
+        "ELSE 'LOW' END AS prediction_confidence",
+    )
 
 
 # A predictor turns analysed rows into rows with the three prediction columns.

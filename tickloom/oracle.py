@@ -230,7 +230,7 @@ bars_q("min_history_gate", f"SELECT ticker, {BT}, n AS series_len, {r('CASE WHEN
 ind_q("indicators_all", f"SELECT ticker, {BT}, {rounded(*IND_COLS)}, volume, i AS series_idx, n AS series_len FROM ind")
 ind_q("stream_indicators", f"SELECT ticker, {BT}, {rounded(*IND_COLS)}, volume, i AS series_idx FROM ind")
 ORACLE_SQL["supplier_bars_indicators"] = with_(SUPPLIER_BARS, *INDICATORS) + (
-    f"SELECT ticker, {BT}, " + rounded("close", "vwap", "rsi_14", "macd", "macd_signal", "bb_upper", "atr_14", "sma_50", digits=4)
+    f"SELECT ticker, {BT}, " + rounded("close", "vwap", "rsi_14", "macd", "macd_signal", "bb_upper", "atr_14", "sma_50", digits=3)
     + " FROM ind"
 )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 BLOCK_ROWS = 4096
 
@@ -70,11 +70,32 @@ def block_size(alphas: list[float], back: int, lead_in: int = 0) -> int:
     return min([wanted, *[_longest_frame(a) - back for a in alphas]])
 
 
+RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+
+
+def trailing(rows: int, skip: int = 0) -> str:
+    """Frame of ``rows`` rows that ends ``skip`` rows before the current one."""
+    end = f"{skip} PRECEDING" if skip else "CURRENT ROW"
+    return f"ROWS BETWEEN {rows + skip - 1} PRECEDING AND {end}"
+
+
+def real(x: float) -> str:
+    """A double literal; plain decimals would be read as DECIMAL."""
+    return f"double('{x!r}')"
+
+
+def replace_columns(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """Replace or append columns given as SQL expressions, in one projection."""
+    kept = [f"{exprs[c]} AS `{c}`" if c in exprs else f"`{c}`" for c in df.columns]
+    return df.selectExpr(*kept, *[f"{e} AS `{c}`" for c, e in exprs.items() if c not in df.columns])
+
+
 class SeriesBlocks:
     """Slices of ``size`` consecutive rows with ``back`` earlier and ``ahead`` later rows.
 
-    ``window`` is the one ordering all expressions share, so the slices are shuffled and sorted
-    once however many columns are added.
+    Columns are added as SQL expressions. All of them use one partitioning and order (see
+    :meth:`over`), so the slices are shuffled and sorted once however many columns there are.
     """
 
     def __init__(
@@ -89,28 +110,23 @@ class SeriesBlocks:
         if size <= 0 or back < 0 or ahead < 0:
             raise ValueError("block sizes must be positive")
         self.size, self.back, self.ahead, self.key = size, back, ahead, key
-        rows = index_series(df, key, ts)
-        first = F.greatest(F.col("series_idx") - ahead, F.lit(0))
-        last = F.least(F.col("series_idx") + back, F.col("series_len") - 1)
-        wanted_by = F.sequence(F.floor(first / size), F.floor(last / size))
-        self.df = rows.withColumn("_blk", F.explode(wanted_by))
-        self.window = W.partitionBy(key, "_blk").orderBy("series_idx")
-        self.running = self.window.rowsBetween(W.unboundedPreceding, 0)
-        self.whole = self.window.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-
-    def add(self, **columns: Column) -> "SeriesBlocks":
-        self.df = self.df.withColumns(columns)
+        first = f"greatest(series_idx - {ahead}, 0) DIV {size}"
+        last = f"least(series_idx + {back}, series_len - 1) DIV {size}"
+        # The slices that want a row: its own, and neighbours that look back or ahead to it.
+        self.df = index_series(df, key, ts).selectExpr("*", f"explode(sequence({first}, {last})) AS _blk")
+
+    def over(self, expr: str, frame: str = "") -> str:
+        return f"{expr} OVER (PARTITION BY `{self.key}`, _blk ORDER BY series_idx {frame})"
+
+    def add(self, **columns: str) -> "SeriesBlocks":
+        self.df = self.df.selectExpr("*", *[f"{e} AS `{c}`" for c, e in columns.items()])
         return self
 
     def own(self, *helpers: str) -> DataFrame:
         """The rows each slice owns, without copies and helper columns."""
-        mine = F.floor(F.col("series_idx") / self.size) == F.col("_blk")
-        return self.df.filter(mine).drop("_blk", *helpers)
-
-    def trailing(self, rows: int):
-        return self.window.rowsBetween(-(rows - 1), 0)
+        return self.df.where(f"series_idx DIV {self.size} = _blk").drop("_blk", *helpers)
 
-    def smooth(self, x: Column, alpha: float, n: int, first: int = 0, seed: str = "sma") -> Column:
+    def smooth(self, x: str, alpha: float, n: int, first: int = 0, seed: str = "sma") -> str:
         """y[t] = alpha*x[t] + (1-alpha)*y[t-1] as one running sum per slice.
 
         ``x`` must be non-null from position ``first`` on. ``seed='sma'`` starts with the mean of
@@ -121,44 +137,38 @@ class SeriesBlocks:
         """
         start = first + n - 1
         if alpha >= 1:
-            return F.when(F.col("series_idx") >= start, x)
+            return f"CASE WHEN series_idx >= {start} THEN {x} END"
         if self.size < self.back + start + 1:
             raise ValueError("block too short for the start of the recurrence")
         if self.back < forget_rows(alpha):
             raise ValueError("block copies too few earlier rows for this smoothing factor")
         if self.size + self.back > _longest_frame(alpha):
             raise ValueError("block too long for this smoothing factor")
-        idx = F.col("series_idx")
-        middle = F.col("_blk") * self.size + (self.size - self.back) // 2
+        middle = f"(_blk * {self.size} + {(self.size - self.back) // 2})"
         if seed == "sma":
-            enters_at = F.greatest(idx, F.lit(start))
-            weight = F.when(idx <= start, F.lit(1.0 / n)).otherwise(F.lit(alpha))
+            enters_at, early, share = f"greatest(series_idx, {start})", start, 1.0 / n
         else:
-            enters_at = idx
-            weight = F.when(idx == first, F.lit(1.0)).otherwise(F.lit(alpha))
-        decay = math.log1p(-alpha)
-        term = F.when(idx >= first, weight * x * F.exp((middle - enters_at) * F.lit(decay)))
-        level = F.sum(term).over(self.running) * F.exp((idx - middle) * F.lit(decay))
-        return F.when(idx >= start, level)
-
-    def running_pair(self, x: Column, name: str) -> "SeriesBlocks":
+            enters_at, early, share = "series_idx", first, 1.0
+        weight = f"CASE WHEN series_idx <= {early} THEN {real(share)} ELSE {real(alpha)} END"
+        keep = real(1.0 - alpha)
+        term = f"CASE WHEN series_idx >= {first} THEN {weight} * ({x}) * pow({keep}, {middle} - {enters_at}) END"
+        level = self.over(f"sum({term})", RUNNING)
+        return f"CASE WHEN series_idx >= {start} THEN {level} * pow({keep}, series_idx - {middle}) END"
+
+    def running_pair(self, x: str, name: str) -> dict[str, str]:
         """Running sum and count of ``x`` in the slice, for :meth:`mean_from_pair`."""
-        return self.add(
-            **{
-                f"_{name}_s": F.coalesce(F.sum(x).over(self.running), F.lit(0.0)),
-                f"_{name}_c": F.count(x).over(self.running),
-            }
-        )
+        return {
+            f"_{name}_s": f"coalesce({self.over(f'sum({x})', RUNNING)}, 0)",
+            f"_{name}_c": self.over(f"count({x})", RUNNING),
+        }
 
-    def mean_from_pair(self, name: str, rows: int, skip: int = 0) -> tuple[Column, Column]:
-        """Mean and count over ``rows`` rows ending ``skip`` rows ago, from two running sums.
+    def mean_from_pair(self, name: str, rows: int, skip: int = 0) -> str:
+        """Mean over ``rows`` rows ending ``skip`` rows ago, from the running sum and count.
 
         Costs the same for any frame length, where a sliding frame adds up every row again.
         """
-        def cut(col: str) -> Column:
-            new = F.lag(col, skip).over(self.window) if skip else F.col(col)
-            old = F.lag(col, skip + rows).over(self.window)
-            return F.coalesce(new, F.lit(0)) - F.coalesce(old, F.lit(0))
+        def cut(col: str) -> str:
+            new = self.over(f"lag({col}, {skip})") if skip else col
+            return f"(coalesce({new}, 0) - coalesce({self.over(f'lag({col}, {skip + rows})')}, 0))"
 
-        count = cut(f"_{name}_c")
-        return F.try_divide(cut(f"_{name}_s"), count), count
+        return f"try_divide({cut(f'_{name}_s')}, {cut(f'_{name}_c')})"

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.operators.analytics import prediction_index
 from tickloom.operators.bars import build_bars
-from tickloom.operators.indicators import INDICATOR_BACK, _HELPERS, indicator_blocks, min_history_gate
+from tickloom.operators.indicators import HELPERS, INDICATOR_BACK, indicator_blocks, min_history_gate
 from tickloom.operators.ledger import expired_columns, outcome_columns
-from tickloom.plans.blocks import SeriesBlocks, index_series
+from tickloom.plans.blocks import SeriesBlocks, index_series, trailing
 from tickloom.schema import BAR, BAR_SECONDS, EXPIRY_SECONDS
 
 
@@ -129,7 +129,7 @@ def indicator_batch(new: DataFrame, history: DataFrame | None, size: int | None
         ).drop("_len").withColumn("_new", F.lit(False))
         rows = placed.unionByName(old)
 
-    done = min_history_gate(indicator_blocks(rows, size=size).own(*_HELPERS))
+    done = min_history_gate(indicator_blocks(rows, size=size).own(*HELPERS))
     result = done.filter("_new").drop("_new")
 
     ends = rows.groupBy("ticker").agg(
@@ -188,10 +188,9 @@ def rolling_sink(out_path: str, state_path: str, window: int = 20, min_periods:
         b = SeriesBlocks(
             rows.withColumns({"series_len": total, "_all": F.lit(0)}), back=window - 1, key="_all", ts="timestamp"
         )
-        good = F.col("prediction_accuracy").cast("double")
-        frame = b.trailing(window)
-        b.add(_n=F.count(good).over(frame), _acc=F.avg(good).over(frame) * 100)
-        b.add(rolling_accuracy_pct=F.when(F.col("_n") >= min_periods, F.col("_acc")))
+        hits, frame = "double(prediction_accuracy)", trailing(window)
+        b.add(_n=b.over(f"count({hits})", frame), _acc=f"{b.over(f'avg({hits})', frame)} * 100")
+        b.add(rolling_accuracy_pct=f"CASE WHEN _n >= {min_periods} THEN _acc END")
         done = b.own("_n", "_acc", "_all", "series_len")
         done.filter("_new").drop("_new").write.mode("overwrite").parquet(_version(out_path, batch_id))
         keep = rows.filter(F.col("series_idx") > total - window).drop("_new")
