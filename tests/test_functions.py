@@ -148,3 +148,37 @@ def test_session_grid(spark):
     days = spark.createDataFrame([(dt.date(2024, 1, 5),), (dt.date(2024, 1, 6),)], "date date")
     got = [r.bar_ts for r in ba.session_grid(days).orderBy("bar_ts").collect()]
     assert len(got) == 71 and got[0] == dt.datetime(2024, 1, 5, 9, 25) and got[-1] == dt.datetime(2024, 1, 5, 15, 15)
+
+
+def test_stored_bars_prune_days(spark, tmp_path, bars):
+    source.write_bars(bars, f"{tmp_path}/bars")
+    day = dt.date(2024, 1, 3)
+    back = source.read_bars(spark, f"{tmp_path}/bars").where(F.col("day") == F.lit(day))
+    assert back.count() == bars.where(F.to_date("bar_ts") == F.lit(day)).count() > 0
+    assert "PartitionFilters: [isnotnull(day" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bar_file_stream(spark, tmp_path):
+    head = "timestamp,open,high,low,close,volume\n"
+    for name in ("NSE_TCS", "NSE_ITC"):
+        (tmp_path / f"{name}.csv").write_text(head + "2024-01-02 09:25:00,1,2,0.5,1.5,10\n")
+    q = (source.stream_bars(spark, str(tmp_path)).writeStream.format("memory").queryName("bar_files")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert {r.ticker for r in spark.table("bar_files").collect()} == {"NSE:TCS", "NSE:ITC"}
+
+
+def test_predicates_and_registry(spark, bars):
+    from tickloom.operators.indicators import INDICATORS
+    assert set(INDICATORS) >= {"vwap", "rsi", "macd", "bollinger", "atr", "sma"}
+    assert all(INDICATORS[n](bars).columns for n in ("vwap", "true_range"))
+    df = spark.createDataFrame([("UP",), (None,)], "actual_direction string")
+    assert df.where(sc.resolved()).count() == df.where(sc.pending()).count() == 1
+
+
+def test_column_names_and_union(spark):
+    from tickloom.operators.replay import union_all
+    a = ba.normalize_columns(spark.createDataFrame([(1, 2)], "Open int, CLOSE int"))
+    assert a.columns == ["open", "close"]
+    rows = union_all(a, spark.createDataFrame([(5,)], "close int")).collect()
+    assert sorted((r.open or 0, r.close) for r in rows) == [(0, 5), (1, 2)]

@@ -68,3 +68,11 @@ def test_quota_where_hashes_collide(spark):
     df = spark.createDataFrame([("same", "A")] * 50 + [("other", "A")] * 50, "row_id string, g string")
     quotas = spark.createDataFrame([("A", 60)], "g string, quota long")
     assert keep_quota(df, "g", "row_id", 1, quotas).count() == 60
+
+
+def test_asof_keeps_rows_without_key_or_time(spark):
+    t = dt.datetime(2024, 1, 2)
+    left = spark.createDataFrame([(None, t, 1), ("a", None, 2), ("a", t, 3)], "k string, ts timestamp, id int")
+    right = spark.createDataFrame([("a", t, 9.0), (None, t, 1.0)], "k string, rts timestamp, v double")
+    got = {r.id: r.matched_value for r in asof_forward(left, right, "k", "ts", "rts", "v").collect()}
+    assert got == {1: None, 2: None, 3: 9.0}

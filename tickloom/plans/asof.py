@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def asof_forward(
@@ -23,66 +23,76 @@ def asof_forward(
     first right row of the next filled bucket, found from one row per bucket (within a day) and
     one row per day (across days). Where several right rows share a time the lowest value wins.
     """
-    bucket_us = bucket_s * 1_000_000
-    wanted = F.unix_micros(left_ts) + F.lit(int(round(min_gap_s * 1e6)))
-    bucket = lambda at: F.floor(at / F.lit(bucket_us))
-    day = lambda at: F.floor(at / F.lit(86_400_000_000))
+    width = bucket_s * 1_000_000
+    gap = int(round(min_gap_s * 1e6))
 
+    def floor_to(column: str, unit: int) -> Column:
+        return F.expr(f"({column} - pmod({column}, {unit}L)) DIV {unit}L")
+
+    usable = F.col(key).isNotNull() & F.col(left_ts).isNotNull()
     offers = (
-        right.filter(F.col(right_ts).isNotNull() & F.col(value).isNotNull())
+        right.filter(F.col(key).isNotNull() & F.col(right_ts).isNotNull() & F.col(value).isNotNull())
         .select(F.col(key), F.unix_micros(right_ts).alias("_at"), F.col(value).alias("_v"))
         .groupBy(key, "_at")
         .agg(F.min("_v").alias("_v"))
     )
-    payload = F.struct(*[F.col(c) for c in left.columns])
-    asks = left.select(
-        F.col(key), wanted.alias("_at"), F.lit(None).cast("double").alias("_v"), payload.alias("_row")
+    asks = left.filter(usable).select(
+        F.col(key),
+        (F.unix_micros(left_ts) + F.lit(gap)).alias("_at"),
+        F.lit(None).cast(offers.schema["_v"].dataType).alias("_v"),
+        F.struct(*[F.col(c) for c in left.columns]).alias("_row"),
     )
-    merged = asks.unionByName(
-        offers.withColumn("_row", F.lit(None).cast(asks.schema["_row"].dataType))
-    ).withColumn("_bucket", bucket(F.col("_at")))
+    no_row = F.lit(None).cast(asks.schema["_row"].dataType)
+    merged = asks.unionByName(offers.withColumn("_row", no_row)).withColumn("_bucket", floor_to("_at", width))
+    is_offer = F.col("_v").isNotNull()
 
     # Latest first; at equal times offers come before asks, so an ask sees an offer of its own
     # instant. The last offer seen is then the nearest one ahead.
     latest_first = (
         W.partitionBy(key, "_bucket")
-        .orderBy(F.desc("_at"), F.col("_row").isNotNull())
+        .orderBy(F.desc("_at"), F.col("_v").isNull())
         .rowsBetween(W.unboundedPreceding, 0)
     )
-    offer = F.when(F.col("_row").isNull(), F.struct("_at", "_v"))
-    inside = merged.withColumn("_hit", F.last(offer, ignorenulls=True).over(latest_first))
-    inside = inside.filter(F.col("_row").isNotNull())
+    inside = merged.withColumns(
+        {
+            "_hit_at": F.last(F.when(is_offer, F.col("_at")), ignorenulls=True).over(latest_first),
+            "_hit_v": F.last("_v", ignorenulls=True).over(latest_first),
+        }
+    ).filter(~is_offer)
 
-    firsts = offers.groupBy(key, bucket(F.col("_at")).alias("_bucket")).agg(
-        F.min(F.struct("_at", "_v")).alias("_first")
+    # First offer of each bucket that has offers or asks, then of the next filled bucket.
+    offer_at = F.when(is_offer, F.col("_at"))
+    buckets = (
+        merged.groupBy(key, "_bucket")
+        .agg(F.min(offer_at).alias("_f_at"), F.min_by("_v", offer_at).alias("_f_v"))
+        .withColumn("_day", floor_to(f"(_bucket * {width}L)", 86_400_000_000))
     )
-    # Asked-for buckets join the filled ones, so that empty buckets find their successor too.
-    asked = asks.select(key, bucket(F.col("_at")).alias("_bucket")).distinct()
-    grid = (
-        asked.withColumn("_first", F.lit(None).cast(firsts.schema["_first"].dataType))
-        .unionByName(firsts)
-        .groupBy(key, "_bucket")
-        .agg(F.max("_first").alias("_first"))
-        .withColumn("_d", F.floor(F.col("_bucket") * F.lit(bucket_us) / F.lit(86_400_000_000)))
+    days = buckets.groupBy(key, "_day").agg(
+        F.min("_f_at").alias("_f_at"), F.min_by("_f_v", "_f_at").alias("_f_v")
     )
-    in_day = W.partitionBy(key, "_d").orderBy(F.desc("_bucket"))
-    later_today = F.last("_first", ignorenulls=True).over(in_day.rowsBetween(W.unboundedPreceding, -1))
-    per_day = grid.groupBy(key, "_d").agg(F.min("_first").alias("_day_first"))
-    days = W.partitionBy(key).orderBy(F.desc("_d")).rowsBetween(W.unboundedPreceding, -1)
-    next_day = per_day.withColumn("_later", F.last("_day_first", ignorenulls=True).over(days))
+
+    def later(order: str, *within: str) -> Column:
+        ahead = W.partitionBy(*within).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+        first = F.when(F.col("_f_at").isNotNull(), F.struct("_f_at", "_f_v"))
+        return F.last(first, ignorenulls=True).over(ahead)
+
+    next_day = days.select(key, "_day", later("_day", key).alias("_other_day")).repartition(key, "_day")
     successor = (
-        grid.withColumn("_today", later_today)
-        .join(next_day.drop("_day_first").repartition(key, "_d"), [key, "_d"])
-        .select(key, "_bucket", F.coalesce("_today", "_later").alias("_next"))
+        buckets.withColumn("_same_day", later("_bucket", key, "_day"))
+        .join(next_day, [key, "_day"], "left")
+        .select(key, "_bucket", F.coalesce("_same_day", "_other_day").alias("_next"))
     )
 
     found = inside.join(successor.repartition(key, "_bucket"), [key, "_bucket"], "left")
-    best = F.coalesce("_hit", "_next")
+    at = F.coalesce("_hit_at", "_next._f_at")
+    matched = found.withColumns({"_m_at": at, "_m_v": F.coalesce("_hit_v", "_next._f_v")})
+    in_time = F.lit(True)
     if max_gap_s is not None:
-        limit = F.col("_at") + F.lit(int(round((max_gap_s - min_gap_s) * 1e6)))
-        best = F.when(best["_at"] <= limit, best)
-    return found.withColumn("_best", best).select(
+        in_time = F.col("_m_at") <= F.col("_at") + F.lit(int(round(max_gap_s * 1e6)) - gap)
+    result = matched.select(
         "_row.*",
-        F.timestamp_micros(F.col("_best._at")).alias("matched_ts"),
-        F.col("_best._v").alias("matched_value"),
+        F.when(in_time, F.timestamp_micros("_m_at")).alias("matched_ts"),
+        F.when(in_time, F.col("_m_v")).alias("matched_value"),
     )
+    # Rows without key or time match nothing; they skip the join instead of meeting in one task.
+    return result.unionByName(left.filter(~usable), allowMissingColumns=True)

@@ -41,6 +41,10 @@ def shared_root(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
 
 
+def _staged_root(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/staged/{spark.sparkContext.applicationId}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
@@ -49,6 +53,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     real size, so that joins against it are broadcast only when it is small.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/staged/{label}-{uuid.uuid4().hex}"
+    path = f"{_staged_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release_staged(spark: SparkSession) -> None:
+    """Remove what this application has staged; call it when no result is needed any more."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_root(spark))
+    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)

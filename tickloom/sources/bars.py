@@ -34,9 +34,12 @@ def stream_bars(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame
 
 
 def write_bars(bars: DataFrame, path: str) -> None:
-    """Store bars by day, so that a range of days prunes to its folders."""
-    dated = bars.withColumn("day", F.to_date("bar_ts"))
-    dated.repartition("day", "ticker").write.mode("append").partitionBy("day").parquet(path)
+    """Store bars by day, so that a range of days prunes to its folders.
+
+    Rebalancing gives files of even size: large days are split, small ones share a task.
+    """
+    dated = bars.withColumn("day", F.to_date("bar_ts")).hint("rebalance", "day")
+    dated.sortWithinPartitions("day", "ticker", "bar_ts").write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:

@@ -13,8 +13,11 @@ _POINTER = "_current"
 
 
 def append_predictions(df: DataFrame, path: str) -> None:
-    """Append ledger rows, in one folder per ticker. Appends never rewrite earlier rows."""
-    df.write.mode("append").partitionBy("ticker").parquet(path)
+    """Append ledger rows, in one folder per ticker. Appends never rewrite earlier rows.
+
+    Rebalancing keeps the number of files low without sending a busy ticker to a single task.
+    """
+    df.hint("rebalance", "ticker").write.mode("append").partitionBy("ticker").parquet(path)
 
 
 def read_ledger(spark: SparkSession, path: str, tickers: Sequence[str] | None = None) -> DataFrame:
