@@ -161,6 +161,13 @@ def order_predictions(df: DataFrame) -> DataFrame:
     return df.orderBy(*_ORDER)
 
 
+def _narrow(df: DataFrame, by: str | None, *needed: str) -> DataFrame:
+    """Only what identifies a prediction and what is computed on; the sort writes its rows out."""
+    wanted = dict.fromkeys([*_ORDER, "ticker", *([by] if by else []), *needed])
+    have = set(df.columns)
+    return df.select(*[c for c in wanted if c in have])
+
+
 def prediction_index(df: DataFrame, by: str | None = None) -> DataFrame:
     """Add ``series_idx`` and ``series_len`` in order of time (all rows, or per ``by``).
 
@@ -193,12 +200,12 @@ def running_total(df: DataFrame, value: Column, out: str, by: str | None = None)
 
 def rolling_accuracy(df: DataFrame, window: int | str = 20, min_periods: int = 1, by: str | None = None,
                      include_expired: bool = False, size: int | None = None) -> DataFrame:
-    """Share of hits among the last ``window`` predictions, in percent.
+    """Share of hits among the last ``window`` predictions, in percent, one narrow row each.
 
     ``window='auto'`` is a fifteenth of the predictions, at least 20. Such a frame grows with the
     data, so it is the difference of two running counts rather than a frame over rows.
     """
-    rows = prediction_index(scored(df, include_expired), by)
+    rows = prediction_index(_narrow(scored(df, include_expired), by, "prediction_accuracy"), by)
     good = F.col("prediction_accuracy").cast("long")
     if window != "auto":
         helpers = () if by else ("_all",)
@@ -224,7 +231,7 @@ def rolling_accuracy(df: DataFrame, window: int | str = 20, min_periods: int = 1
 
 
 def cumulative_return(df: DataFrame, by: str | None = None, include_expired: bool = False) -> DataFrame:
-    rows = prediction_index(scored(df, include_expired), by)
+    rows = prediction_index(_narrow(scored(df, include_expired), by, "actual_return_pct"), by)
     return running_total(rows, F.col("actual_return_pct"), "cumulative_return_pct", by)
 
 
