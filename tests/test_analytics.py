@@ -2,9 +2,7 @@ import datetime as dt
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tickloom.operators import analytics as an
 

@@ -182,3 +182,17 @@ def test_column_names_and_union(spark):
     assert a.columns == ["open", "close"]
     rows = union_all(a, spark.createDataFrame([(5,)], "close int")).collect()
     assert sorted((r.open or 0, r.close) for r in rows) == [(0, 5), (1, 2)]
+
+
+def test_snapshot_document(spark, bars, tmp_path):
+    import json
+
+    from tickloom.operators.ledger import backtest
+    from tickloom.sources.snapshot import dashboard_snapshot, write_snapshot
+    active = spark.createDataFrame([("NSE:HOT",), ("NSE:B",)], "ticker string")
+    doc = dashboard_snapshot(bars, backtest(bars), active, {"mode": "BACKTEST"})
+    write_snapshot(doc, f"{tmp_path}/snap")
+    got = json.loads(spark.read.text(f"{tmp_path}/snap").first().value)
+    assert set(got) == {"market", "predictions", "status"} and set(got["market"]) == {"HOT", "B"}
+    last = bars.where("ticker = 'NSE:B'").orderBy(F.desc("bar_ts")).first()
+    assert got["market"]["B"]["close"] == last.close and got["predictions"]["HOT"]["direction"] in ("UP", "DOWN", "SIDEWAYS")

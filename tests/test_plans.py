@@ -3,7 +3,6 @@ import hashlib
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tickloom.plans.asof import asof_forward
 from tickloom.plans.quota import keep_quota

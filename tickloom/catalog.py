@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tickloom import driver_tables as src
-from tickloom.functions import market_time as mt, scoring as sc, text as tx
+from tickloom.functions import market_time as mt, scoring as sc
 from tickloom.operators import (
     analytics as an, bars as ba, curation as cu, indicators as ind, ledger as le, prompts as pr,
     replay as rp, responses as rs, rooms as ro, signals as sg,

@@ -27,10 +27,6 @@ def direction_label(ret: Column | str, thr: float = SIDEWAYS_THRESHOLD_PCT) -> C
     return F.when(ret.isNull(), F.lit(None)).when(ret > thr, up).when(ret < -thr, down).otherwise(flat)
 
 
-def direction_of_sign(sign: Column | str) -> Column:
-    return direction_label(sign, 0.0)
-
-
 def hit(predicted: Column | str, actual: Column | str) -> Column:
     """Whether the predicted direction came true; a missing prediction is a miss."""
     actual = _col(actual)

@@ -11,6 +11,7 @@ from tickloom.operators.replay import scored
 from tickloom.plans.blocks import SeriesBlocks, trailing
 from tickloom.plans.ranking import number_rows
 from tickloom.schema import CONFIDENCES, DIRECTIONS
+from tickloom.session import stage
 
 RANDOM_LEVEL_PCT = 100.0 / 3.0
 _TOTAL_BLOCK = 65_536
@@ -218,7 +219,7 @@ def rolling_accuracy(df: DataFrame, window: int | str = 20, min_periods: int = 1
 
     rows, key = _keyed(rows, by)
     width = F.greatest(F.lit(20), F.floor(F.col("series_len") / 15))
-    counted = running_total(rows, good, "_c", key).withColumn("window_rows", width)
+    counted = stage(running_total(rows, good, "_c", key).withColumn("window_rows", width), "running")
     past = counted.select(
         F.col(key).alias("_k"), (F.col("series_idx") + F.col("window_rows")).alias("_i"), F.col("_c").alias("_old")
     )

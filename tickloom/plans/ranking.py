@@ -37,7 +37,9 @@ def number_rows(
         cols[total] = F.sum("_n").over(W.partitionBy(*keys))
     segments = segments.withColumns(cols).drop("_n", "_from")
     match = [rows[k].eqNullSafe(segments[k]) for k in keys] + [rows["_part"] == segments["_part"]]
-    joined = rows.join(segments.repartition(*keys, "_part"), match)
+    # Without keys there is one row per sort partition, which bounds the broadcast.
+    small = segments.repartition(*keys, "_part") if keys else F.broadcast(segments)
+    joined = rows.join(small, match)
     for k in [*keys, "_part"]:
         joined = joined.drop(segments[k])
     return joined.withColumn(out, F.col("_shift") + F.col("_pos")).drop("_shift", "_pos", "_part")

@@ -34,10 +34,12 @@ def shared_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        local = tempfile.mkdtemp(prefix="tickloom-")
-        spark.conf.set("spark.checkpoint.dir", local)
-        return local
+    context = spark.sparkContext
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    if context.master.startswith("local"):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
+        return context.getCheckpointDir()
     raise ValueError("set spark.checkpoint.dir to a folder shared by driver and executors")
 
 

@@ -10,10 +10,12 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tickloom.operators.analytics import prediction_index
+from tickloom.operators.analytics import prediction_index, rolling_accuracy
 from tickloom.operators.bars import build_bars
+from tickloom.operators.curation import balance_classes, eligible, training_pairs
 from tickloom.operators.indicators import HELPERS, INDICATOR_BACK, indicator_blocks, min_history_gate
 from tickloom.operators.ledger import expired_columns, outcome_columns
+from tickloom.operators.replay import completed, mark_trained, update_replay
 from tickloom.plans.blocks import SeriesBlocks, index_series, trailing
 from tickloom.schema import BAR, BAR_SECONDS, EXPIRY_SECONDS
 
@@ -206,10 +208,6 @@ def run_post_market(ledger: DataFrame, replay: DataFrame, out_path: str, date: d
 
     Everything is written under the date, so running a day again replaces its own results.
     """
-    from tickloom.operators.analytics import rolling_accuracy
-    from tickloom.operators.curation import balance_classes, eligible, training_pairs
-    from tickloom.operators.replay import completed, mark_trained, update_replay
-
     day = f"{out_path}/date={date.isoformat()}"
     rolling_accuracy(replay).select("row_id", "timestamp", "rolling_accuracy_pct").write.mode(
         "overwrite"
