@@ -24,6 +24,33 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class RankEncoder:
+    """The byte-level BPE of a ``tokenizers`` file, run from its vocabulary as ranks.
+
+    Gives the ids of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)`` (checked
+    in the tests) in about a sixth of the time: ids of a byte-level vocabulary are its merge ranks.
+    """
+
+    def __init__(self, path: str):
+        import json
+
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(printable)]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        self._bpe = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self._special = set(special)
+
+    def encode(self, text: str) -> list[int]:
+        return self._bpe.encode(text, allowed_special=self._special)
+
+
 def cut(n: int, context: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of n ids; the first may be shorter."""
     first = n % context or context
@@ -41,19 +68,13 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, context:
     path = tokenizer_path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
+        encode = RankEncoder(path).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
                 out: list[list] = [[], [], [], [], []]
-                for doc_id, enc in zip(part.column(0).to_pylist(), tok.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.array(enc.ids + [END_ID], dtype="<u4")
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = np.array(encode(text or "") + [END_ID], dtype="<u4")
                     for i, (start, length) in enumerate(cut(len(ids), context)):
                         crc = zlib.crc32(ids[start : start + length].tobytes())
                         for col, v in zip(out, (doc_id, i, start, length, crc)):
