@@ -51,3 +51,32 @@ def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: str,
     return joined.withColumn(out, F.coalesce("_from", F.lit(0)) + F.col("_in")).drop(
         "_mid", "_part", "_in", "_from", "_p", *[f"_k_{k}" for k in keys]
     )
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of ``edges`` (``a``, ``b``, both longs): ``node`` and its smallest ``root``.
+
+    Alternates the large star (every larger neighbour of a node moves to the node's smallest
+    neighbour) and the small star (likewise for the smaller ones) until a round changes nothing;
+    the rounds grow with the logarithm of a component's size. Each round is a written table.
+    A node with very many neighbours is aggregated before the shuffle and met by a join that the
+    adaptive plan may split.
+    """
+    now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    mark = None
+    while True:
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(seen) == mark:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            )
+        mark = tuple(seen)
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).withColumnRenamed("a", "u")
+        large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stage(large.where("a != b").distinct(), "large-star")
+        low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
+        small = large.join(low, F.col("a") == F.col("u")).select(
+            F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")
+        ).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
+        now = stage(small.where("a != b").distinct(), "small-star")
