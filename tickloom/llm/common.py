@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.session import stage
@@ -30,6 +32,13 @@ def unit_hash(*cols: Column) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """``name``, lengthened until it is no prefix of a column."""
+    while any(c.lower().startswith(name.lower()) for c in columns):
+        name += "_"
+    return name
+
+
 def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the same keys, for groups of any size.
 
@@ -80,3 +89,23 @@ def components(edges: DataFrame) -> DataFrame:
             F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")
         ).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
         now = stage(small.where("a != b").distinct(), "small-star")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
+    """Tables of sorted batches cut where ``column`` (a long) changes, so that no group is split."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(column).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        goes_on = bool(held) and held[-1].column(column)[0].as_py() == keys[0]
+        if held and (last or not goes_on):
+            done = [*held, batch.slice(0, last)] if last else held
+            held = []
+            yield pa.Table.from_batches(done)
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -9,15 +9,15 @@ once every lane exceeds the radius. A block yields the edges of a spanning fores
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.common import components
+from tickloom.llm.common import components, whole_groups
 from tickloom.session import stage
 
 SEED = 42
@@ -181,31 +181,15 @@ def compare_blocks(keyed: DataFrame, radius: int, block_rows: int = BLOCK_ROWS)
     dealt = tiles.repartition("tile").sortWithinPartitions("tile", "key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def link(tile: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
+        for table in whole_groups(batches):
+            tile, ids = (table.column(i).to_numpy() for i in (0, 2))
+            fps = np.frombuffer(b"".join(table.column(3).to_pylist()), ">u8").astype(np.uint64).reshape(len(ids), -1)
             bounds = np.flatnonzero(np.diff(tile)) + 1
             sizes = np.diff(np.concatenate([[0], bounds, [len(tile)]]))
             end = np.repeat(np.concatenate([bounds, [len(tile)]]), sizes)
             root = forest(fps, np.arange(1, len(tile) + 1), end, radius)
             far = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tile, ids = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            fps = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u8").astype(np.uint64).reshape(len(ids), -1)
-            last = int(np.searchsorted(tile, tile[-1]))  # the last tile may go on in the next batch
-            if held and held[0][0][0] != tile[0] or last:
-                held.append((tile[:last], ids[:last], fps[:last]))
-                done = [np.concatenate(c) for c in zip(*held)]
-                held = []
-                if len(done[0]):
-                    yield link(*done)
-            held.append((tile[last:], ids[last:], fps[last:]))
-        if held:
-            yield link(*[np.concatenate(c) for c in zip(*held)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long")
 
