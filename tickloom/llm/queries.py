@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.driver_tables import table
-from tickloom.llm import mixing, packing, simhash, suffix_dedup
+from tickloom.llm import mixing, packing, simhash, suffix_dedup, syncmers
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +13,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op1_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_mix_sources, op4_suffix_dedup, op8_pack_documents)}
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_simhash, op3_mix_sources, op4_suffix_dedup, op8_pack_documents)}
 
 ORACLE_SQL = {
     "op3_mix_sources": r"""
