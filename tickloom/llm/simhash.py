@@ -304,3 +304,22 @@ def near_duplicate_groups(
     linked = joined.join(lows, "root").select(F.col("node").alias("id"), "least")
     names = classes.join(linked, "id", "left").select(F.col("id").alias("_id"), F.coalesce("least", "low").alias("group_id"))
     return marked.select("doc_id", "id").join(names, F.col("id") == F.col("_id"), "left").select("doc_id", "group_id")
+
+
+def keep_one_each(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the smallest doc_id, all columns as they are.
+
+    Texts without words are one group. Repeated rows and ids leave one row, the first by a hash of
+    its text; a group without any doc_id leaves one row with a null id.
+    """
+    groups = near_duplicate_groups(docs, width, similarity)
+    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_head")).distinct()
+    left = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    # Only ids that occur twice can still leave too many rows.
+    twice = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.xxhash64("text")).alias("_least")).where("_n > 1")
+    twice = stage(twice.select(F.col("doc_id").alias("_twice"), "_least"), "repeated-ids")
+    single = left.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti")
+    if twice.isEmpty():
+        return single
+    rows = left.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")) & (F.xxhash64("text") == F.col("_least")))
+    return single.unionByName(rows.dropDuplicates(["doc_id"]).select(*docs.columns))
