@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.driver_tables import table
-from tickloom.llm import langid, mixing, packing, simhash, suffix_dedup, syncmers
+from tickloom.llm import langid, licenses, mixing, packing, quotes, simhash, suffix_dedup, syncmers
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit_text_model(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return langid.identify_pages(table(spark, sf_dir, "pages"), model)
@@ -34,7 +38,11 @@ def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op2_simhash, op3_mix_sources, op4_suffix_dedup, op6_language_id, op8_pack_documents)}
+def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.format_chats(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_simhash, op3_mix_sources, op4_suffix_dedup, op5_license_scan, op6_language_id, op8_pack_documents, op10_chat_quotes)}
 
 ORACLE_SQL = {
     "op3_mix_sources": r"""
