@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.driver_tables import table
-from tickloom.llm import langid, licenses, mixing, packing, quotes, simhash, suffix_dedup, syncmers
+from tickloom.llm import ann, langid, licenses, mixing, packing, quotes, simhash, suffix_dedup, syncmers
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,15 @@ def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op2_simhash, op3_mix_sources, op4_suffix_dedup, op5_license_scan, op6_language_id, op8_pack_documents, op10_chat_quotes)}
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_simhash, op3_mix_sources, op4_suffix_dedup, op5_license_scan, op6_language_id, op8_pack_documents, op9_nearest, op10_chat_quotes)}
 
 ORACLE_SQL = {
     "op3_mix_sources": r"""
