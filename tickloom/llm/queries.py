@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.driver_tables import table
-from tickloom.llm import ann, langid, licenses, mixing, packing, quotes, simhash, suffix_dedup, syncmers
+from tickloom.llm import ann, langid, licenses, mixing, packing, quotes, simhash, suffix_dedup, syncmers, warc
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_pages(table(spark, sf_dir, "pages"), model)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.format_chats(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_syncmers, op2_simhash, op3_mix_sources, op4_suffix_dedup, op5_license_scan, op6_language_id, op8_pack_documents, op9_nearest, op10_chat_quotes)}
+QUERIES = {f.__name__: f for f in (op1_syncmers, op2_simhash, op3_mix_sources, op4_suffix_dedup, op5_license_scan, op6_language_id, op7_warc, op8_pack_documents, op9_nearest, op10_chat_quotes)}
 
 ORACLE_SQL = {
     "op3_mix_sources": r"""
