@@ -124,14 +124,25 @@ class _Counts:
 
 
 def plan_patterns(counts: np.ndarray, context: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(how often, lengths) that use up ``counts`` (index: length), longest lengths first.
+    """(how often, lengths) that use up ``counts`` (index: length) in few sequences.
 
-    The gap beside the longest piece is filled by one, two or three lengths whose sum is exactly
+    Complements of up to three, two and one lengths are tried, and best fit alone, which wins where lengths are
+    few; the plan of the fewest sequences is taken.
+    """
+    plans = (_plan(counts, context, kinds) for kinds in (3, 2, 1, 0))
+    return min(plans, key=lambda plan: sum(times for times, _ in plan))
+
+
+def _plan(counts: np.ndarray, context: int, kinds: int) -> list[tuple[int, tuple[int, ...]]]:
+    """A plan, longest lengths first, with exact complements of up to ``kinds`` lengths.
+
+    The gap beside the longest piece is filled by lengths whose sum is exactly
     the gap while such pieces are left; else by the longest that fits, and its residual gap again.
     A pattern is repeated until one of its lengths runs out, so the work depends on the number of
     different lengths, not on the number of pieces.
     """
     c = _Counts(np.concatenate([counts, np.zeros(max(0, context + 1 - len(counts)), np.int64)]))
+    ways = [c.single, c.pair, c.triple][:kinds] + [c.best]
     plan = []
     for longest in range(context, 0, -1):
         while c.left[longest]:
@@ -146,14 +157,14 @@ def plan_patterns(counts: np.ndarray, context: int) -> list[tuple[int, tuple[int
             take((longest,))
             gap -= longest
             while gap > 0:
-                found = c.single(gap) or c.pair(gap) or c.triple(gap) or c.best(gap)
+                found = next((f for f in (look(gap) for look in ways) if f), None)
                 if not found:
                     break
                 take(found)
                 gap -= sum(found)
-            kinds, times = np.unique(used, return_counts=True)
-            more = int((c.left[kinds] // times).min())
-            c.left[kinds] -= more * times
+            parts, times = np.unique(used, return_counts=True)
+            more = int((c.left[parts] // times).min())
+            c.left[parts] -= more * times
             plan.append((more + 1, tuple(used)))
     return plan
 
