@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tickloom import driver_tables as src
-from tickloom.functions import market_time as mt, scoring as sc
+from tickloom.functions import market_time as mt, scoring as sc, text as tx
 from tickloom.operators import (
     analytics as an, bars as ba, curation as cu, indicators as ind, ledger as le, prompts as pr,
     replay as rp, responses as rs, rooms as ro, signals as sg,
 )
 from tickloom.plans.asof import asof_forward
 from tickloom.schema import BAR
-from tickloom.session import shared_root, stage
-from tickloom.sources import ledger_store as store
+from tickloom.session import stage, staged_folder
+from tickloom.sources import bars as bar_files, ledger_store as store
 from tickloom.sources.snapshot import dashboard_snapshot
 from tickloom.streaming import live
 
@@ -205,8 +204,9 @@ def market_zone(spark, d):
 
 @query
 def trading_day_bars(spark, d):
-    closed = spark.createDataFrame([(x,) for x in mt.national_holidays(2024, 2024)], "date date")
-    return shown(mt.trading_days(ba.build_bars(src.ticks(spark, d), "1 hour"), closed), "ticker", "bar_ts", "close")
+    bars = src.bars(spark, d)
+    dates = bars.select(F.to_date("bar_ts").alias("date")).distinct()
+    return shown(mt.trading_days(bars, dates.where(mt.is_national_holiday(F.col("date")))), "ticker", "bar_ts", "close")
 
 
 @query
@@ -240,6 +240,62 @@ def required_keys(spark, d):
     return shown(both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum")))
 
 
+@query
+def quarantine_ticks(spark, d):
+    """Ticks with some prices and tickers missing: those that make no bar."""
+    return shown(ba.unusable_ticks(src.gappy_ticks(spark, d)).select("event_id", "ticker"))
+
+
+@query
+def bars_csv_roundtrip(spark, d):
+    """Hourly bars written as one CSV file set per series and read back with the file reader."""
+    path = staged_folder(spark, "bar-files")
+    src.write_bar_files(src.bars(spark, d), path)
+    return shown(bar_files.read_bars_csv(spark, path))
+
+
+@query
+def bars_csv_stream(spark, d):
+    """The same files through the streaming reader, a few per micro-batch."""
+    path, base = staged_folder(spark, "bar-files"), staged_folder(spark, "bar-stream")
+    src.write_bar_files(src.bars(spark, d), path)
+    done = bar_files.stream_bars(spark, path, 2).writeStream.format("parquet").option("path", f"{base}/out")
+    done.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return shown(spark.read.schema(BAR).parquet(f"{base}/out"))
+
+
+@query
+def normalize_columns(spark, d):
+    """Columns named in mixed case, as files come."""
+    named = src.bars(spark, d).toDF("Ticker", "BAR_TS", "Open", "High", "LOW", "Close", "Volume")
+    return shown(ba.normalize_columns(named), "ticker", "bar_ts", "open", "high", "low", "close", "volume")
+
+
+@query
+def id_numbers(spark, d):
+    """The sample index at the end of each cycle id."""
+    preds = src.predictions(spark, d)
+    return shown(preds.select("row_id", tx.sample_index("cycle_id").alias("sample_idx")))
+
+
+@query
+def indicator_registry(spark, d):
+    """Operators looked up by name."""
+    bars = src.bars(spark, d)
+    long = None
+    for name, column in (("vwap", "vwap"), ("rsi", "rsi_14"), ("sma", "sma_50"), ("true_range", "true_range")):
+        one = ind.indicator(name)(bars).select("ticker", "bar_ts", F.lit(name).alias("indicator"), F.col(column).alias("value"))
+        long = one if long is None else long.unionByName(one)
+    return shown(long)
+
+
+@query
+def indicators_with_gaps(spark, d):
+    """Bars of which some have a null or NaN close: they have no indicators, and the others skip them."""
+    done = ind.compute_indicators(src.gappy_bars(spark, d))
+    return shown(done.withColumn("close", F.nanvl("close", F.lit(None))), "ticker", "bar_ts", "close", "rsi_14", "macd", "macd_signal", "bb_upper", "atr_14", "sma_50")
+
+
 # --- signals and predictions -------------------------------------------------------------------------
 
 
@@ -442,7 +498,7 @@ def balance_classes(spark, d):
 
 @query
 def balance_events(spark, d):
-    """The same cut on all events, with the moves of their hourly return as classes."""
+    """The same cut on all events, with their value sorted into three classes."""
     rows = src.table(spark, d, "events").select(
         F.col("event_id").alias("row_id"),
         F.when(F.col("value") > 60, "UP").when(F.col("value") > 20, "DOWN").otherwise("SIDEWAYS").alias("actual_direction"),
@@ -564,7 +620,7 @@ def cumulative_return(spark, d):
 
 @query
 def centered_ma(spark, d):
-    rolled = an.rolling_accuracy(src.predictions(spark, d)).withColumn("a5", F.lit(None))
+    rolled = an.rolling_accuracy(src.predictions(spark, d))
     smooth5 = an.centered_ma(rolled, "rolling_accuracy_pct", 5).withColumnRenamed("centered_ma", "ma_5")
     return shown(an.centered_ma(smooth5, "rolling_accuracy_pct", 30), "row_id", "ma_5", "centered_ma")
 
@@ -596,6 +652,12 @@ def room_transcript(spark, d):
     return shown(ro.room_transcript(src.messages(spark, d)))
 
 
+@query
+def room_transcript_gaps(spark, d):
+    """The same rooms with turns that are far apart."""
+    return shown(ro.room_transcript(src.messages(spark, d).withColumn("turn", F.col("turn") * 1000)))
+
+
 @query
 def keep_newest_rooms(spark, d):
     return shown(ro.keep_newest_rooms(src.messages(spark, d), 10), "room_id", "turn", "sender")
@@ -626,7 +688,7 @@ def contributions(spark, d):
 @query
 def ledger_roundtrip(spark, d):
     """Rows appended to the store and read back for two tickers."""
-    path = f"{shared_root(spark)}/ledger-{uuid.uuid4().hex}"
+    path = staged_folder(spark, "ledger")
     preds = src.predictions(spark, d).drop(*src.ANALYST_COLUMNS)
     store.append_predictions(preds.filter(F.col("timestamp") < OLD_TO), path)
     store.append_predictions(preds.filter(F.col("timestamp") >= OLD_TO), path)
@@ -634,10 +696,21 @@ def ledger_roundtrip(spark, d):
     return shown(back, "row_id", "ticker", "timestamp", "close", "prediction_direction", "actual_direction")
 
 
+@query
+def ledger_lifecycle(spark, d):
+    """Pending predictions stored, resolved twice with the same result, and read back."""
+    path = staged_folder(spark, "ledger")
+    store.append_predictions(src.pending_ledger(spark, d).drop(*src.ANALYST_COLUMNS), path)
+    prices = src.ticks(spark, d).select("ticker", "ts", "price")
+    for _ in range(2):
+        store.append_outcomes(le.resolve_phase2(store.read_ledger(spark, path), prices, ASOF), path)
+    return _outcomes(store.read_ledger(spark, path))
+
+
 @query
 def replay_roundtrip(spark, d):
     """The replay table written, then replaced by a version made from itself."""
-    path = f"{shared_root(spark)}/replay-{uuid.uuid4().hex}"
+    path = staged_folder(spark, "replay")
     old, new = _two_versions(src.predictions(spark, d).drop(*src.ANALYST_COLUMNS))
     store.write_replay(old, path)
     store.write_replay(rp.update_replay(store.read_replay(spark, path), new, REPLAY_NOW), path)
@@ -648,7 +721,7 @@ def replay_roundtrip(spark, d):
 def snapshot_latest(spark, d):
     bars = src.bars(spark, d)
     preds = le.backtest(bars, latency=src.latency())
-    active = bars.select("ticker").distinct().orderBy("ticker").limit(10)
+    active = bars.select("ticker").distinct()
     rounded = bars.withColumns({c: F.round(c, 2) for c in ("open", "high", "low", "close")})
     preds = preds.withColumn("prediction_return_pct", F.round("prediction_return_pct", 2))
     return dashboard_snapshot(rounded, preds, active, {"mode": "INFERENCE_ONLY", "data_source": "events"})
@@ -657,26 +730,36 @@ def snapshot_latest(spark, d):
 # --- streaming ---------------------------------------------------------------------------------------
 
 
-def _feed(df: DataFrame, label: str) -> DataFrame:
-    """A table as a finished stream."""
-    return _refeed(stage(df, label), label)
+def _append_parts(df: DataFrame, path: str, parts: list[Column]) -> None:
+    for keep in parts:
+        df.filter(keep).write.mode("append").parquet(path)
+
 
+class _Feed:
+    """A table as a stream that arrives in three parts, by time."""
 
-def _refeed(staged: DataFrame, label: str) -> DataFrame:
-    spark = staged.sparkSession
-    folder = staged.inputFiles()[0].rsplit("/", 1)[0]
-    return spark.readStream.schema(staged.schema).parquet(folder)
+    def __init__(self, df: DataFrame, ts: str, label: str):
+        self.rows, self.path = stage(df, label), staged_folder(df.sparkSession, f"{label}-feed")
+        at = F.col(ts)
+        self.parts = [at < OLD_FROM, (at >= OLD_FROM) & (at < OLD_TO), at >= OLD_TO]
+        self.rows.limit(0).write.parquet(self.path)
+        self.stream = df.sparkSession.readStream.schema(self.rows.schema).parquet(self.path)
 
+    def send(self, part: int) -> None:
+        self.rows.filter(self.parts[part]).write.mode("append").parquet(self.path)
 
-def _drain(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and read its output."""
+
+def _drain(stream: DataFrame, label: str, *feeds: _Feed) -> DataFrame:
+    """Send the parts one by one, run the stream over what has come after each, and read its output."""
     spark = stream.sparkSession
-    base = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-    done = (
-        stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state")
-        .option("path", f"{base}/out").trigger(availableNow=True).start()
-    )
-    done.awaitTermination()
+    base = staged_folder(spark, label)
+    for part in range(3):
+        for feed in feeds:
+            feed.send(part)
+        (
+            stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/state")
+            .option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
+        )
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -690,7 +773,8 @@ def _heartbeat(df: DataFrame, ts: str, key: str = "ticker", days: int = 3) -> Da
 @query
 def stream_bars(spark, d):
     ticks = _heartbeat(src.ticks(spark, d), "ts").fillna({"price": 0.0})
-    bars = _drain(live.stream_build_bars(_feed(ticks, "tick-feed"), "1 hour"), "stream-bars")
+    feed = _Feed(ticks, "ts", "ticks")
+    bars = _drain(live.stream_build_bars(feed.stream, "1 hour"), "stream-bars", feed)
     return shown(bars.filter(F.col("ticker") != "~end"))
 
 
@@ -700,8 +784,8 @@ def stream_resolve(spark, d):
     preds = src.pending_ledger(spark, d).select("row_id", "timestamp", "ticker", "close", "prediction_direction")
     prices = bars.select("ticker", F.col("bar_ts").alias("ts"), F.col("close").alias("price"))
     both_end = _heartbeat(preds, "timestamp").fillna({"row_id": "~end"})
-    stream = live.stream_resolve(_feed(both_end, "pred-feed"), _feed(_heartbeat(prices, "ts"), "price-feed"))
-    done = _drain(stream, "stream-resolve").filter(F.col("ticker") != "~end")
+    asked, priced = _Feed(both_end, "timestamp", "preds"), _Feed(_heartbeat(prices, "ts"), "ts", "prices")
+    done = _drain(live.stream_resolve(asked.stream, priced.stream), "stream-resolve", asked, priced).filter(F.col("ticker") != "~end")
     return _outcomes(done)
 
 
@@ -709,37 +793,37 @@ def stream_resolve(spark, d):
 def stream_dedupe(spark, d):
     """Every ledger row delivered twice, kept once."""
     preds = src.predictions(spark, d).select("row_id", "timestamp", "ticker", "close")
-    feed = _feed(preds.unionByName(preds), "twice")
-    return shown(_drain(live.stream_dedupe(feed, ["row_id"], "timestamp"), "stream-dedupe"))
+    feed = _Feed(preds.unionByName(preds), "timestamp", "twice")
+    return shown(_drain(live.stream_dedupe(feed.stream, ["row_id"], "timestamp"), "stream-dedupe", feed))
 
 
 @query
 def stream_upsert(spark, d):
     ticks = _heartbeat(src.ticks(spark, d), "ts")
-    rows = _drain(live.stream_upsert(_feed(ticks, "upsert-feed"), ["ticker"], "ts", "event_id"), "stream-upsert")
+    feed = _Feed(ticks, "ts", "upserts")
+    rows = _drain(live.stream_upsert(feed.stream, ["ticker"], "ts", "event_id"), "stream-upsert", feed)
     return shown(rows.filter(F.col("ticker") != "~end"))
 
 
 @query
 def stream_latest(spark, d):
-    base = f"latest_{uuid.uuid4().hex}"
-    feed = _refeed(src.bars(spark, d), "bars")
-    run = (
-        live.stream_latest(feed).writeStream.format("memory").queryName(base).outputMode("complete")
-        .trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return shown(spark.table(base))
+    """Bars fed in three parts; each part's changed tickers are written under its batch."""
+    base = staged_folder(spark, "latest")
+    day = F.dayofmonth("bar_ts")
+    _append_parts(src.bars(spark, d), f"{base}/in", [day > 20, (day > 10) & (day <= 20), day <= 10])
+    feed = spark.readStream.schema(BAR).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    live.write_latest(live.stream_latest(feed), f"{base}/out", f"{base}/state").awaitTermination()
+    return shown(live.read_latest(spark, f"{base}/out"))
 
 
 @query
 def stream_indicators(spark, d):
     """Bars fed in three parts by day; the parts must give what one table gives."""
     bars = src.bars(spark, d)
-    base = f"{shared_root(spark)}/feed-{uuid.uuid4().hex}"
+    base = staged_folder(spark, "feed")
     day = F.dayofmonth("bar_ts")
     for part, keep in enumerate([day <= 10, (day > 10) & (day <= 20), day > 20]):
-        bars.filter(keep).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        bars.filter(keep).write.mode("append").parquet(f"{base}/in")
         feed = spark.readStream.schema(BAR).parquet(f"{base}/in")
         live.stream_indicators(feed, f"{base}/out", f"{base}/state", f"{base}/progress").awaitTermination()
     rows = spark.read.parquet(f"{base}/out").drop("batch", "series_len")
@@ -750,9 +834,9 @@ def stream_indicators(spark, d):
 def stream_rolling_accuracy(spark, d):
     """Outcomes fed in two parts; positions and windows continue over the cut."""
     preds = src.predictions(spark, d).select("row_id", "timestamp", "prediction_accuracy")
-    base = f"{shared_root(spark)}/roll-{uuid.uuid4().hex}"
+    base = staged_folder(spark, "roll")
     for keep in (F.col("timestamp") < OLD_FROM, F.col("timestamp") >= OLD_FROM):
-        preds.filter(keep).coalesce(1).write.mode("append").parquet(f"{base}/in")
+        preds.filter(keep).write.mode("append").parquet(f"{base}/in")
         feed = spark.readStream.schema(preds.schema).parquet(f"{base}/in")
         feed.writeStream.foreachBatch(live.rolling_sink(f"{base}/out", f"{base}/state")).option(
             "checkpointLocation", f"{base}/progress"
@@ -764,7 +848,7 @@ def stream_rolling_accuracy(spark, d):
 @query
 def post_market(spark, d):
     """The end-of-day job; result is the replay table after it."""
-    out = f"{shared_root(spark)}/post-{uuid.uuid4().hex}"
+    out = staged_folder(spark, "post")
     old, new = _two_versions(src.predictions(spark, d).drop(*src.ANALYST_COLUMNS))
     old = old.withColumn("used_in_training", F.lit(False))
     after = live.run_post_market(new, old, out, dt.date(2024, 1, 30), REPLAY_NOW, min_rows=1)

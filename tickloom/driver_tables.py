@@ -31,6 +31,37 @@ def bars(spark: SparkSession, sf_dir: str, width: str = "1 hour") -> DataFrame:
     return stage(build_bars(ticks(spark, sf_dir), width), "bars")
 
 
+def gappy_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trades, some of them without a price (null or NaN) or ticker, by their number."""
+    n = lambda m: F.pmod("event_id", F.lit(m))
+    price = F.when(n(17) == 3, F.lit(None)).when(n(17) == 5, F.lit(float("nan"))).otherwise(F.col("price"))
+    return ticks(spark, sf_dir).withColumns({"price": price, "ticker": F.when(n(29) != 4, F.col("ticker"))})
+
+
+def gappy_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hourly bars, some of them with a null or NaN close, by day and hour."""
+    day, hour = F.dayofmonth("bar_ts"), F.hour("bar_ts")
+    missing, broken = (day % 3 == 0) & (hour == 7), (day % 4 == 1) & (hour == 13)
+    close = F.when(missing, F.lit(None)).when(broken, F.lit(float("nan"))).otherwise(F.col("close"))
+    return stage(bars(spark, sf_dir).withColumn("close", close), "gappy-bars")
+
+
+def write_bar_files(rows: DataFrame, path: str) -> None:
+    """One CSV file per ticker, as the file reader expects them; the given tables have a handful."""
+    spark = rows.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop(path))
+    for (ticker,) in rows.select("ticker").distinct().collect():
+        one = rows.filter(F.col("ticker") == ticker).select(
+            F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "open", "high", "low", "close", "volume"
+        )
+        part = f"{path}-parts/{ticker}"
+        one.coalesce(1).write.option("header", True).csv(part)
+        made = [f.getPath() for f in fs.listStatus(hadoop(part)) if f.getPath().getName().startswith("part-")]
+        fs.rename(made[0], hadoop(f"{path}/NSE_{ticker}.csv"))
+
+
 def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier from ``lineitem``: unit prices, and the previous close as open.
 

@@ -21,9 +21,20 @@ POSTMARKET_FROM = "15:30"
 NATIONAL_HOLIDAYS = ((1, 26), (8, 15), (10, 2), (12, 25))
 
 
-def national_holidays(first_year: int = 2000, last_year: int = 2040) -> list[dt.date]:
-    years = range(first_year, last_year + 1)
-    return [dt.date(y, m, d) for y in years for m, d in NATIONAL_HOLIDAYS]
+def is_national_holiday(ts: Column) -> Column:
+    """One of the fixed dates, in any year."""
+    return F.date_format(ts, "MM-dd").isin([f"{m:02d}-{d:02d}" for m, d in NATIONAL_HOLIDAYS])
+
+
+def with_closed(df: DataFrame, holidays: DataFrame, ts: str = "bar_ts", out: str = "closed") -> DataFrame:
+    """Flag ``out``: a fixed national holiday or a date of the table ``holidays`` (column ``date``).
+
+    The table holds the movable feasts; pass ``F.col(out)`` to the predicates below.
+    """
+    dates = holidays.select(F.col("date").alias("_closed")).where("_closed IS NOT NULL").distinct()
+    joined = df.join(dates, F.to_date(ts) == F.col("_closed"), "left")
+    flag = F.coalesce(F.col("_closed").isNotNull() | is_national_holiday(F.col(ts)), F.lit(False))
+    return joined.withColumn(out, flag).drop("_closed")
 
 
 def to_ist(ts: Column) -> Column:
@@ -35,10 +46,21 @@ def hhmm(ts: Column) -> Column:
     return F.date_format(ts, "HH:mm")
 
 
-def is_trading_day(ts: Column, holidays: Iterable[dt.date] | None = None) -> Column:
-    """Monday to Friday and not a holiday. The holiday list is a short literal set."""
-    closed = list(national_holidays() if holidays is None else holidays)
+Holidays = Iterable[dt.date] | Column | None
+
+
+def is_trading_day(ts: Column, holidays: Holidays = None) -> Column:
+    """Monday to Friday and not a holiday.
+
+    Holidays are the fixed dates of every year unless given: as a short list of dates, or as a flag
+    column (see :func:`with_closed`).
+    """
     weekday = F.weekday(ts) < 5
+    if holidays is None:
+        return weekday & ~is_national_holiday(ts)
+    if isinstance(holidays, Column):
+        return weekday & ~holidays
+    closed = list(holidays)
     return weekday & ~F.to_date(ts).isin(closed) if closed else weekday
 
 
@@ -52,16 +74,16 @@ def trading_days(df: DataFrame, holidays: DataFrame, ts: str = "bar_ts") -> Data
     return working.join(closed, F.to_date(ts) == F.col("_closed"), "left_anti")
 
 
-def within_trading_hours(ts: Column, holidays: Iterable[dt.date] | None = None) -> Column:
+def within_trading_hours(ts: Column, holidays: Holidays = None) -> Column:
     close = F.when(F.weekday(ts) == 4, FRIDAY_TO).otherwise(SESSION_TO)
     at = hhmm(ts)
     return is_trading_day(ts, holidays) & (at >= SESSION_FROM) & (at < close)
 
 
-def is_premarket(ts: Column, holidays: Iterable[dt.date] | None = None) -> Column:
+def is_premarket(ts: Column, holidays: Holidays = None) -> Column:
     at = hhmm(ts)
     return is_trading_day(ts, holidays) & (at >= PREMARKET_FROM) & (at < SESSION_FROM)
 
 
-def is_postmarket(ts: Column, holidays: Iterable[dt.date] | None = None) -> Column:
+def is_postmarket(ts: Column, holidays: Holidays = None) -> Column:
     return is_trading_day(ts, holidays) & (hhmm(ts) >= POSTMARKET_FROM)

@@ -15,6 +15,7 @@ from tickloom.session import stage
 
 RANDOM_LEVEL_PCT = 100.0 / 3.0
 _TOTAL_BLOCK = 65_536
+_TOTAL_GROUP = 4096
 
 
 
@@ -98,18 +99,15 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
     Empty intervals are listed. If all values are equal the range is half a unit to each side.
     """
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("_x"))
-    ends = values.agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"))
-    flat = F.col("_a") == F.col("_b")
-    ends = ends.select(
-        F.when(flat, F.col("_a") - 0.5).otherwise(F.col("_a")).alias("_a"),
-        F.when(flat, F.col("_b") + 0.5).otherwise(F.col("_b")).alias("_b"),
-    )
-    low, high = ends.select("_a").scalar(), ends.select("_b").scalar()
-    binned = values.withColumns({"_a": low, "_b": high}).select(
+    # One row: the ends, found in one pass before the counting pass.
+    a, b = values.agg(F.min("_x"), F.max("_x")).first()
+    low, high = (a, b) if a != b else (None, None) if a is None else (a - 0.5, b + 0.5)
+    both = {"_a": F.lit(low).cast("double"), "_b": F.lit(high).cast("double")}
+    binned = values.withColumns(both).select(
         F.least(F.floor((F.col("_x") - F.col("_a")) / (F.col("_b") - F.col("_a")) * bins), F.lit(bins - 1)).alias("bin"),
     )
     counts = binned.groupBy("bin").agg(_n().alias("n"))
-    every = ends.select("_a", "_b", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    every = df.sparkSession.range(bins).select(F.col("id").alias("bin")).withColumns(both)
     width = (F.col("_b") - F.col("_a")) / bins
     return (
         every.withColumn("bin", F.col("bin").cast("bigint"))
@@ -169,14 +167,14 @@ def _narrow(df: DataFrame, by: str | None, *needed: str) -> DataFrame:
     return df.select(*[c for c in wanted if c in have])
 
 
-def prediction_index(df: DataFrame, by: str | None = None) -> DataFrame:
+def prediction_index(df: DataFrame, by: str | None = None, staged: list | None = None) -> DataFrame:
     """Add ``series_idx`` and ``series_len`` in order of time (all rows, or per ``by``).
 
     Rows are numbered by a range sort over the cluster; neither the whole table nor one ticker is
-    ever sorted in a single task.
+    ever sorted in a single task. ``staged`` gets the folder that the sort writes, for callers that remove it.
     """
     keys = [by] if by else []
-    return number_rows(df, keys, _ORDER, out="series_idx", total="series_len")
+    return number_rows(df, keys, _ORDER, out="series_idx", total="series_len", staged=staged)
 
 
 def _keyed(df: DataFrame, by: str | None) -> tuple[DataFrame, str]:
@@ -184,13 +182,23 @@ def _keyed(df: DataFrame, by: str | None) -> tuple[DataFrame, str]:
 
 
 def running_total(df: DataFrame, value: Column, out: str, by: str | None = None) -> DataFrame:
-    """Running sum along ``series_idx``: inside fixed blocks, plus the totals of earlier blocks."""
+    """Running sum along ``series_idx``: inside fixed blocks, plus the totals of earlier blocks.
+
+    The totals are summed up in two levels, blocks inside a group of blocks and groups, so that no task sees
+    more than a square root of them.
+    """
     helpers = () if by else ("_all",)
     df, key = _keyed(df, by)
     rows = df.withColumns({"_v": value, "_blk": F.floor(F.col("series_idx") / _TOTAL_BLOCK)})
     totals = rows.groupBy(key, "_blk").agg(F.sum("_v").alias("_t"))
-    earlier = W.partitionBy(key).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(key, "_blk", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
+    totals = totals.withColumn("_grp", F.floor(F.col("_blk") / _TOTAL_GROUP))
+    groups = totals.groupBy(key, "_grp").agg(F.sum("_t").alias("_gt"))
+    before = lambda what, order, *within: F.coalesce(
+        F.sum(what).over(W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
+    )
+    groups = groups.select(key, "_grp", before("_gt", "_grp", key).alias("_gb"))
+    totals = totals.withColumn("_tb", before("_t", "_blk", key, "_grp")).join(groups, [key, "_grp"])
+    totals = totals.select(key, "_blk", (F.col("_gb") + F.col("_tb")).alias("_before"))
     inside = W.partitionBy(key, "_blk").orderBy("series_idx").rowsBetween(W.unboundedPreceding, 0)
     summed = rows.withColumn("_in", F.sum("_v").over(inside))
     joined = summed.join(totals.repartition(key, "_blk"), [key, "_blk"])

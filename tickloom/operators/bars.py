@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickloom.functions.market_time import SESSION_FROM
 from tickloom.functions.scoring import bar_change_columns, bar_side as side_expr
-from tickloom.plans.blocks import SeriesBlocks, index_series
+from tickloom.plans.blocks import SeriesBlocks, index_series, usable
+from tickloom.session import stage
 from tickloom.schema import SAMPLE_START, SAMPLE_STEP, UNIVERSE
 
 
@@ -17,11 +18,12 @@ def build_bars(ticks: DataFrame, width: str = "5 minutes") -> DataFrame:
 
     One hash aggregation, combined on the map side, keyed on (ticker, interval): a busy ticker
     spreads over its intervals. Times of one ticker should be distinct, else the open or close of
-    the shared instant is any of its prices.
+    the shared instant is any of its prices. Ticks without ticker, time or price (null or NaN) make
+    no bar; :func:`unusable_ticks` lists them.
     """
     per = F.window("ts", width)
     return (
-        ticks.filter(F.col("ticker").isNotNull() & F.col("price").isNotNull())
+        ticks.filter(usable(ticks, "ticker", "ts", "price"))
         .groupBy("ticker", per.alias("_w"))
         .agg(
             F.min_by("price", "ts").alias("open"),
@@ -34,6 +36,25 @@ def build_bars(ticks: DataFrame, width: str = "5 minutes") -> DataFrame:
     )
 
 
+def unusable_ticks(ticks: DataFrame) -> DataFrame:
+    """Ticks that :func:`build_bars` leaves out, for a quarantine."""
+    return ticks.filter(~usable(ticks, "ticker", "ts", "price"))
+
+
+def validate_bars(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bars fit for indicators, and those set aside with a ``problem``.
+
+    Set aside are bars without key or time, with a null or NaN price, and all but one of the bars of
+    one ticker and time.
+    """
+    problem = F.when(~usable(bars, "ticker", "bar_ts"), "key").when(~usable(bars, "open", "high", "low", "close"), "price")
+    marked = bars.withColumn("problem", problem)
+    fine = marked.filter("problem IS NULL")
+    nth = F.row_number().over(W.partitionBy("ticker", "bar_ts").orderBy("close", "volume"))
+    fine = fine.withColumn("problem", F.when(nth > 1, "duplicate"))
+    return fine.filter("problem IS NULL").drop("problem"), marked.filter("problem IS NOT NULL").unionByName(fine.filter("problem IS NOT NULL"))
+
+
 def universe_table(spark, universe: Sequence[tuple[str, str]] = UNIVERSE) -> DataFrame:
     rows = [(i, t, s) for i, (t, s) in enumerate(universe)]
     return spark.createDataFrame(rows, "ord long, ticker string, sector string")
@@ -90,7 +111,7 @@ def systematic_sample(bars: DataFrame, start: int = SAMPLE_START, step: int = SA
 
 def bar_returns(bars: DataFrame) -> DataFrame:
     """Previous close and simple return of each bar."""
-    b = SeriesBlocks(bars, back=1)
+    b = SeriesBlocks(bars, back=1, needs=("close",))
     b.add(prev_close=b.over("lag(close)"))
     return b.add(simple_return="try_divide(close - prev_close, prev_close)").own()
 
@@ -146,6 +167,7 @@ def session_grid(days: DataFrame, bars_per_day: int = 71, minutes: int = 5) -> D
 
 def missing_bars(bars: DataFrame, bars_per_day: int = 71, minutes: int = 5) -> DataFrame:
     """Session bars absent from each ticker, over the weekdays on which it has any bar."""
+    bars = stage(bars.select("ticker", "bar_ts"), "bar-times")  # read twice
     days = bars.select("ticker", F.to_date("bar_ts").alias("date")).distinct()
     expected = session_grid(days, bars_per_day, minutes)
     return expected.join(bars.select("ticker", "bar_ts"), ["ticker", "bar_ts"], "left_anti")

@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickloom.plans.blocks import (
-    SeriesBlocks, block_size, forget_rows, index_series, real, replace_columns, trailing, with_day,
+    SeriesBlocks, block_size, forget_rows, index_series, real, replace_columns, trailing, usable, with_day,
 )
 from tickloom.schema import INDICATOR_COLUMNS, MIN_HISTORY_ROWS
 
@@ -44,10 +44,15 @@ def vwap(bars: DataFrame) -> DataFrame:
     return add_vwap(bars).drop("_day")
 
 
-def _slices(bars: DataFrame, alphas: Sequence[float], rows: int, lead_in: int, size: int | None) -> SeriesBlocks:
+# Columns without which a bar takes no part; its indicators are null and the others skip it.
+PRICES = ("close", "high", "low")
+
+
+def _slices(bars: DataFrame, alphas: Sequence[float], rows: int, lead_in: int, size: int | None,
+            needs: Sequence[str] = PRICES) -> SeriesBlocks:
     """Slices with enough earlier rows for the given smoothing factors on top of ``rows``."""
     back = rows + max([0, *[forget_rows(a) for a in alphas]])
-    return SeriesBlocks(bars, back=back, size=size or block_size(list(alphas), back, lead_in))
+    return SeriesBlocks(bars, back=back, size=size or block_size(list(alphas), back, lead_in), needs=needs)
 
 
 _PREV = "lag(close)"
@@ -88,12 +93,12 @@ def _sma(b: SeriesBlocks, n: int) -> str:
 
 
 def true_range(bars: DataFrame) -> DataFrame:
-    b = SeriesBlocks(bars, back=1)
+    b = SeriesBlocks(bars, back=1, needs=PRICES)
     return b.add(_pc=b.over(_PREV)).add(true_range=_TRUE_RANGE).own("_pc")
 
 
 def rsi(bars: DataFrame, n: int = RSI_N, size: int | None = None) -> DataFrame:
-    b = _slices(bars, [rma_alpha(n)], 1, n, size)
+    b = _slices(bars, [rma_alpha(n)], 1, n, size, ("close",))
     b.add(_pc=b.over(_PREV)).add(**_rsi_pair(b, n)).add(**{f"rsi_{n}": _RSI})
     return b.own("_pc", "_gain", "_loss")
 
@@ -113,7 +118,7 @@ def macd(bars: DataFrame, fast: int = MACD_FAST, slow: int = MACD_SLOW, signal:
          size: int | None = None) -> DataFrame:
     alphas = [ema_alpha(n) for n in (fast, slow, signal)]
     back = _macd_back(fast, slow, signal)
-    b = SeriesBlocks(bars, back=back, size=size or block_size(alphas, back, slow + signal))
+    b = SeriesBlocks(bars, back=back, size=size or block_size(alphas, back, slow + signal), needs=("close",))
     b.add(_fast=b.smooth("close", alphas[0], fast), _slow=b.smooth("close", alphas[1], slow))
     b.add(macd="_fast - _slow")
     b.add(macd_signal=b.smooth("macd", alphas[2], signal, first=max(fast, slow) - 1))
@@ -121,27 +126,27 @@ def macd(bars: DataFrame, fast: int = MACD_FAST, slow: int = MACD_SLOW, signal:
 
 
 def bollinger(bars: DataFrame, n: int = BB_N, k: float = BB_K, ddof: int = 1) -> DataFrame:
-    b = SeriesBlocks(bars, back=n - 1)
+    b = SeriesBlocks(bars, back=n - 1, needs=("close",))
     return b.add(**_bollinger_pair(b, n, ddof)).add(**_bollinger_bands(n, k)).own("_mid", "_dev")
 
 
 def sma(bars: DataFrame, *lengths: int) -> DataFrame:
     lengths = lengths or SMA_LENGTHS
     back = max(lengths)
-    b = SeriesBlocks(bars, back=back, size=block_size([], back))
+    b = SeriesBlocks(bars, back=back, size=block_size([], back), needs=("close",))
     b.add(**b.running_pair("close", "close")).add(**{f"sma_{n}": _sma(b, n) for n in lengths})
     return b.own("_close_s", "_close_c")
 
 
 def ema(bars: DataFrame, col: str, n: int, size: int | None = None) -> DataFrame:
-    """Exponential average of a non-null column, started with the mean of the first n values."""
-    b = _slices(bars, [ema_alpha(n)], 0, n, size)
+    """Exponential average of a column, started with the mean of the first n values; skips nulls."""
+    b = _slices(bars.drop("series_idx", "series_len"), [ema_alpha(n)], 0, n, size, (col,))
     return b.add(**{f"ema_{n}": b.smooth(f"double(`{col}`)", ema_alpha(n), n)}).own()
 
 
 def rma(bars: DataFrame, col: str, n: int, size: int | None = None) -> DataFrame:
-    """Wilder average of a non-null column, started with the first value."""
-    b = _slices(bars, [rma_alpha(n)], 0, n, size)
+    """Wilder average of a column, started with the first value; skips nulls."""
+    b = _slices(bars.drop("series_idx", "series_len"), [rma_alpha(n)], 0, n, size, (col,))
     return b.add(**{f"rma_{n}": b.smooth(f"double(`{col}`)", rma_alpha(n), n, seed="first")}).own()
 
 
@@ -167,10 +172,15 @@ HELPERS = (
 
 def indicator_blocks(bars: DataFrame, extra_back: int = 0, ahead: int = 0,
                      size: int | None = None) -> SeriesBlocks:
-    """Slices with every indicator column, before gating; copied rows still included."""
+    """Slices with every indicator column, before gating; copied rows still included.
+
+    Bars without key, time or prices (null or NaN) are set aside and come back with null indicators.
+    """
     back = INDICATOR_BACK + extra_back
     size = size or block_size(_ALPHAS, back, max(SMA_LENGTHS))
-    b = SeriesBlocks(index_series(add_vwap(bars)), back=back, ahead=ahead, size=size)
+    good = usable(bars, "ticker", "bar_ts", *PRICES)
+    b = SeriesBlocks(index_series(add_vwap(bars.filter(good))), back=back, ahead=ahead, size=size)
+    b.rest = bars.filter(~good)
     b.add(_pc=b.over(_PREV)).add(true_range=_TRUE_RANGE)
     b.add(
         **_rsi_pair(b, RSI_N),
@@ -199,6 +209,14 @@ def drop_warmup(df: DataFrame) -> DataFrame:
     return df.where("rsi_14 IS NOT NULL")
 
 
+def indicator(name: str) -> Callable[[DataFrame], DataFrame]:
+    """The operator registered under ``name``."""
+    try:
+        return INDICATORS[name]
+    except KeyError:
+        raise ValueError(f"unknown indicator {name!r}; there are {', '.join(sorted(INDICATORS))}") from None
+
+
 # Indicator registry: name to operator on bars.
 INDICATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "vwap": vwap,

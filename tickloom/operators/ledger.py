@@ -13,7 +13,7 @@ from tickloom.operators.indicators import drop_warmup, min_history_gate
 from tickloom.operators.prompts import ROLES, SYNTHESIZER
 from tickloom.operators.signals import ANALYST_HELPERS, Predictor, analysed_blocks, ensemble
 from tickloom.plans.asof import asof_forward
-from tickloom.plans.blocks import WHOLE, SeriesBlocks, index_series
+from tickloom.plans.blocks import WHOLE, SeriesBlocks
 from tickloom.schema import (
     BAR_SECONDS, EXPIRED, EXPIRY_SECONDS, LEDGER_INDICATORS, PHASE1, PHASE2, SAMPLE_START, SAMPLE_STEP,
 )
@@ -134,11 +134,21 @@ def expired_columns(at: Column) -> dict[str, Column]:
 def resolve_phase2(ledger: DataFrame, prices: DataFrame, asof: dt.datetime,
                    min_gap_s: float = BAR_SECONDS, max_gap_s: float = EXPIRY_SECONDS) -> DataFrame:
     """Outcomes as known at ``asof``: pending rows take the first price in their window, expire
-    once the window has passed without one, and wait otherwise."""
+    once the window has passed without one, and wait otherwise.
+
+    Only pending rows are joined, with the prices between the first and the last of their windows; all other
+    rows pass through untouched.
+    """
     at = F.lit(asof).cast("timestamp")
-    known = prices.filter(F.col("ts") <= at)
-    matched = resolve_forward(ledger, known, min_gap_s, max_gap_s)
     waiting = pending()
+    open_rows = ledger.filter(waiting)
+    times = open_rows.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
+    span = times.select(F.struct(F.unix_micros("a").alias("a"), F.unix_micros("b").alias("b")).alias("s")).scalar()
+    micros = F.unix_micros("ts")
+    known = prices.filter(F.col("ts") <= at).withColumn("_s", span).filter(
+        (micros >= F.col("_s.a") + int(min_gap_s * 1e6)) & (micros <= F.col("_s.b") + int(max_gap_s * 1e6))
+    ).drop("_s")
+    matched = resolve_forward(open_rows, known, min_gap_s, max_gap_s)
     late = waiting & F.col("matched_ts").isNull() & (elapsed_s("timestamp", at) > max_gap_s)
     found = waiting & F.col("matched_ts").isNotNull()
     hits = outcome_columns(F.col("matched_value"), F.col("matched_ts"))
@@ -146,7 +156,8 @@ def resolve_phase2(ledger: DataFrame, prices: DataFrame, asof: dt.datetime,
     merged = {
         c: F.when(found, hits[c]).when(late, gone[c]).otherwise(F.col(c)) for c in PHASE2_COLUMNS
     }
-    return matched.withColumns(merged).drop("matched_ts", "matched_value")
+    done = matched.withColumns(merged).drop("matched_ts", "matched_value")
+    return ledger.filter(~waiting).unionByName(done)
 
 
 def sweep_orphans(ledger: DataFrame, now: dt.datetime | Column, wait_s: float = BAR_SECONDS,
@@ -168,7 +179,7 @@ def sweep_orphans(ledger: DataFrame, now: dt.datetime | Column, wait_s: float =
 
 def resolve_by_offset(bars: DataFrame, offset: int = SAMPLE_STEP) -> DataFrame:
     """Close ``offset`` bars later, or the last close of the series."""
-    b = SeriesBlocks(index_series(bars), back=0, ahead=offset)
+    b = SeriesBlocks(bars, back=0, ahead=offset, needs=("close",))
     return b.add(resolution_price=_close_ahead(b, offset)).own()
 
 

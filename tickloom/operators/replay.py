@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.scoring import resolved
 from tickloom.operators.bars import last_n
-from tickloom.plans.quota import keep_quota
+from tickloom.plans.quota import keep_first
 from tickloom.schema import EXPIRED, REPLAY_DAYS, STATIC_SHARE
 
 
@@ -22,16 +22,15 @@ def distinct_last(df: DataFrame, key: str, order) -> DataFrame:
     return last_n(df, [key], F.desc_nulls_last(order), 1)
 
 
-def merge_latest(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def merge_latest(old: DataFrame, new: DataFrame, key: str, order: str = "timestamp") -> DataFrame:
     """Union by key where a row of ``new`` replaces that of ``old``.
 
-    The newer row is picked by an aggregation that starts on the map side, so many copies of one
-    key shrink before the shuffle.
+    ``old`` is read through once without the keys of ``new`` (broadcast when those are few, so that
+    ``old`` is not shuffled). Of rows that share a key in ``new`` the last by ``order`` counts;
+    ``old``, which such merges made, has each key once.
     """
-    both = union_all(old.withColumn("_src", F.lit(0)), new.withColumn("_src", F.lit(1)))
-    columns = [c for c in both.columns if c != "_src"]
-    newest = both.groupBy(key).agg(F.max_by(F.struct(*columns), "_src").alias("_row"))
-    return newest.select("_row.*")
+    rows = distinct_last(new, key, order)
+    return union_all(old.join(new.select(key).distinct(), key, "left_anti"), rows).select(*old.columns, *[c for c in new.columns if c not in old.columns])
 
 
 def completed(ledger: DataFrame) -> DataFrame:
@@ -48,17 +47,18 @@ def scored(ledger: DataFrame, include_expired: bool = False) -> DataFrame:
 def update_replay(replay: DataFrame, done: DataFrame, now: dt.datetime, days: int = REPLAY_DAYS) -> DataFrame:
     """Replay rows plus newly completed ones, the newer version of each row, last ``days`` days.
 
-    A row once used in training stays marked, whichever version wins.
+    A row once used in training stays marked, whichever version wins. Only the new rows and the ids
+    of marked old ones are shuffled when the new ones are few.
     """
-    cutoff = F.lit(now - dt.timedelta(days=days)).cast("timestamp")
-    both = union_all(replay.withColumn("_src", F.lit(0)), done.withColumn("_src", F.lit(1)))
-    both = both.filter(F.col("timestamp") >= cutoff)
-    columns = [c for c in both.columns if c not in ("_src", "used_in_training")]
-    merged = both.groupBy("row_id").agg(
-        F.max_by(F.struct(*columns), "_src").alias("_row"),
-        F.coalesce(F.bool_or("used_in_training"), F.lit(False)).alias("used_in_training"),
-    )
-    return merged.select("_row.*", "used_in_training").select(*replay.columns)
+    cutoff = F.col("timestamp") >= F.lit(now - dt.timedelta(days=days)).cast("timestamp")
+    old, new = replay.filter(cutoff), done.filter(cutoff)
+    used = old.filter("used_in_training").select(F.col("row_id").alias("_id")).distinct()
+    last = distinct_last(new, "row_id", "resolution_timestamp").join(used, F.col("row_id") == F.col("_id"), "left")
+    flag = F.coalesce(F.col("used_in_training"), F.lit(False)) | F.col("_id").isNotNull()
+    last = last.withColumn("used_in_training", flag).drop("_id")
+    kept = old.join(new.select("row_id").distinct(), "row_id", "left_anti")
+    kept = kept.withColumn("used_in_training", F.coalesce("used_in_training", F.lit(False)))
+    return union_all(kept, last).select(*replay.columns)
 
 
 def mark_trained(replay: DataFrame, used_ids: DataFrame) -> DataFrame:
@@ -73,8 +73,7 @@ def mix_replay(rolling: DataFrame, static: DataFrame, share: float = STATIC_SHAR
     The static rows are a repeatable hash sample; fewer are taken only if there are not enough.
     """
     wanted = F.floor(F.count(F.lit(1)) * F.lit(share / (1 - share)) + F.lit(1e-9))
-    quota = rolling.agg(wanted.alias("quota")).withColumn("_g", F.lit("static"))
-    sample = keep_quota(static.withColumn("_g", F.lit("static")), "_g", "row_id", seed, quota).drop("_g")
+    sample = keep_first(static, "row_id", seed, rolling.agg(wanted.alias("quota")).scalar())
     return union_all(
         rolling.withColumn("source", F.lit("rolling")), sample.withColumn("source", F.lit("static"))
     )

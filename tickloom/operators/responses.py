@@ -19,16 +19,25 @@ def normalize_responses(df: DataFrame, key: str = "row_id", attempt: str = "atte
     to the same defaults.
     """
     parsed = df.filter(F.col(attempt) <= _MAX_ATTEMPTS).withColumn("_p", parse_prediction(response))
-    is_json = F.col("_p.is_json")
-    first = F.min_by(F.when(is_json, F.col("_p")), F.when(is_json, F.col(attempt)))
-    chosen = parsed.groupBy(key).agg(first.alias("_p"))
     usable = F.coalesce(F.col("_p.usable"), F.lit(False))
     pick = lambda field, default: F.when(usable, F.col(f"_p.{field}")).otherwise(F.lit(default))
+    place = lambda label, labels: (F.array_position(F.array(*[F.lit(x) for x in labels]), label) - 1).cast("int")
+    is_json = F.col("_p.is_json")
+    coded = parsed.select(
+        key, F.when(is_json, F.col(attempt)).alias("_n"),
+        place(clamp_enum(pick("direction", "SIDEWAYS"), DIRECTIONS, "SIDEWAYS"), DIRECTIONS).alias("_d"),
+        pick("target_return_pct", 0.0).cast("double").alias("_t"),
+        place(clamp_enum(pick("confidence", "LOW"), CONFIDENCES, "LOW"), CONFIDENCES).alias("_c"),
+    )
+    # Labels travel as their place in the list: fixed-width values keep this a hash aggregation.
+    first = lambda c: F.min_by(F.when(F.col("_n").isNotNull(), F.col(c)), "_n").alias(c)
+    chosen = coded.groupBy(key).agg(first("_d"), first("_t"), first("_c"))
+    name = lambda c, labels, default: F.coalesce(F.get(F.array(*[F.lit(x) for x in labels]), F.col(c)), F.lit(default))
     return chosen.select(
         key,
-        clamp_enum(pick("direction", "SIDEWAYS"), DIRECTIONS, "SIDEWAYS").alias("direction"),
-        pick("target_return_pct", 0.0).alias("target_return_pct"),
-        clamp_enum(pick("confidence", "LOW"), CONFIDENCES, "LOW").alias("confidence"),
+        name("_d", DIRECTIONS, "SIDEWAYS").alias("direction"),
+        F.coalesce("_t", F.lit(0.0)).alias("target_return_pct"),
+        name("_c", CONFIDENCES, "LOW").alias("confidence"),
     )
 
 

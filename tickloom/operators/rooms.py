@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.text import decode_messages
+from tickloom.operators.bars import last_n
 from tickloom.plans.ranking import number_rows
 
 TRANSCRIPT_CHARS = 3000
+# Fixed value: the mark after a cut transcript.
 TRUNCATED = "...[truncated]"
 MAX_ROOMS = 100
 # A transcript line has at least "[] " and its line break.
@@ -38,20 +40,17 @@ def room_history(msgs: DataFrame, room_id=None, room: str = "room_id") -> DataFr
 def room_transcript(msgs: DataFrame, max_chars: int = TRANSCRIPT_CHARS, room: str = "room_id") -> DataFrame:
     """``[sender] text`` lines of each room, cut at ``max_chars`` with a marker.
 
-    Turns are dense (see :func:`assign_turns`), so later turns than ``max_chars`` can hold lines
-    never show up in the cut text: per room only the head is collected, while the full length is
-    summed over every message.
+    A line has at least four characters, so no more than ``max_chars`` / 4 + 1 messages per room can
+    show up in the cut text, whatever their turn numbers are: only those are kept (limited before the
+    shuffle) and collected, while the full length is summed over every message.
     """
     line = F.concat(F.lit("["), F.col("sender"), F.lit("] "), F.coalesce(F.col("text"), F.lit("")))
-    head = F.when(
-        F.col("turn") <= max_chars // _SHORTEST_LINE,
-        F.struct("turn", F.substring(line, 1, max_chars + 1).alias("line")),
-    )
-    rooms = msgs.groupBy(room).agg(
-        F.sum(F.length(line).cast("long") + 1).alias("_len"),
-        F.count(F.lit(1)).alias("n_messages"),
-        F.array_sort(F.collect_list(head)).alias("_head"),
-    )
+    lines = msgs.select(room, "turn", F.substring(line, 1, max_chars + 1).alias("line"))
+    first = last_n(lines, [room], ["turn", "line"], max_chars // _SHORTEST_LINE + 1)
+    heads = first.groupBy(room).agg(F.array_sort(F.collect_list(F.struct("turn", "line"))).alias("_head"))
+    sizes = msgs.groupBy(room).agg(F.sum(F.length(line).cast("long") + 1).alias("_len"), F.count(F.lit(1)).alias("n_messages"))
+    heads = heads.withColumnRenamed(room, "_room")
+    rooms = sizes.join(heads, F.col(room).eqNullSafe(F.col("_room"))).drop("_room")
     joined = F.array_join(F.transform("_head", lambda m: m["line"]), "\n")
     n_chars = F.col("_len") - 1
     cut = F.concat(F.substring(joined, 1, max_chars), F.lit(TRUNCATED))
@@ -69,7 +68,7 @@ def keep_newest_rooms(msgs: DataFrame, n: int = MAX_ROOMS, room: str = "room_id"
     newest = (
         msgs.select(room).distinct().orderBy(F.desc_nulls_last(number), F.desc(room)).limit(n)
     )
-    return msgs.join(F.broadcast(newest), room, "left_semi") if n <= 10_000 else msgs.join(newest, room, "left_semi")
+    return msgs.join(newest, room, "left_semi")
 
 
 def contributions_for(ledger: DataFrame, ids: DataFrame) -> DataFrame:

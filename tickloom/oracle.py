@@ -589,3 +589,26 @@ pred_q("stream_dedupe", f"SELECT row_id, {TS}, ticker, {r('close')} AS close FRO
 pred_q("post_market", f"""SELECT row_id, {TS}, prediction_accuracy, row_id IN (SELECT row_id FROM trained) AS used_in_training
   FROM p AS p0 WHERE p0.{CUT}""", extra=(f"good AS (SELECT * FROM p WHERE {OLD} AND prediction_accuracy)",
                                       "trained AS (" + BALANCE.format("good") + ")"))
+
+
+# --- gaps, files and stores ----------------------------------------------------------------------------
+
+NO_PRICE, NO_TICKER = "event_id % 17 IN (3, 5)", "event_id % 29 = 4"
+ORACLE_SQL["quarantine_ticks"] = with_(TICKS) + f"""SELECT event_id, CASE WHEN NOT {NO_TICKER} THEN ticker END AS ticker
+  FROM ticks WHERE {NO_PRICE} OR {NO_TICKER}"""
+ORACLE_SQL["bars_csv_roundtrip"] = with_(*BARS) + f"SELECT 'NSE:' || ticker AS ticker, {BT}, {OHLC}, volume FROM bars"
+ORACLE_SQL["bars_csv_stream"] = ORACLE_SQL["bars_csv_roundtrip"]
+ORACLE_SQL["normalize_columns"] = ORACLE_SQL["bars_hourly"]
+pred_q("id_numbers", "SELECT row_id, CAST(split_part(cycle_id, '_', 2) AS BIGINT) AS sample_idx FROM p")
+ORACLE_SQL["indicator_registry"] = with_(*BARS, *INDICATORS) + " UNION ALL ".join(
+    f"SELECT ticker, {BT}, '{name}' AS indicator, {r(column)} AS value FROM {source}"
+    for name, column, source in (("vwap", "vwap", "ind"), ("rsi", "rsi_14", "ind"), ("sma", "sma_50", "ind"), ("true_range", "tr", "base"))
+)
+GAP = "((day(bar_ts) % 3 = 0 AND hour(bar_ts) = 7) OR (day(bar_ts) % 4 = 1 AND hour(bar_ts) = 13))"
+GAP_COLS = ("rsi_14", "macd", "macd_signal", "bb_upper", "atr_14", "sma_50")
+ORACLE_SQL["indicators_with_gaps"] = with_(
+    TICKS, bars_cte().replace("bars AS", "every_bar AS", 1), f"bars AS (SELECT * FROM every_bar WHERE NOT {GAP})", *INDICATORS
+) + f"""SELECT ticker, {BT}, {rounded("close", *GAP_COLS)} FROM ind
+  UNION ALL SELECT ticker, {BT}, NULL AS close, {", ".join(f"NULL AS {c}" for c in GAP_COLS)} FROM every_bar WHERE {GAP}"""
+ORACLE_SQL["room_transcript_gaps"] = ORACLE_SQL["room_transcript"]
+ORACLE_SQL["ledger_lifecycle"] = ORACLE_SQL["resolve_phase2"]

@@ -18,8 +18,10 @@ def asof_forward(
 ) -> DataFrame:
     """Add ``matched_ts`` and ``matched_value`` to ``left``; null where nothing qualifies.
 
-    Both sides are merged and sorted inside (key, time bucket) slices, so the work is linear: no
-    pairs are formed and no row is copied. A row without a match inside its bucket takes the
+    What a row finds depends on its key and time alone. Distinct (key, time) pairs of both sides are
+    merged and sorted inside (key, time bucket) slices, as narrow rows; what they find is joined to the
+    rows afterwards, so no wide row is sorted and a burst of rows at one time counts once. No pairs
+    are formed. A time without a match inside its bucket takes the
     first right row of the next filled bucket, found from one row per bucket (within a day) and
     one row per day (across days). Where several right rows share a time the lowest value wins.
     """
@@ -36,14 +38,9 @@ def asof_forward(
         .groupBy(key, "_at")
         .agg(F.min("_v").alias("_v"))
     )
-    asks = left.filter(usable).select(
-        F.col(key),
-        (F.unix_micros(left_ts) + F.lit(gap)).alias("_at"),
-        F.lit(None).cast(offers.schema["_v"].dataType).alias("_v"),
-        F.struct(*[F.col(c) for c in left.columns]).alias("_row"),
-    )
-    no_row = F.lit(None).cast(asks.schema["_row"].dataType)
-    merged = asks.unionByName(offers.withColumn("_row", no_row)).withColumn("_bucket", floor_to("_at", width))
+    asks = left.filter(usable).select(F.col(key), (F.unix_micros(left_ts) + F.lit(gap)).alias("_at")).distinct()
+    asks = asks.withColumn("_v", F.lit(None).cast(offers.schema["_v"].dataType))
+    merged = asks.unionByName(offers).withColumn("_bucket", floor_to("_at", width))
     is_offer = F.col("_v").isNotNull()
 
     # Latest first; at equal times offers come before asks, so an ask sees an offer of its own
@@ -89,10 +86,13 @@ def asof_forward(
     in_time = F.lit(True)
     if max_gap_s is not None:
         in_time = F.col("_m_at") <= F.col("_at") + F.lit(int(round(max_gap_s * 1e6)) - gap)
-    result = matched.select(
-        "_row.*",
-        F.when(in_time, F.timestamp_micros("_m_at")).alias("matched_ts"),
-        F.when(in_time, F.col("_m_v")).alias("matched_value"),
+    answers = matched.filter(in_time & F.col("_m_at").isNotNull()).select(
+        F.col(key).alias("_key"),
+        (F.col("_at") - F.lit(gap)).alias("_asked"),
+        F.timestamp_micros("_m_at").alias("matched_ts"),
+        F.col("_m_v").alias("matched_value"),
     )
+    asked = left.filter(usable).withColumn("_t", F.unix_micros(left_ts))
+    result = asked.join(answers, (F.col(key) == F.col("_key")) & (F.col("_t") == F.col("_asked")), "left")
     # Rows without key or time match nothing; they skip the join instead of meeting in one task.
-    return result.unionByName(left.filter(~usable), allowMissingColumns=True)
+    return result.drop("_t", "_key", "_asked").unionByName(left.filter(~usable), allowMissingColumns=True)

@@ -9,8 +9,9 @@ carrying as many rows of its neighbours as the windows look back or ahead.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 BLOCK_ROWS = 4096
 
@@ -25,15 +26,32 @@ def with_day(df: DataFrame, ts: str = "bar_ts") -> DataFrame:
     return df if "_day" in df.columns else df.withColumn("_day", F.to_date(ts))
 
 
+def usable(df: DataFrame, *columns: str) -> Column:
+    """True where none of the columns (those that exist) is null or NaN."""
+    ok = F.lit(True)
+    for f in df.schema:
+        if f.name in columns:
+            ok = ok & F.col(f.name).isNotNull()
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+                ok = ok & ~F.isnan(f.name)
+    return ok
+
+
 def index_series(df: DataFrame, key: str = "ticker", ts: str = "bar_ts") -> DataFrame:
     """Add ``series_idx`` (0-based position) and ``series_len`` to each row of a series.
 
-    ``(key, ts)`` must be unique. The input is read twice, the first time for two columns only;
-    stage it first if it is expensive to compute.
+    ``(key, ts)`` must be unique. Rows without key or time stay, with null positions. The input is
+    read twice, the first time for two columns only; stage it first if it is expensive to compute.
     """
     if {"series_idx", "series_len"} <= set(df.columns):
         return df.drop("_day")
-    df = with_day(df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()), ts)
+    lost = df.filter(F.col(key).isNull() | F.col(ts).isNull()).drop("_day")
+    placed = _index_placed(df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()), key, ts)
+    return placed.unionByName(lost, allowMissingColumns=True)
+
+
+def _index_placed(df: DataFrame, key: str, ts: str) -> DataFrame:
+    df = with_day(df, ts)
     per_day = df.groupBy(key, "_day").agg(F.count(F.lit(1)).alias("_n"))
     days = W.partitionBy(key).orderBy("_day")
     earlier = F.sum("_n").over(days.rowsBetween(W.unboundedPreceding, -1))
@@ -106,14 +124,25 @@ class SeriesBlocks:
         size: int = BLOCK_ROWS,
         key: str = "ticker",
         ts: str = "bar_ts",
+        needs: Sequence[str] = (),
     ):
+        """Rows with null or NaN in key, time or ``needs`` take no part: positions, averages and
+        frames skip them, and :meth:`own` returns them with nulls in all added columns."""
         if size <= 0 or back < 0 or ahead < 0:
             raise ValueError("block sizes must be positive")
         self.size, self.back, self.ahead, self.key = size, back, ahead, key
         first = f"greatest(series_idx - {ahead}, 0) DIV {size}"
         last = f"least(series_idx + {back}, series_len - 1) DIV {size}"
+        self.rest: DataFrame | None = None
+        if {"series_idx", "series_len"} <= set(df.columns):
+            # Positions given by the caller; rows without one were set aside before.
+            placed, self.rest = df.drop("_day").filter("series_idx IS NOT NULL"), df.drop("_day").filter("series_idx IS NULL")
+        else:
+            good = usable(df, key, ts, *needs)
+            self.rest = df.filter(~good).drop("_day")
+            placed = _index_placed(df.filter(good), key, ts)
         # The slices that want a row: its own, and neighbours that look back or ahead to it.
-        self.df = index_series(df, key, ts).selectExpr("*", f"explode(sequence({first}, {last})) AS _blk")
+        self.df = placed.selectExpr("*", f"explode(sequence({first}, {last})) AS _blk")
 
     def over(self, expr: str, frame: str = "") -> str:
         return f"{expr} OVER (PARTITION BY `{self.key}`, _blk ORDER BY series_idx {frame})"
@@ -123,8 +152,9 @@ class SeriesBlocks:
         return self
 
     def own(self, *helpers: str) -> DataFrame:
-        """The rows each slice owns, without copies and helper columns."""
-        return self.df.where(f"series_idx DIV {self.size} = _blk").drop("_blk", *helpers)
+        """The rows each slice owns, without copies and helper columns, and the rows set aside."""
+        rows = self.df.where(f"series_idx DIV {self.size} = _blk").drop("_blk", *helpers)
+        return rows if self.rest is None else rows.unionByName(self.rest, allowMissingColumns=True)
 
     def smooth(self, x: str, alpha: float, n: int, first: int = 0, seed: str = "sma") -> str:
         """y[t] = alpha*x[t] + (1-alpha)*y[t-1] as one running sum per slice.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-_PREFIX = 3  # hex digits: 4096 ranges per class
+from tickloom.plans.ranking import number_rows
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -15,27 +15,22 @@ def hash_key(id_col: str, seed: int) -> Column:
 def keep_quota(df: DataFrame, group: str, id_col: str, seed: int, quotas: DataFrame) -> DataFrame:
     """The ``quota`` rows of each ``group`` with the lowest hash.
 
-    ``quotas`` has one row (``group``, ``quota``) per class. Rows are counted per hash range (at
-    most 4096 per class); whole ranges are taken or left, and only the range in which the quota
-    ends is ranked. A class of any size is therefore cut exactly without being sorted as one.
+    ``quotas`` has one row (``group``, ``quota``) per class. The first pass sorts narrow rows (class,
+    hash, id) over the cluster and finds where each quota ends; the second keeps the rows up to
+    there. A class of any size is cut exactly and never sorted in one task.
     """
-    keyed = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_p", F.substring("_h", 1, _PREFIX))
-    ranges = keyed.groupBy(group, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(group).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    left = F.col("quota") - F.coalesce(F.sum("_n").over(earlier), F.lit(0))
-    taken = (
-        ranges.join(quotas.select(group, "quota"), group)
-        .withColumn("_left", left)
-        .filter("_left > 0")
-        .select(group, "_p", "_left", (F.col("_n") <= F.col("_left")).alias("_all"))
-    )
-    # At most 4096 rows per class, and the number of classes is fixed.
-    inside = keyed.join(F.broadcast(taken), [group, "_p"])
-    edge = W.partitionBy(group, "_p").orderBy("_h", id_col)
-    cut = (
-        inside.filter(~F.col("_all"))
-        .withColumn("_r", F.row_number().over(edge))
-        .filter(F.col("_r") <= F.col("_left"))
-        .drop("_r")
-    )
-    return inside.filter("_all").unionByName(cut).drop("_h", "_p", "_left", "_all")
+    narrow = df.select(F.col(group).alias("_c"), hash_key(id_col, seed).alias("_h"), F.col(id_col).alias("_i"))
+    wanted = quotas.filter(F.col("quota") > 0).select(F.col(group).alias("_g"), "quota")
+    ranked = number_rows(narrow, ["_c"], ["_h", "_i"], out="_r").join(wanted, F.col("_c") == F.col("_g"))
+    cut = ranked.filter(F.col("_r") < F.col("quota")).groupBy("_c").agg(F.max(F.struct("_h", "_i")).alias("_last"))
+    rows = df.withColumn("_h", hash_key(id_col, seed)).join(cut, F.col(group) == F.col("_c"))
+    return rows.filter(F.struct("_h", F.col(id_col).alias("_i")) <= F.col("_last")).drop("_h", "_c", "_last")
+
+
+def keep_first(df: DataFrame, id_col: str, seed: int, quota: Column) -> DataFrame:
+    """The ``quota`` rows (a scalar) with the lowest hash, as :func:`keep_quota` does for a single class."""
+    narrow = df.select(hash_key(id_col, seed).alias("_h"), F.col(id_col).alias("_i"))
+    ranked = number_rows(narrow, [], ["_h", "_i"], out="_r").filter(F.col("_r") < quota)
+    last = ranked.agg(F.max(F.struct("_h", "_i")).alias("_last")).scalar()
+    rows = df.withColumns({"_h": hash_key(id_col, seed), "_last": last})
+    return rows.filter(F.struct("_h", F.col(id_col).alias("_i")) <= F.col("_last")).drop("_h", "_last")

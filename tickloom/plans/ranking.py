@@ -12,7 +12,8 @@ _LOCAL_BITS = 33
 
 
 def number_rows(
-    df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "row_idx", total: str | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence, out: str = "row_idx", total: str | None = None,
+    staged: list | None = None,
 ) -> DataFrame:
     """0-based position of each row within ``keys`` by ``order``, for groups of any size.
 
@@ -23,7 +24,7 @@ def number_rows(
     """
     keys = list(keys)
     ranged = df.orderBy(*keys, *order).withColumn("_mid", F.monotonically_increasing_id())
-    rows = stage(ranged, "ranked").withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
+    rows = stage(ranged, "ranked", staged).withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
     pos = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     rows = rows.withColumn("_pos", pos).drop("_mid")
     segments = rows.groupBy(*keys, "_part").agg(
@@ -37,8 +38,8 @@ def number_rows(
         cols[total] = F.sum("_n").over(W.partitionBy(*keys))
     segments = segments.withColumns(cols).drop("_n", "_from")
     match = [rows[k].eqNullSafe(segments[k]) for k in keys] + [rows["_part"] == segments["_part"]]
-    # Without keys there is one row per sort partition, which bounds the broadcast.
-    small = segments.repartition(*keys, "_part") if keys else F.broadcast(segments)
+    # Without keys there is one row per sort partition: the optimizer sees its size and broadcasts it.
+    small = segments.repartition(*keys, "_part") if keys else segments
     joined = rows.join(small, match)
     for k in [*keys, "_part"]:
         joined = joined.drop(segments[k])

@@ -47,20 +47,31 @@ def _staged_root(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/staged/{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, paths: list | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where one result feeds several passes (counts, then rows). The written table cuts the
     lineage, survives the loss of executors, prunes columns per pass and gives the optimizer a
-    real size, so that joins against it are broadcast only when it is small.
+    real size, so that joins against it are broadcast only when it is small. ``paths`` gets the folder.
     """
     spark = df.sparkSession
     path = f"{_staged_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_folder(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared area that :func:`release_staged` removes with the staged tables."""
+    return f"{_staged_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release_staged(spark: SparkSession) -> None:
     """Remove what this application has staged; call it when no result is needed any more."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_staged_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    drop_path(spark, _staged_root(spark))

@@ -11,13 +11,14 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.operators.analytics import prediction_index, rolling_accuracy
-from tickloom.operators.bars import build_bars
+from tickloom.operators.bars import build_bars, last_n
 from tickloom.operators.curation import balance_classes, eligible, training_pairs
-from tickloom.operators.indicators import HELPERS, INDICATOR_BACK, indicator_blocks, min_history_gate
+from tickloom.operators.indicators import HELPERS, INDICATOR_BACK, PRICES, indicator_blocks, min_history_gate
 from tickloom.operators.ledger import expired_columns, outcome_columns
 from tickloom.operators.replay import completed, mark_trained, update_replay
-from tickloom.plans.blocks import SeriesBlocks, index_series, trailing
+from tickloom.plans.blocks import SeriesBlocks, index_series, trailing, usable
 from tickloom.schema import BAR, BAR_SECONDS, EXPIRY_SECONDS
+from tickloom.session import drop_path
 
 
 def _seconds(n: int) -> Column:
@@ -31,19 +32,22 @@ def stream_build_bars(ticks: DataFrame, width: str = "5 minutes", delay: str = "
 
 
 def stream_resolve(preds: DataFrame, prices: DataFrame, min_gap_s: int = BAR_SECONDS,
-                   max_gap_s: int = EXPIRY_SECONDS, delay: str = "1 minute", salts: int = 4) -> DataFrame:
+                   max_gap_s: int = EXPIRY_SECONDS, delay: str = "1 minute", salts: int = 4, slot_s: int = BAR_SECONDS) -> DataFrame:
     """Outcome of each prediction: its first price in the window, or EXPIRED without one.
 
-    ``prices`` is a bar feed (ticker, ts, price) with one row per ticker and bar, so a prediction
-    meets at most the bars of its window. Predictions are salted and the few prices copied to all
+    ``prices`` (ticker, ts, price) may be bars or ticks: it is cut to the first price of each ticker and
+    ``slot_s`` seconds as it comes in (state of one key per slot), so a prediction meets at most the slots of
+    its window; of ticks the outcome is the first slot price in the window. Predictions are salted and the few prices copied to all
     salts, which spreads a busy ticker over several tasks.
     """
     p = preds.select("row_id", "timestamp", "ticker", "close", "prediction_direction")
     p = p.withColumn("_salt", F.pmod(F.crc32("row_id"), F.lit(salts))).withWatermark("timestamp", delay)
-    q = prices.select(
+    slot = F.floor(F.unix_seconds("ts") / slot_s)
+    once = prices.withColumn("_slot", slot).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["ticker", "_slot"])
+    q = once.select(
         F.col("ticker").alias("_pt"), F.col("ts").alias("_pts"), F.col("price").alias("_pp"),
         F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])).alias("_ps"),
-    ).withWatermark("_pts", delay)
+    )
     reach = (
         (F.col("ticker") == F.col("_pt"))
         & (F.col("_salt") == F.col("_ps"))
@@ -81,6 +85,21 @@ def stream_latest(df: DataFrame, ts: str = "bar_ts", key: str = "ticker") -> Dat
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), ts).alias("_row")).select(key, "_row.*")
 
 
+def write_latest(latest: DataFrame, out_path: str, checkpoint: str, key: str = "ticker", ts: str = "bar_ts"):
+    """Start :func:`stream_latest` in update mode: the keys each batch changed go to a folder of their own."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(_version(out_path, batch_id))
+
+    writer = latest.writeStream.outputMode("update").foreachBatch(run)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_latest(spark: SparkSession, out_path: str, key: str = "ticker", ts: str = "bar_ts") -> DataFrame:
+    """The newest row per key of what :func:`write_latest` has written so far."""
+    return last_n(spark.read.parquet(out_path), [key], [F.desc(ts), F.desc("batch")], 1).drop("batch")
+
+
 # --- state carried between batches in versioned tables ---------------------------------------------
 
 
@@ -89,37 +108,54 @@ def _version(path: str, batch_id: int) -> str:
 
 
 def _read_version(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """The state left by an earlier batch; a batch that is run again finds the same one."""
+    """The state left by an earlier batch; a batch that is run again finds the same one.
+
+    Only the first batch starts from nothing, and only in an empty folder: state that is missing, or
+    state of a later batch left by another checkpoint, is an error and not a fresh start.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [str(s.getPath().getName()) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    found = sorted(int(name[6:]) for name in there if name.startswith("batch="))
     if batch_id < 0:
+        if any(b > 0 for b in found):
+            raise ValueError(f"{path} holds the state of batch {found[-1]}; a new checkpoint needs a new state folder")
         return None
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_version(path, batch_id))
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.parquet(_version(path, batch_id)) if fs.exists(at) else None
+    if batch_id not in found:
+        raise ValueError(f"the state of batch {batch_id} is missing in {path}; it holds {found or 'nothing'}")
+    return spark.read.parquet(_version(path, batch_id))
 
 
 def _drop_version(spark: SparkSession, path: str, batch_id: int) -> None:
     if batch_id >= 0:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_version(path, batch_id))
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        drop_path(spark, _version(path, batch_id))
 
 
 def indicator_batch(new: DataFrame, history: DataFrame | None, size: int | None = None):
     """Indicator rows of ``new`` bars, the history for the next batch, and bars that came too late.
 
     The history holds, per ticker, as many rows as the indicators look back and the running
-    session. A bar not newer than its ticker's history cannot be placed any more and is returned
-    separately.
+    session; only that of the batch's own tickers takes part in the work, all other rows of it pass on as they
+    are. A bar that is not newer than its ticker's history cannot be placed any more and is returned
+    separately, and so is one without key, time or prices.
     """
     new = new.select(*BAR.names)
+    good = usable(new, "ticker", "bar_ts", *PRICES)
+    unfit, new = new.filter(~good), new.filter(good)
+    idle = None
     if history is None:
-        rows, late = index_series(new).withColumn("_new", F.lit(True)), new.limit(0)
+        rows, late = index_series(new).withColumn("_new", F.lit(True)), unfit
     else:
+        tickers = new.select("ticker").distinct()
+        idle = history.join(tickers, "ticker", "left_anti")
+        history = history.join(tickers, "ticker", "left_semi")
         ends = history.groupBy("ticker").agg(
             F.max("bar_ts").alias("_end"), F.max("series_idx").alias("_last")
         )
         seen = new.join(ends, "ticker", "left")
         fresh = F.col("_end").isNull() | (F.col("bar_ts") > F.col("_end"))
-        late = seen.filter(~fresh).drop("_end", "_last")
+        late = seen.filter(~fresh).drop("_end", "_last").unionByName(unfit)
         placed = index_series(seen.filter(fresh))
         start = F.coalesce(F.col("_last") + 1, F.lit(0))
         placed = placed.withColumns(
@@ -139,7 +175,7 @@ def indicator_batch(new: DataFrame, history: DataFrame | None, size: int | None
     )
     needed = (F.col("series_idx") > F.col("_last") - INDICATOR_BACK) | (F.to_date("bar_ts") == F.col("_day"))
     keep = rows.drop("_new").join(ends, "ticker").filter(needed).drop("_last", "_day")
-    return result, keep, late
+    return result, keep if idle is None else keep.unionByName(idle), late
 
 
 def indicator_sink(out_path: str, state_path: str):
@@ -175,10 +211,10 @@ def rolling_sink(out_path: str, state_path: str, window: int = 20, min_periods:
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, written = batch.sparkSession, []
         cols = ["row_id", "timestamp", "prediction_accuracy"]
-        new = prediction_index(batch.filter(F.col("prediction_accuracy").isNotNull()).select(*cols))
-        new = new.drop("series_len")
+        batch = batch.filter(F.col("prediction_accuracy").isNotNull()).select(*cols)
+        new = prediction_index(batch, staged=written).drop("series_len")
         old = _read_version(spark, state_path, batch_id - 1)
         if old is None:
             rows = new.withColumn("_new", F.lit(True))
@@ -198,6 +234,8 @@ def rolling_sink(out_path: str, state_path: str, window: int = 20, min_periods:
         keep = rows.filter(F.col("series_idx") > total - window).drop("_new")
         keep.write.mode("overwrite").parquet(_version(state_path, batch_id))
         _drop_version(spark, state_path, batch_id - 3)
+        for path in written:
+            drop_path(spark, path)
 
     return run
 
@@ -206,7 +244,8 @@ def run_post_market(ledger: DataFrame, replay: DataFrame, out_path: str, date: d
                     min_rows: int) -> DataFrame:
     """End-of-day batch: accuracy report, training pairs if there are enough, new replay rows.
 
-    Everything is written under the date, so running a day again replaces its own results.
+    Report, pairs and the replay rows are written under the date, so running a day again replaces its own
+    results; the rows written are returned, to be put in place with ``write_replay``.
     """
     day = f"{out_path}/date={date.isoformat()}"
     rolling_accuracy(replay).select("row_id", "timestamp", "rolling_accuracy_pct").write.mode(
@@ -219,4 +258,5 @@ def run_post_market(ledger: DataFrame, replay: DataFrame, out_path: str, date: d
         training_pairs(balance_classes(usable)).write.mode("overwrite").parquet(f"{day}/pairs")
         pairs = replay.sparkSession.read.parquet(f"{day}/pairs")
         replay = mark_trained(replay, pairs)
-    return update_replay(replay, done, now)
+    update_replay(replay, done, now).write.mode("overwrite").parquet(f"{day}/replay")
+    return replay.sparkSession.read.parquet(f"{day}/replay")
