@@ -12,10 +12,12 @@ from tickloom.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
+    os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     session = build_session(
         "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false"},
+        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
+           "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('shared')}"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
