@@ -85,24 +85,34 @@ def anchor_rows(text: bytes, threshold: int) -> Iterator[tuple[int, int, int]]:
                 yield name(known, side), name(part[s : e + threshold], shape + 2), (seg + s) << 16 | shape
 
 
-def _signed(values: list[int]) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+def _combined(names: list[int], longer: list[int], keys: list[int], places: list[int]) -> pa.RecordBatch:
+    """Rows of a task before they are dealt by name: one for each longer name, ``more`` if there are others.
+
+    The others are ``sure`` repeats and need no sorting; copies of the very same row are dropped. So a
+    passage that is everywhere sends one row from each task.
+    """
+    cols = [np.array(names, np.uint64).view(np.int64), np.array(longer, np.uint64).view(np.int64), np.array(keys, np.int64), np.array(places, np.int64)]
+    order = np.lexsort(cols[::-1])
+    name, wide, key, place = (c[order] for c in cols)
+    same = np.append(False, (name[1:] == name[:-1]) & (wide[1:] == wide[:-1])) if len(name) else np.zeros(0, bool)
+    twin = same & np.append(False, (key[1:] == key[:-1]) & (place[1:] == place[:-1])) if len(name) else same
+    more = ~same & np.append(same[1:], False) if len(name) else same
+    keep = ~twin
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (name, wide, key, place, more, same)], ["name", "longer", "key", "place", "more", "sure"])
 
 
 def _name_anchors(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list, list] = ([], [], [], [])
         for batch in batches:
-            names, longer, keys, places = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = list(anchor_rows(text.as_py() or b"", threshold))
-                names += [r[0] for r in rows]
-                longer += [r[1] for r in rows]
-                places += [r[2] for r in rows]
-                keys += [key] * len(rows)
-                if len(names) > 200_000:
-                    yield pa.RecordBatch.from_arrays([_signed(names), _signed(longer), pa.array(keys, pa.int64()), pa.array(places, pa.int64())], ["name", "longer", "key", "place"])
-                    names, longer, keys, places = [], [], [], []
-            yield pa.RecordBatch.from_arrays([_signed(names), _signed(longer), pa.array(keys, pa.int64()), pa.array(places, pa.int64())], ["name", "longer", "key", "place"])
+                for row in anchor_rows(text.as_py() or b"", threshold):
+                    for col, v in zip(held, (row[0], row[1], key, row[2])):
+                        col.append(v)
+                if len(held[0]) > 400_000:
+                    yield _combined(*held)
+                    held = ([], [], [], [])
+        yield _combined(*held)
 
     return run
 
@@ -120,7 +130,7 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def settle(rows: list[np.ndarray], more: bool) -> pa.RecordBatch:
         """``rows`` begin with ``before`` if there is one; the last row waits if ``more`` may follow."""
         nonlocal first
-        name, longer, key, place = rows
+        name, longer, key, place, more_in_task = rows
         same_name = np.append(False, name[1:] == name[:-1])
         same = same_name & np.append(False, longer[1:] == longer[:-1])
         twin = same & np.append(False, (key[1:] == key[:-1]) & (place[1:] == place[:-1]))
@@ -129,7 +139,7 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if before is not None:
             is_first = np.where(start == 0, first, is_first)
         next_name, next_same = np.append(same_name[1:], False), np.append(same[1:], False)
-        repeated = same | next_same
+        repeated = same | next_same | more_in_task
         stands = ~next_same & (next_name | ~is_first)
         lo, hi = int(before is not None), len(name) - int(more)
         keep = np.flatnonzero(((repeated & ~twin) | stands)[lo:hi]) + lo
@@ -141,7 +151,7 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [c.to_numpy() for c in batch.columns]
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         for one in (held, before):
             if one is not None:
                 rows = [np.append(x, y) for x, y in zip(one, rows)]
@@ -261,9 +271,13 @@ def repeated_parts(docs: DataFrame, threshold: int = THRESHOLD, class_rows: int
     """
     texts = docs.select("doc_id", text_key().alias("key"), text_or_empty("text").cast("binary").alias("text"))
     long = texts.where(F.octet_length("text") >= threshold)
-    named = long.select("key", "text").mapInArrow(_name_anchors(threshold), "name long, longer long, key long, place long")
-    dealt = named.repartition("name").sortWithinPartitions("name", "longer", "key", "place")
+    layout = "name long, longer long, key long, place long, more boolean, sure boolean"
+    named = stage(long.select("key", "text").mapInArrow(_name_anchors(threshold), layout), "anchors")
+    dealt = named.where("not sure").drop("sure").repartition("name").sortWithinPartitions("name", "longer", "key", "place")
     marked = stage(dealt.mapInArrow(_sort_out, "name long, key long, place long, repeated boolean, open boolean"), "names")
+    marked = marked.unionByName(named.where("sure").select("key", "place").distinct().selectExpr(
+        "cast(null as long) AS name", "key", "place", "true AS repeated", "false AS open"
+    ))
 
     # One text per key: rows with that key and the smallest doc_id, which may repeat but are alike.
     per_key = marked.groupBy("key").agg(F.collect_list(F.when(F.col("open"), F.struct("name", "place"))).alias("rows"))
