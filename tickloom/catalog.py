@@ -17,7 +17,7 @@ from tickloom.plans.asof import asof_forward
 from tickloom.schema import BAR
 from tickloom.session import stage, staged_folder
 from tickloom.sources import bars as bar_files, ledger_store as store
-from tickloom.sources.snapshot import dashboard_snapshot
+from tickloom.sources.snapshot import activity_snapshot, dashboard_snapshot
 from tickloom.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -727,6 +727,12 @@ def snapshot_latest(spark, d):
     return dashboard_snapshot(rounded, preds, active, {"mode": "INFERENCE_ONLY", "data_source": "events"})
 
 
+@query
+def snapshot_activity(spark, d):
+    preds = src.predictions(spark, d)
+    return activity_snapshot(preds, preds.select("ticker").distinct())
+
+
 # --- streaming ---------------------------------------------------------------------------------------
 
 

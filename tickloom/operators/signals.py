@@ -110,12 +110,19 @@ METHODS = ("random", "rule", "single", "ensemble", "constant")
 
 
 def baseline_column(method: str, id_col: str = "row_id", seed: int = 42) -> Column:
-    """Predicted direction of one method. ``random`` is a repeatable draw from three classes."""
+    """Predicted direction of one method.
+
+    ``random`` is a repeatable draw from three classes, ``rule`` the thresholds on RSI and MACD, ``single``
+    the price against VWAP.
+    """
     if method == "random":
         h = hash_key(id_col, seed)
         return F.when(h < "5" * 32, "UP").when(h < "a" * 32, "DOWN").otherwise("SIDEWAYS")
-    if method in ("rule", "single"):
+    if method == "rule":
         return F.col("technical_direction")
+    if method == "single":
+        # One analyst alone: the side of the price that the volume analyst trusts.
+        return F.expr(_label("trend"))
     if method == "ensemble":
         return F.col("prediction_direction")
     if method == "constant":

@@ -325,7 +325,8 @@ METHODS = """m AS (
   SELECT p.*, u.method, CASE u.method
     WHEN 'random' THEN CASE WHEN md5(row_id || '|42') < repeat('5', 32) THEN 'UP' WHEN md5(row_id || '|42') < repeat('a', 32)
       THEN 'DOWN' ELSE 'SIDEWAYS' END
-    WHEN 'ensemble' THEN prediction_direction WHEN 'constant' THEN 'UP' ELSE technical_direction END AS d
+    WHEN 'ensemble' THEN prediction_direction WHEN 'constant' THEN 'UP' WHEN 'rule' THEN technical_direction
+    ELSE CASE WHEN trend > 0 THEN 'UP' WHEN trend < 0 THEN 'DOWN' WHEN trend = 0 THEN 'SIDEWAYS' END END AS d
   FROM p, (VALUES ('random'), ('rule'), ('single'), ('ensemble'), ('constant')) u(method))"""
 pred_q("baseline_compare", f"""SELECT method, {r('acc')} AS accuracy_pct, n,
   {r("acc - max(CASE WHEN method = 'random' THEN acc END) OVER ()")} AS delta_pct
@@ -604,11 +605,22 @@ ORACLE_SQL["indicator_registry"] = with_(*BARS, *INDICATORS) + " UNION ALL ".joi
     f"SELECT ticker, {BT}, '{name}' AS indicator, {r(column)} AS value FROM {source}"
     for name, column, source in (("vwap", "vwap", "ind"), ("rsi", "rsi_14", "ind"), ("sma", "sma_50", "ind"), ("true_range", "tr", "base"))
 )
+SAID = """(SELECT ticker, turn, sender, CASE turn WHEN 0 THEN technical_direction || ' score=' || score
+    WHEN 1 THEN regime || ' squeeze=' || squeeze WHEN 2 THEN conviction || ' divergence=' || divergence
+    ELSE prediction_direction || ' ' || prediction_confidence END AS text
+  FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY "timestamp" DESC) = 1),
+    (VALUES (0::BIGINT, 'Technical Analyst'), (1, 'Volatility Analyst'), (2, 'Volume Analyst'), (3, 'Synthesizer')) v(turn, sender))"""
 GAP = "((day(bar_ts) % 3 = 0 AND hour(bar_ts) = 7) OR (day(bar_ts) % 4 = 1 AND hour(bar_ts) = 13))"
 GAP_COLS = ("rsi_14", "macd", "macd_signal", "bb_upper", "atr_14", "sma_50")
 ORACLE_SQL["indicators_with_gaps"] = with_(
     TICKS, bars_cte().replace("bars AS", "every_bar AS", 1), f"bars AS (SELECT * FROM every_bar WHERE NOT {GAP})", *INDICATORS
 ) + f"""SELECT ticker, {BT}, {rounded("close", *GAP_COLS)} FROM ind
   UNION ALL SELECT ticker, {BT}, NULL AS close, {", ".join(f"NULL AS {c}" for c in GAP_COLS)} FROM every_bar WHERE {GAP}"""
+pred_q("snapshot_activity", f"""SELECT '{{"agent_activity":{{' || (
+    SELECT string_agg('"' || ticker || '":[' || said || ']', ',' ORDER BY ticker) FROM (
+      SELECT ticker, string_agg('{{"sender":"' || sender || '","text":"' || text || '"}}', ',' ORDER BY turn) AS said
+      FROM {SAID} GROUP BY ticker)) ||
+  '}},"latency":{{"inference_avg_ms":' || round(total / 5, 1) || ',"inference_total_ms":' || round(total, 1) || '}}}}' AS snapshot
+  FROM (SELECT sum(inference_latency_ms) AS total FROM p WHERE cycle_id = (SELECT arg_max(cycle_id, ("timestamp", row_id)) FROM p))""")
 ORACLE_SQL["room_transcript_gaps"] = ORACLE_SQL["room_transcript"]
 ORACLE_SQL["ledger_lifecycle"] = ORACLE_SQL["resolve_phase2"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.scoring import short_ticker
+from tickloom.functions.text import decode_messages
 from tickloom.operators.bars import latest_per_key
 
 
@@ -38,5 +39,24 @@ def dashboard_snapshot(bars: DataFrame, predictions: DataFrame, active: DataFram
     )
 
 
+def activity_snapshot(predictions: DataFrame, active: DataFrame) -> DataFrame:
+    """One row, one column ``snapshot``: what the agents said last about each active ticker, and the latency of the newest cycle.
+
+    ``active`` bounds the document, as in :func:`dashboard_snapshot`.
+    """
+    names = active.select("ticker")
+    newest = latest_per_key(predictions.join(names, "ticker", "left_semi"), ts="timestamp")
+    said = F.transform(decode_messages("agent_contributions"), lambda m: F.struct(m["sender"].alias("sender"), m["text"].alias("text")))
+    entries = F.array_sort(F.collect_list(F.struct(short_ticker("ticker").alias("k"), "v")))
+    activity = newest.withColumn("v", said).agg(F.map_from_entries(entries).alias("_map"))
+    last = predictions.agg(F.max_by("cycle_id", F.struct("timestamp", "row_id"))).scalar()
+    total = predictions.withColumn("_last", last).filter("cycle_id = _last").agg(F.sum("inference_latency_ms").alias("t"))
+    tickers = names.distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    latency = total.select(F.struct(
+        F.round(F.col("t") / tickers, 1).alias("inference_avg_ms"), F.round("t", 1).alias("inference_total_ms")
+    ).alias("l")).scalar()
+    return activity.select(F.to_json(F.struct(F.col("_map").alias("agent_activity"), latency.alias("latency"))).alias("snapshot"))
+
+
 def write_snapshot(snapshot: DataFrame, path: str) -> None:
     snapshot.select(F.col("snapshot").alias("value")).coalesce(1).write.mode("overwrite").text(path)
