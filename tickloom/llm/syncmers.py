@@ -8,11 +8,9 @@ from which the Jaccard similarity of two texts' anchors is estimated.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.llm.common import text_or_empty
+from tickloom.llm.common import let, text_or_empty
 from tickloom.plans.ranking import number_rows
 from tickloom.session import stage
 
@@ -22,11 +20,6 @@ K, S, SKETCH = 12, 8, 64
 PART = 8192
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _anchors(part: Column, k: int, s: int) -> Column:
     """Hashes of the closed syncmers of a binary variable (longs)."""
     inner = k - s + 1
@@ -42,7 +35,7 @@ def _anchors(part: Column, k: int, s: int) -> Column:
 
         return F.array_compact(F.transform(h, key))
 
-    return _let(hashes, chosen)
+    return let(hashes, chosen)
 
 
 def _as_int(x: Column) -> Column:
@@ -64,17 +57,17 @@ def fingerprint(text: Column, k: int = K, s: int = S, size: int = SKETCH, part:
         """The smallest of many: sorts only those under a bound that leaves about four times as many as are kept."""
         bound = F.lit(4.0 * size * (1 << 32)) / F.greatest(F.size(keys), F.lit(1))
         few = F.filter(keys, lambda x: x.bitwiseAND(0xFFFFFFFF) < bound.cast("long"))
-        return _let(smallest(few), lambda f: F.when(F.size(f) == size, f).otherwise(smallest(keys)))
+        return let(smallest(few), lambda f: F.when(F.size(f) == size, f).otherwise(smallest(keys)))
 
 
     def whole(data: Column) -> Column:
         starts = F.sequence(F.lit(0), F.floor((F.octet_length(data) - k) / F.lit(part)).cast("int"))
         parts = F.transform(starts, lambda j: F.substring(data, j * part + 1, F.lit(part + k - 1)))
-        kept = F.flatten(F.transform(parts, lambda p: _let(_anchors(p, k, s), low)))
+        kept = F.flatten(F.transform(parts, lambda p: let(_anchors(p, k, s), low)))
         merged = F.slice(F.array_sort(F.array_distinct(kept)), 1, size)
         return F.when(F.octet_length(data) < k, low(F.array(F.xxhash64(data)))).otherwise(merged)
 
-    return _let(text_or_empty(text).cast("binary"), whole)
+    return let(text_or_empty(text).cast("binary"), whole)
 
 
 def as_text(fp: Column) -> Column:
