@@ -1,4 +1,5 @@
 from tickloom.llm import quotes as C
+from tickloom.llm.common import prefix_max
 
 SCHEMA = "conv_id long, turn long, role string, text string, hash string, position int"
 
@@ -75,6 +76,19 @@ def test_single_lines_against_loops(spark):
     assert all(v is None for k, v in got.items() if k not in want)
 
 
+def test_a_hot_key_is_met_across_sort_partitions(spark):
+    # One key holds most rows, one is null, and one owns nothing.
+    rows = [(("hot", None, "bare")[i % 3 if i % 10 == 0 else 0], i, i if i % 4 == 0 and i % 3 != 2 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "key string, turn long, own long").repartition(8)
+    got = {(r["key"], r["turn"]): r["near"] for r in prefix_max(df, ["key"], ["turn"], "own", "near").collect()}
+    assert len(got) == len(rows)
+    last = {}
+    for key, turn, own in rows:
+        assert got[key, turn] == last.get(key)
+        last[key] = last.get(key) if own is None else own
+    assert "bare" not in last or last["bare"] is None
+
+
 def test_odd_rows(spark):
     rows = [(None, None, None, "> x"), (2, 1, "a", None), (2, 1, "a", None), (2, 2, "a", ""), (3, 0, "u", ">\n> \n"), (3, None, "u", "no turn"), (4, 0, "u", "w " * 100_000)]
     got = chats(spark, rows).collect()

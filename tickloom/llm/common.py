@@ -44,29 +44,39 @@ def fresh(name: str, columns: Sequence[str]) -> str:
     return name
 
 
-def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str) -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the same keys, for groups of any size.
-
-    Rows are range-sorted over the cluster, summed inside their sort partition, and shifted by the
-    total of the group's earlier partitions (one row per group and partition). ``df`` is read
-    twice by the sort, so it should be a stored, narrow table.
-    """
+def _running(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str, how: Callable, merge: Callable) -> DataFrame:
+    """``how`` of ``value`` over the earlier rows of the same keys, in and before the row's sort partition."""
     keys = list(keys)
     ranged = df.orderBy(*keys, *order).withColumn("_mid", F.monotonically_increasing_id())
     rows = stage(ranged, "sorted").withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
     before = W.partitionBy("_part", *keys).orderBy("_mid").rowsBetween(W.unboundedPreceding, -1)
-    local = rows.withColumn("_in", F.coalesce(F.sum(value).over(before), F.lit(0)))
-    parts = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_n"))
+    local = rows.withColumn("_in", how(value).over(before))
+    parts = rows.groupBy(*keys, "_part").agg(how(value).alias("_n"))
     earlier = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("_from", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    parts = parts.withColumn("_from", how("_n").over(earlier)).drop("_n")
     parts = parts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), "_from")
     match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_part") == F.col("_p")]
     joined = local.join(parts, match, "left")
-    return joined.withColumn(out, F.coalesce("_from", F.lit(0)) + F.col("_in")).drop(
+    return joined.withColumn(out, merge(F.col("_from"), F.col("_in"))).drop(
         "_mid", "_part", "_in", "_from", "_p", *[f"_k_{k}" for k in keys]
     )
 
 
+def prefix_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str) -> DataFrame:
+    """Sum of ``value`` over the earlier rows of the same keys, for groups of any size.
+
+    Rows are range-sorted over the cluster, summed inside their sort partition, and shifted by the
+    total of the group's earlier partitions (one row per group and partition). ``df`` is read
+    twice by the sort, so it should be a stored, narrow table.
+    """
+    return _running(df, keys, order, value, out, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def prefix_max(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str) -> DataFrame:
+    """Largest ``value`` of the earlier rows of the same keys (null: none), as :func:`prefix_sum` does it."""
+    return _running(df, keys, order, value, out, F.max, F.greatest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (``a``, ``b``, both longs): ``node`` and its smallest ``root``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tickloom.llm.common import text_or_empty
+from tickloom.llm.common import prefix_max, text_or_empty
 from tickloom.plans.ranking import number_rows
 from tickloom.session import stage
 
@@ -56,8 +56,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
 
     A key of the passage is sought among the own passages of earlier turns of the same conversation (the
     latest counts), else among all messages (the first by conversation and turn). Of a passage's keys
-    the one of the whole passage decides, then paragraphs, then lines. Both sides are ordered within
-    (conversation, key) instead of joined, so frequent passages make no pairs.
+    the one of the whole passage decides, then paragraphs, then lines. Both sides are ordered by a range sort over
+    (conversation, key) instead of joined, so frequent passages make no pairs and spread over many tasks.
     """
     quotes = quoted_passages(messages)
     quotes = quotes.select(*MESSAGE, "passage", "level", F.posexplode(passage_keys(F.col("body"))).alias("rank", "key"))
@@ -69,8 +69,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         owned.select("conv_id", "turn", "key", F.col("turn").cast("long").alias("own")), allowMissingColumns=True
     )
     # Quotes of a turn come before what that turn says itself.
-    earlier = W.partitionBy("conv_id", "key").orderBy("turn", F.col("own").asc_nulls_first()).rowsBetween(W.unboundedPreceding, -1)
-    near = both.withColumn("near", F.last("own", ignorenulls=True).over(earlier)).where("own is null")
+    order = ["turn", F.col("rank").isNull()]
+    near = prefix_max(stage(both, "said"), ["conv_id", "key"], order, "own", "near").where("rank is not null")
     anywhere = owned.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
     found = near.join(anywhere, "key")
     here = F.col("near").isNotNull()
