@@ -118,3 +118,11 @@ def test_stage_groups_near_copies_and_leaves_the_rest(spark):
     assert got.where("doc_id is null").count() == 1
     tiled = S.near_duplicate_groups(df, block_rows=3).where("doc_id = group_id").distinct().count()
     assert tiled == len(kept | {900, 902})
+
+
+def test_stage_keeps_every_group_without_an_id_or_with_a_shared_one(spark):
+    text = {i: " ".join(words(100 + i, 60)) for i in range(6)}
+    rows = [(None, text[0]), (None, text[0]), (None, text[1]), (None, text[2]), (7, text[3]), (7, text[4]), (7, text[4]), (None, text[5]), (8, text[5])]
+    got = S.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(None, text[0]), (None, text[1]), (None, text[2]), (7, text[3]), (7, text[4]), (8, text[5])]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))

@@ -15,9 +15,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.llm.common import components, whole_groups
+from tickloom.llm.common import components, fresh, whole_groups
 from tickloom.session import stage
 
 SEED = 42
@@ -76,7 +76,7 @@ def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, words: int = 1, bands: int = 0) -> DataFrame:
-    """``doc_id``, ``fp`` (bytes, most significant first) and ``bands`` (array of keys) per row."""
+    """``doc_id``, ``t`` (hash of the text), ``fp`` (bytes, most significant first) and ``bands`` (array of keys) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,14 +86,19 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, words: int = 1, bands: int
                 fps.append(fingerprint(h, words).astype(">u8").tobytes())
                 keys.append(band_keys(h, bands).view(np.int64) if bands else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "bands"]
+                [batch.column(0), batch.column(2), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "t", "fp", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, fp binary, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("t")).mapInArrow(
+        run, "doc_id long, t long, fp binary, bands array<long>"
     )
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def planes_of(fps: np.ndarray) -> np.ndarray:
     """Vertical planes of ``fps`` (n x words): planes[bit, w] holds that bit of rows 64 w to 64 w + 63."""
     n, words = fps.shape
@@ -281,10 +286,8 @@ def radius_for(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(cosine) / np.pi)
 
 
-def near_duplicate_groups(
-    docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``doc_id`` and ``group_id`` (smallest doc_id of its near-duplicate group) of every row.
+def _near_classes(docs: DataFrame, width: int, similarity: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc_id``, ``t``: hash of the text, ``id`` of the class of equal fingerprints) and each class's ``group``.
 
     For looser similarities than a few bits: fingerprints of 1,024 bits, compared bit-sliced
     within blocks of documents that share a smallest shingle under two hash orders; of twelve such
@@ -293,33 +296,51 @@ def near_duplicate_groups(
     bits = 64 * STAGE_WORDS
     marked = fingerprints(docs, width, STAGE_WORDS, STAGE_BANDS).withColumn("id", F.xxhash64("fp"))
     marked = stage(marked, "wide-fingerprints")
-    classes = marked.groupBy("id").agg(F.min("doc_id").alias("low"))
     keyed = marked.groupBy("id", "bands").agg(F.first("fp").alias("fp")).select(
         F.posexplode("bands").alias("_band", "_key"), "id", "fp"
     ).select(F.xxhash64("_band", "_key").alias("key"), "id", "fp")
     edges = compare_blocks(stage(keyed, "bands"), radius_for(similarity - STAGE_MARGIN, bits), block_rows)
-    joined = stage(components(edges), "components")
-    roots = classes.join(joined.withColumnRenamed("node", "id"), "id")
-    lows = roots.groupBy("root").agg(F.min("low").alias("least"))
-    linked = joined.join(lows, "root").select(F.col("node").alias("id"), "least")
-    names = classes.join(linked, "id", "left").select(F.col("id").alias("_id"), F.coalesce("least", "low").alias("group_id"))
-    return marked.select("doc_id", "id").join(names, F.col("id") == F.col("_id"), "left").select("doc_id", "group_id")
+    joined = stage(components(edges), "components").withColumnRenamed("node", "id")
+    classes = marked.groupBy("id").agg(F.min(_first_row()).alias("head"), F.min("doc_id").alias("low"))
+    classes = classes.join(joined, "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
+    return marked.select("doc_id", "t", "id"), stage(classes, "near-classes")
+
+
+def _first_row() -> Column:
+    """Orders the rows of a class: by doc_id, those without one last, then by the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
+
+
+def near_duplicate_groups(
+    docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``doc_id`` and ``group_id`` (smallest doc_id of its near-duplicate group) of every row."""
+    marked, classes = _near_classes(docs, width, similarity, block_rows)
+    lows = classes.groupBy("group").agg(F.min("low").alias("group_id"))
+    names = classes.select("id", "group").join(lows, "group").select(F.col("id").alias("_id"), "group_id")
+    return marked.join(names, F.col("id") == F.col("_id"), "left").select("doc_id", "group_id")
 
 
 def keep_one_each(docs: DataFrame, width: int = STAGE_WIDTH, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that of the smallest doc_id, all columns as they are.
 
-    Texts without words are one group. Repeated rows and ids leave one row, the first by a hash of
-    its text; a group without any doc_id leaves one row with a null id.
+    Texts without words are one group. Of rows that share the smallest id the first by a hash of its
+    text stays; a group without any doc_id leaves one row with a null id. Groups are told apart
+    whatever their ids, so rows that share an id, or have none, stay if their groups differ.
     """
-    groups = near_duplicate_groups(docs, width, similarity)
-    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("_head")).distinct()
-    left = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    # Only ids that occur twice can still leave too many rows.
-    twice = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"), F.min(F.xxhash64("text")).alias("_least")).where("_n > 1")
-    twice = stage(twice.select(F.col("doc_id").alias("_twice"), "_least"), "repeated-ids")
-    single = left.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti")
+    key = fresh("_near", docs.columns)
+    marked, classes = _near_classes(docs, width, similarity, BLOCK_ROWS)
+    heads = classes.groupBy("group").agg(F.min("head").alias("head")).select(
+        F.col("head.doc_id").alias(f"{key}_doc"), F.col("head.t").alias(f"{key}_head")
+    )
+    # Rows of one id and text are one class, so no two groups have the same head.
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{key}_doc")) & (_text_hash() == F.col(f"{key}_head"))
+    rows = marked.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_text")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    same = F.col(f"{key}_doc").eqNullSafe(F.col("_id")) & (F.col(f"{key}_head") == F.col("_text"))
+    twice = stage(heads.join(rows, same, "left_semi"), "repeated-heads")
     if twice.isEmpty():
-        return single
-    rows = left.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")) & (F.xxhash64("text") == F.col("_least")))
-    return single.unionByName(rows.dropDuplicates(["doc_id"]).select(*docs.columns))
+        return docs.join(heads, here, "left_semi")
+    single = docs.join(heads.join(rows, same, "left_anti"), here, "left_semi")
+    # Copies are dropped before the join, in each task first, so that many equal rows do not meet in one.
+    once = docs.withColumns({f"{key}_id": F.col("doc_id").cast("long"), f"{key}_t": _text_hash()}).dropDuplicates([f"{key}_id", f"{key}_t"])
+    return single.unionByName(once.join(twice, here, "left_semi").select(*docs.columns))
