@@ -126,3 +126,21 @@ def test_stage_keeps_every_group_without_an_id_or_with_a_shared_one(spark):
     got = S.keep_one_each(spark.createDataFrame(rows, "doc_id long, text string"))
     want = [(None, text[0]), (None, text[1]), (None, text[2]), (7, text[3]), (7, text[4]), (8, text[5])]
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got.collect()))) == sorted(map(str, want))
+
+
+def test_stage_decides_by_jaccard_of_distinct_shingles(spark):
+    line, body = words(300, 6), words(301, 300)
+    repeated, once = body + line * 60, body + line  # nearly one set, but most of the first text is the line
+    boiler = words(302, 6) * 80
+    shared = [boiler + words(303 + i, 200) for i in range(2)]  # mostly equal shingles, sets mostly different
+    near, at = [words(400 + i, 504) for i in range(20)], []
+    for i, w in enumerate(near):  # 500 shingles, 55 of them changed: Jaccard 445 / 555, just above 0.8
+        at.append([x + "z" if n % 45 == 20 and n < 480 else x for n, x in enumerate(w)])
+    pairs = [(repeated, once), tuple(shared), *zip(near, at)]
+    rows = [(2 * n + s, " ".join(p[s])) for n, p in enumerate(pairs) for s in (0, 1)]
+    got = {r["doc_id"]: r["group_id"] for r in S.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: set(S.shingle_hashes(t, S.STAGE_WIDTH).tolist()) for i, t in rows}
+    for n in range(len(pairs)):
+        a, b = sets[2 * n], sets[2 * n + 1]
+        assert (got[2 * n] == got[2 * n + 1]) == (len(a & b) >= 0.8 * len(a | b)), n
+    assert got[1] == 0 and got[3] == 3 and all(got[2 * n + 1] == 2 * n for n in range(2, len(pairs)))

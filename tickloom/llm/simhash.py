@@ -76,7 +76,7 @@ def band_keys(h: np.ndarray, bands: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = WIDTH, words: int = 1, bands: int = 0) -> DataFrame:
-    """``doc_id``, ``t`` (hash of the text), ``fp`` (bytes, most significant first) and ``bands`` (array of keys) per row."""
+    """``doc_id``, ``fp`` (bytes, most significant first) and ``bands`` (array of keys) per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,19 +86,14 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, words: int = 1, bands: int
                 fps.append(fingerprint(h, words).astype(">u8").tobytes())
                 keys.append(band_keys(h, bands).view(np.int64) if bands else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "t", "fp", "bands"],
+                [batch.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "bands"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("t")).mapInArrow(
-        run, "doc_id long, t long, fp binary, bands array<long>"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, fp binary, bands array<long>"
     )
 
 
-def _text_hash() -> Column:
-    return F.xxhash64(F.col("text").cast("string"))
-
-
 def planes_of(fps: np.ndarray) -> np.ndarray:
     """Vertical planes of ``fps`` (n x words): planes[bit, w] holds that bit of rows 64 w to 64 w + 63."""
     n, words = fps.shape
@@ -276,8 +271,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 #: The stage of the corpus pipeline: five words, similarity 0.8; bits, bands and radius that go with them.
 STAGE_WIDTH, STAGE_SIMILARITY, STAGE_WORDS, STAGE_BANDS = 5, 0.8, 16, 12
-#: Fingerprint noise is allowed for down to this similarity.
-STAGE_MARGIN = 0.02
+#: Bits beyond the expected radius that the fingerprints are let differ before the exact check: their noise is about 12
+#: bits, and odd and even set sizes shift the majority of very short texts by up to 40.
+STAGE_SLACK = 100
+#: Documents and shingles of a candidate group checked in one task at most (a task takes two such parts).
+PART_ROWS, PART_SHINGLES = 4096, 1 << 22
 
 
 def radius_for(similarity: float, bits: int) -> int:
@@ -286,24 +284,128 @@ def radius_for(similarity: float, bits: int) -> int:
     return int(bits * np.arccos(cosine) / np.pi)
 
 
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of ``text``."""
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """Per row ``doc_id``, ``t`` (hash of the text), ``id`` (hash of the shingle set), its size ``n``, ``fp`` and ``bands``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, sizes, fps, keys = [], [], [], []
+            for text in batch.column(1):
+                h = shingle_set(text.as_py(), width)
+                ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                sizes.append(len(h))
+                fps.append(fingerprint(h, STAGE_WORDS).astype(">u8").tobytes())
+                keys.append(band_keys(h, STAGE_BANDS).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()),
+                 pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "t", "id", "n", "fp", "bands"],
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), _text_hash().alias("t")).mapInArrow(
+        run, "doc_id long, t long, id long, n long, fp binary, bands array<long>"
+    )
+
+
+def similar_edges(sets: list[np.ndarray], fps: np.ndarray, end: np.ndarray, radius: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest (rows i, j) of the close pairs whose shingle sets have at least this Jaccard similarity."""
+    label = np.arange(len(sets))
+    sizes = np.array([len(x) for x in sets], np.int64)
+
+    def root(i: int) -> int:
+        while label[i] != i:
+            label[i] = label[label[i]]
+            i = label[i]
+        return i
+
+    for i, j in close_pairs(fps, np.arange(1, len(sets) + 1), end, radius):
+        fits = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
+        i, j = i[fits], j[fits]
+        for at in range(0, len(i), 1024):
+            while (label[label] != label).any():
+                label[:] = label[label]
+            one, two = i[at : at + 1024], j[at : at + 1024]
+            apart = label[one] != label[two]
+            for a, b in zip(one[apart].tolist(), two[apart].tolist()):
+                ra, rb = root(a), root(b)
+                if ra == rb:
+                    continue
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both >= similarity * (sizes[a] + sizes[b] - both) - 1e-9:
+                    label[max(ra, rb)] = min(ra, rb)
+                    yield a, b
+
+
+def confirmed(docs: DataFrame, members: DataFrame, width: int, radius: int, similarity: float, part_rows: int) -> DataFrame:
+    """Spanning edges (``a``, ``b``) of the pairs of similar shingle sets among the ``members`` of a candidate group.
+
+    ``members`` (stored) has ``root`` (the group), ``id``, ``n``, ``fp`` and the row that holds the
+    text (``head``). A group of many documents or shingles is cut into parts, and each two
+    parts meet in a tile, as in :func:`compare_blocks`.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), _text_hash().alias("_t"), F.col("text").cast("string").alias("text"))
+    at = F.col("head.doc_id").eqNullSafe(F.col("_doc")) & (F.col("head.t") == F.col("_t"))
+    held = members.join(texts, at).select("root", "id", "fp", "text").dropDuplicates(["id"])
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text.as_py(), width).tobytes() for text in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["root", "id", "fp", "hashes"])
+
+    held = stage(held.mapInArrow(to_sets, "root long, id long, fp binary, hashes binary"), "shingle-sets")
+    share = F.greatest(F.count(F.lit(1)) / F.lit(float(part_rows)), F.sum("n") / F.lit(float(PART_SHINGLES)))
+    parts = members.groupBy(F.col("root").alias("_k")).agg(F.greatest(F.ceil(share), F.lit(1)).cast("int").alias("_parts"))
+    met = held.join(parts, F.col("root") == F.col("_k")).withColumn("_mine", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    tiles = met.select("root", "id", "fp", "hashes", "_mine", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other")).select(
+        F.xxhash64("root", F.least("_mine", "_other"), F.greatest("_mine", "_other")).alias("tile"), "id", "fp", "hashes"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            tile, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
+            fps = np.frombuffer(b"".join(table.column(2).to_pylist()), ">u8").astype(np.uint64).reshape(len(ids), -1)
+            sets = [np.frombuffer(x, np.uint64) for x in table.column(3).to_pylist()]
+            bounds = np.append(np.flatnonzero(np.diff(tile)) + 1, len(tile))
+            end = np.repeat(bounds, np.diff(np.append(0, bounds)))
+            found = np.array(list(similar_edges(sets, fps, end, radius, similarity)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found[:, 0]]), pa.array(ids[found[:, 1]])], ["a", "b"])
+
+    return tiles.repartition("tile").sortWithinPartitions("tile", "id").mapInArrow(run, "a long, b long")
+
+
 def _near_classes(docs: DataFrame, width: int, similarity: float, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (``doc_id``, ``t``: hash of the text, ``id`` of the class of equal fingerprints) and each class's ``group``.
+    """Rows (``doc_id``, ``t``: hash of the text, ``id`` of the class of equal shingle sets) and each class's ``group``.
 
-    For looser similarities than a few bits: fingerprints of 1,024 bits, compared bit-sliced
-    within blocks of documents that share a smallest shingle under two hash orders; of twelve such
-    keys a pair of similarity 0.8 shares at least one with probability 1 - 5e-6.
+    Two texts link when their sets of distinct shingles have a Jaccard similarity of ``similarity``
+    or more. Candidates have fingerprints of 1,024 bits, compared bit-sliced with a wide radius
+    within blocks of documents that share a smallest shingle under two hash orders; of twelve such keys a
+    pair of similarity 0.8 shares at least one with probability 1 - 5e-6. Within the groups that
+    candidates form, the sets themselves decide.
     """
     bits = 64 * STAGE_WORDS
-    marked = fingerprints(docs, width, STAGE_WORDS, STAGE_BANDS).withColumn("id", F.xxhash64("fp"))
-    marked = stage(marked, "wide-fingerprints")
+    radius = min(bits // 2, radius_for(similarity, bits) + STAGE_SLACK)
+    marked = stage(set_fingerprints(docs, width), "wide-fingerprints")
     keyed = marked.groupBy("id", "bands").agg(F.first("fp").alias("fp")).select(
         F.posexplode("bands").alias("_band", "_key"), "id", "fp"
     ).select(F.xxhash64("_band", "_key").alias("key"), "id", "fp")
-    edges = compare_blocks(stage(keyed, "bands"), radius_for(similarity - STAGE_MARGIN, bits), block_rows)
-    joined = stage(components(edges), "components").withColumnRenamed("node", "id")
-    classes = marked.groupBy("id").agg(F.min(_first_row()).alias("head"), F.min("doc_id").alias("low"))
-    classes = classes.join(joined, "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
-    return marked.select("doc_id", "t", "id"), stage(classes, "near-classes")
+    edges = compare_blocks(stage(keyed, "bands"), radius, block_rows)
+    loose = stage(components(edges), "candidates")
+    classes = stage(marked.groupBy("id").agg(F.min(_first_row()).alias("head"), F.min("doc_id").alias("low"), F.first("n").alias("n")), "near-classes")
+    prints = marked.groupBy("id").agg(F.first("fp").alias("fp"))
+    members = loose.withColumnRenamed("node", "id").join(classes, "id").join(prints, "id").select("root", "id", "n", "fp", "head")
+    members = stage(members, "candidate-groups")
+    joined = stage(components(confirmed(docs, members, width, radius, similarity, min(block_rows, PART_ROWS))), "components")
+    named = classes.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("group", F.coalesce("root", "id")).drop("root")
+    return marked.select("doc_id", "t", "id"), stage(named, "near-groups")
+
+
+def _text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def _first_row() -> Column:
