@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.llm.common import text_or_empty
@@ -19,60 +19,95 @@ MIN_DOCS, SMOOTHING, UNIT = 30, 5, 1_000_000_000
 #: Ranks of the terms of a group.
 TOP = 50
 #: A tile of the pair distances: terms, and sources on either side.
-TERM_BLOCK, SOURCE_BLOCK = 4096, 256
-#: Distinct terms a task holds before it passes their counts on.
-_HELD = 400_000
+TERM_BLOCK, SOURCE_BLOCK = 512, 256
+#: Prefixes start with 2**FIRST_LEVEL bytes and double.
+FIRST_LEVEL = 2
+#: Bytes of text that a task counts at once (a longer text is counted by itself).
+_CHUNK_BYTES = 16 << 20
 
 #: Bytes outside terms become blanks and capitals small letters. Bytes of a character beyond ASCII all lie above 127.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256)
 )
-_DOC = 1 << 44
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each term of the texts: its text, its rank among the distinct terms; and these in byte order."""
+    data = np.frombuffer(b" ".join(texts).translate(_FOLD), np.uint8)
+    inside = data != 32
+    edges = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    ends = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=ends[1:])
+    buffers = [None, pa.py_buffer(ends), pa.py_buffer(data[inside])]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), buffers).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    firsts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return np.searchsorted(firsts, starts, "right") - 1, rank[coded.indices.to_numpy()], coded.dictionary.take(order)
+
+
+def _levels(doc: np.ndarray, code: np.ndarray, terms: pa.Array) -> np.ndarray:
+    """Level of each (text, term), sorted by both: the first k where 2**k bytes part it from the text's term before.
+
+    The end of a term counts as a byte, so different terms part at last. Two terms share a prefix
+    if no neighbours between them in the order of all terms differ in it.
+    """
+    level = np.full(len(doc), FIRST_LEVEL, np.int32)
+    open_ = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    k = FIRST_LEVEL
+    while len(open_):
+        cut = pc.binary_slice(terms, 0, 1 << k)
+        run = np.zeros(len(terms), np.int64)
+        np.cumsum(pc.not_equal(cut[1:], cut[:-1]).to_numpy(zero_copy_only=False), out=run[1:])
+        open_ = open_[run[code[open_]] == run[code[open_ - 1]]]
+        k += 1
+        level[open_] = k
+    return level
+
+
+def _count_chunk(texts: list[bytes], groups: list[tuple[str, str]]) -> pa.RecordBatch | None:
+    doc, code, terms = _tokens(texts)
+    if not len(doc):
+        return None
+    named: dict[tuple, int] = {}
+    group = np.array([named.setdefault(g, len(named)) for g in groups], np.int64)
+    pairs, n = np.unique(doc * len(terms) + code, return_counts=True)
+    doc, code = np.divmod(pairs, len(terms))
+    level = _levels(doc, code, terms)
+    top = int(level.max()) + 1
+    key = (group[doc] * len(terms) + code) * top + level
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    at = np.flatnonzero(np.diff(key, prepend=-1))
+    found, level = np.divmod(key[at], top)
+    group, code = np.divmod(found, len(terms))
+    name = lambda i: pa.array([g[i] for g in named], pa.string()).take(pa.array(group))
+    return pa.RecordBatch.from_arrays(
+        [name(0), name(1), terms.take(pa.array(code)).cast(pa.binary()), pa.array(level.astype(np.int32)),
+         pa.array(np.diff(at, append=len(key))), pa.array(np.add.reduceat(n[order], at))],
+        ["lang", "source", "term", "level", "docs", "n"],
+    )
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (lang, source, term, level) over the documents of a task.
+    """Counts of (lang, source, term, level) over the documents of a task, chunk by chunk.
 
-    The terms of a document are sorted; ``level`` of a term is the first k at which its prefix of 2**k bytes (end mark
-    included) differs from that of the term before. A prefix of that length or more is new to the document there, one
-    of less was met before, so documents per prefix can be summed from these rows.
+    A prefix of 2**level bytes or more (see :func:`_levels`) is new to the document at the term, a shorter one was met at
+    a term before, so documents per prefix can be summed from these rows.
     """
-    held: dict[tuple, dict] = {}
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for (lang, source), terms in held.items():
-            n, keys, sums = len(terms), list(terms), np.fromiter(terms.values(), np.int64, len(terms))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32))),
-                    pa.array([source], pa.string()).take(pa.array(np.zeros(n, np.int32))),
-                    pa.array([k[0] for k in keys], pa.binary()),
-                    pa.array([k[1] for k in keys], pa.int32()),
-                    pa.array(sums // _DOC),
-                    pa.array(sums % _DOC),
-                ],
-                ["lang", "source", "term", "level", "docs", "n"],
-            )
-
+    texts, groups, size = [], [], 0
     for batch in batches:
         for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
-            counts = Counter(text.translate(_FOLD).split())
-            into = held.setdefault((lang, source), {})
-            size -= len(into)
-            before = b""
-            for term, n in sorted(counts.items()):
-                whole, level, width = term + b"\0", 1, 2
-                while whole[:width] == before[:width]:
-                    level, width = level + 1, width * 2
-                before = whole
-                key = (term, level)
-                into[key] = into.get(key, 0) + _DOC + n
-            size += len(into)
-            if size > _HELD:
-                yield from flush()
-                held, size = {}, 0
-    yield from flush()
+            texts.append(text)
+            groups.append((lang, source))
+            size += len(text)
+            if size >= _CHUNK_BYTES:
+                if (out := _count_chunk(texts, groups)) is not None:
+                    yield out
+                texts, groups, size = [], [], 0
+    if texts and (out := _count_chunk(texts, groups)) is not None:
+        yield out
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -88,17 +123,17 @@ def term_counts(docs: DataFrame) -> DataFrame:
 def kept_terms(counts: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The terms (``lang``, ``term``) that at least ``min_docs`` documents of the language hold.
 
-    Prefixes of 2, 4, 8, ... bytes are refined level by level. At a level every prefix that is left is counted with
+    Prefixes of 4, 8, 16, ... bytes are refined level by level. At a level every prefix that is left is counted with
     the distinct documents that hold a term below it; terms under a prefix short of ``min_docs`` are discarded, terms
     that end inside the prefix are complete and kept, and the others go on to the next level. Prefixes double, so
     the levels follow the logarithm of the longest kept term. ``counts`` is a stored result of :func:`term_counts`.
     """
     left = counts.groupBy("lang", "term", "level").agg(F.sum("docs").alias("docs"))
-    complete, k = [], 1
+    complete, k = [], FIRST_LEVEL
     while True:
         prefix = F.substring(F.concat("term", F.lit(b"\0")), 1, 1 << k)
         left = left.withColumn("_prefix", prefix)
-        if k == 1:
+        if k == FIRST_LEVEL:
             left = stage(left, "terms")
         frequent = left.groupBy(F.col("lang").alias("_lang"), F.col("_prefix").alias("_own")).agg(
             F.sum(F.when(F.col("level") <= k, F.col("docs")).otherwise(0)).alias("_docs")
@@ -199,8 +234,9 @@ def audit_sources(
     counts = stage(term_counts(docs), "term-counts")
     kept = kept_terms(counts, min_docs).select(F.col("lang").alias("_lang"), F.col("term").alias("_term"))
     same = lambda other: (F.col("lang") == F.col("_lang")) & (F.col("term") == other)
+    # One layout by (lang, term) serves the join, the counts and the language's sums: a term has a row per source there.
     found = counts.join(kept, same(F.col("_term"))).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    found = stage(found, "kept-counts")
+    found = stage(found.withColumn("_n", F.sum("n").over(W.partitionBy("lang", "term"))), "kept-counts")
 
     groups = stage(docs.select(text_or_empty("lang").alias("lang"), text_or_empty("source").alias("source")).distinct(), "groups")
     groups = stage(number_rows(groups, ["lang"], ["source"], out="no", total="_sources"), "groups")
@@ -220,9 +256,8 @@ def audit_sources(
     of_group = groups.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "no", "lang_no", "terms", "_blocks", "total")
     shares = found.join(of_group, (F.col("lang") == F.col("_l")) & (F.col("source") == F.col("_s")))
     shares = shares.withColumn("p", _share(F.col("n"), F.col("total"), F.col("terms"))).drop("_l", "_s", "total")
-    whole = found.groupBy(F.col("lang").alias("_lang"), F.col("term").alias("_term")).agg(F.sum("n").alias("_n"))
     lang_totals = groups.groupBy(F.col("lang").alias("_g")).agg(F.sum("total").alias("_total"))
-    shares = shares.join(whole, same(F.col("_term"))).join(lang_totals, F.col("lang") == F.col("_g"))
+    shares = shares.join(lang_totals, F.col("lang") == F.col("_g"))
     shares = stage(shares.withColumn("q", _share(F.col("_n"), F.col("_total"), F.col("terms"))).select(
         "lang", "source", "term", "no", "lang_no", "_blocks", "p", "q"), "shares")
 
