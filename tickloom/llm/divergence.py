@@ -23,7 +23,7 @@ TERM_BLOCK, SOURCE_BLOCK = 512, 256
 #: Prefixes start with 2**FIRST_LEVEL bytes and double.
 FIRST_LEVEL = 2
 #: Bytes of text that a task counts at once (a longer text is counted by itself).
-_CHUNK_BYTES = 16 << 20
+_CHUNK_BYTES = 6 << 20
 
 #: Bytes outside terms become blanks and capitals small letters. Bytes of a character beyond ASCII all lie above 127.
 _FOLD = bytes(
