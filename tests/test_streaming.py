@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -51,6 +52,31 @@ def test_stream_and_batch_resolve_alike(spark, tmp_path):
     assert "EXPIRED" in labels and "UP" in labels
 
 
+def test_stream_of_ticks_takes_the_earliest_price_and_not_the_first_to_arrive(spark, tmp_path):
+    """Windows that begin inside a slot, ticks out of order within a batch and over batches, ties, an empty slot."""
+    r = random.Random(11)
+    preds = [(f"r{i}", T0 + dt.timedelta(seconds=97 * i), "AB"[i % 2], 100.0, "UP") for i in range(60)]
+    ticks = [("A", T0 + dt.timedelta(seconds=r.randrange(300, 9000), microseconds=r.randrange(3)), 90 + r.random() * 20) for _ in range(400)]
+    ticks = [t for t in ticks if not 3000 < (t[1] - T0).total_seconds() < 4300]
+    ticks += [("A", ticks[0][1], 91.5), (None, T0, 1.0), ("A", T0 + dt.timedelta(seconds=301), None)]
+    ticks.sort(key=lambda t: t[1].replace(microsecond=0) + dt.timedelta(seconds=r.randrange(50)))
+    end = T0 + dt.timedelta(days=2)
+    pschema = "row_id string, timestamp timestamp, ticker string, close double, prediction_direction string"
+    qschema = "ticker string, ts timestamp, price double"
+    spark.createDataFrame(preds, pschema).coalesce(1).write.parquet(f"{tmp_path}/p")
+    for part in range(0, len(ticks), 80):
+        spark.createDataFrame(ticks[part:part + 80], qschema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/q")
+    spark.createDataFrame([("~", end, "~", 1.0, "UP")], pschema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/p")
+    spark.createDataFrame([("~", end, 1.0)], qschema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/q")
+    feed = lambda s, x: spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{x}")
+    got = drain(live.stream_resolve(feed(pschema, "p"), feed(qschema, "q")), str(tmp_path)).where("ticker <> '~'")
+    cols = ["row_id", "actual_direction", "actual_return_pct", "resolution_price", "resolution_timestamp"]
+    open_rows = spark.createDataFrame(preds, pschema).withColumns(le.empty_phase2())
+    want = le.resolve_phase2(open_rows, spark.createDataFrame(ticks, qschema), end).select(*cols)
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.collect()))
+    assert {r[0] for r in want.select("actual_direction").distinct().collect()} > {"EXPIRED"}
+
+
 def test_indicators_continue_over_batches(spark, tmp_path):
     """A long series in four feeds, a series that starts late, and one late bar."""
     rows = sorted(walk("L", 2300) + walk("N", 100, start=dt.datetime(2024, 2, 1, 9, 25)), key=lambda r: r[1])
@@ -66,7 +92,7 @@ def test_indicators_continue_over_batches(spark, tmp_path):
     assert got.count() == len(rows)
     assert got.exceptAll(want).count() == 0
     assert spark.read.parquet(f"{tmp_path}/out-late").count() == 1
-    state = spark.read.parquet(f"{tmp_path}/state/batch=3")
+    state = live.indicator_state(spark, f"{tmp_path}/state").read(3)
     assert state.where("ticker = 'L'").count() <= ind.INDICATOR_BACK + 71
 
 

@@ -18,7 +18,7 @@ from tickloom.schema import BAR
 from tickloom.session import stage, staged_folder
 from tickloom.sources import bars as bar_files, ledger_store as store
 from tickloom.sources.snapshot import activity_snapshot, dashboard_snapshot
-from tickloom.streaming import live
+from tickloom.streaming import live, restate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -795,6 +795,18 @@ def stream_resolve(spark, d):
     return _outcomes(done)
 
 
+@query
+def stream_resolve_ticks(spark, d):
+    """Predictions 97 seconds after their bar against the single trades, not on the grid of the price slots."""
+    preds = src.pending_ledger(spark, d).select("row_id", "timestamp", "ticker", "close", "prediction_direction")
+    preds = preds.withColumn("timestamp", F.col("timestamp") + F.make_dt_interval(secs=F.lit(97)))
+    both_end = _heartbeat(preds, "timestamp").fillna({"row_id": "~end"})
+    prices = _heartbeat(src.ticks(spark, d).select("ticker", "ts", "price"), "ts").fillna({"price": 0.0})
+    asked, priced = _Feed(both_end, "timestamp", "preds"), _Feed(prices, "ts", "ticks")
+    done = _drain(live.stream_resolve(asked.stream, priced.stream), "stream-resolve", asked, priced).filter(F.col("ticker") != "~end")
+    return _outcomes(done)
+
+
 @query
 def stream_dedupe(spark, d):
     """Every ledger row delivered twice, kept once."""
@@ -836,6 +848,26 @@ def stream_indicators(spark, d):
     return shown(rows)
 
 
+@query
+def stream_indicators_late(spark, d):
+    """Five-minute bars in three parts; one in 13 comes a part or two late, one in 11 wrong at first and revised later."""
+    bars = src.bars(spark, d, "5 minutes")
+    base, day = staged_folder(spark, "late-feed"), F.dayofmonth("bar_ts")
+    pick = F.crc32(F.concat_ws("|", "ticker", F.unix_seconds("bar_ts").cast("string")))
+    due = F.when(day <= 10, 0).when(day <= 20, 1).otherwise(2)
+    arrives = F.least(due + F.when(pick % 13 == 0, 1 + pick % 2).otherwise(0), F.lit(2))
+    rows = stage(bars.withColumns({"_arrives": arrives, "_wrong": (pick % 11 == 0) & (due < 2)}), "late-bars")
+    for part in range(3):
+        right = rows.filter((F.col("_arrives") == part) & ~F.col("_wrong") | F.col("_wrong") & (F.col("_arrives") < 2) & (F.col("_arrives") + 1 == part))
+        right = right.unionByName(rows.filter(F.col("_wrong") & (F.col("_arrives") == 2) & F.lit(part == 2)))
+        early = rows.filter(F.col("_wrong") & (F.col("_arrives") < 2) & (F.col("_arrives") == part))
+        early = early.withColumns({"close": F.col("close") * 1.02, "high": F.col("high") * 1.02, "volume": F.col("volume") + 5})
+        right.unionByName(early).select(*BAR.names).write.mode("append").parquet(f"{base}/in")
+        feed = spark.readStream.schema(BAR).parquet(f"{base}/in")
+        restate.stream_restated(feed, f"{base}/out", f"{base}/state", f"{base}/progress", buckets=16).awaitTermination()
+    return shown(restate.read_restated(spark, f"{base}/out").drop("batch", "correction"))
+
+
 @query
 def stream_rolling_accuracy(spark, d):
     """Outcomes fed in two parts; positions and windows continue over the cut."""

@@ -228,6 +228,8 @@ ORACLE_SQL["ema_generic"] = with_(*BARS, IX, WIN, """gen AS (
 )
 bars_q("min_history_gate", f"SELECT ticker, {BT}, n AS series_len, {r('CASE WHEN n >= 680 THEN vwap END')} AS vwap FROM base")
 ind_q("indicators_all", f"SELECT ticker, {BT}, {rounded(*IND_COLS)}, volume, i AS series_idx, n AS series_len FROM ind")
+ORACLE_SQL["stream_indicators_late"] = with_(TICKS, bars_cte("5 minutes"), *INDICATORS) + (
+    f"SELECT ticker, {BT}, {rounded(*IND_COLS)}, volume FROM ind")
 ind_q("stream_indicators", f"SELECT ticker, {BT}, {rounded(*IND_COLS)}, volume, i AS series_idx FROM ind")
 ORACLE_SQL["supplier_bars_indicators"] = with_(SUPPLIER_BARS, *INDICATORS) + (
     f"SELECT ticker, {BT}, " + rounded("close", "vwap", "rsi_14", "macd", "macd_signal", "bb_upper", "atr_14", "sma_50", digits=3)
@@ -441,10 +443,11 @@ def _phase2(found: str, price: str, at: str, late: str, late_at: str) -> str:
     {pick('false', 'false')} AS used_in_training"""
 
 
-def _waiting(prices: str, asof: str) -> str:
+def _waiting(prices: str, asof: str, later: int = 0) -> str:
     return f"""res AS ({_phase2('q.ts IS NOT NULL AND q.ts <= l.bar_ts + INTERVAL 3600 SECOND', 'q.price', 'q.ts',
         f"{asof} > l.bar_ts + INTERVAL 3600 SECOND", 'l.bar_ts + INTERVAL 3600 SECOND')}
-  FROM (SELECT row_id, ticker, bar_ts, bar_ts + INTERVAL 300 SECOND AS due, close, prediction_direction FROM p) l
+  FROM (SELECT row_id, ticker, b.bar_ts, b.bar_ts + INTERVAL 300 SECOND AS due, close, prediction_direction
+    FROM (SELECT * REPLACE (p0.bar_ts + INTERVAL {later} SECOND AS bar_ts) FROM p p0) b) l
   ASOF LEFT JOIN {prices} q ON l.ticker = q.ticker AND l.due <= q.ts)"""
 
 
@@ -457,6 +460,7 @@ pred_q("stream_resolve", f"SELECT {PHASE2} FROM res", step=1, extra=(
       FROM ticks k GROUP BY ticker, time_bucket(INTERVAL '5 minutes', k.ts))""",
     _waiting("known", "TIMESTAMP '2100-01-01'"),
 ))
+pred_q("stream_resolve_ticks", f"SELECT {PHASE2} FROM res", step=1, extra=(_waiting("ticks", "TIMESTAMP '2100-01-01'", 97),))
 LAST_PRICES = """last_prices AS (
   SELECT ticker, arg_max(price, ts) AS price FROM ticks WHERE ticker <> 'error' GROUP BY ticker)"""
 pred_q("attach_price", f"""SELECT row_id, ticker, {r('close')} AS close, {r('coalesce(price, close)')} AS current_price

@@ -1,14 +1,14 @@
 """The live path as Structured Streaming queries.
 
-Ticks become bars, bars become indicator rows with their history, predictions wait for their price
-or expire. State is bounded by watermarks or by the fixed look-back of the indicators.
+Ticks become bars, bars become indicator rows with their history (in time order here, in any order in
+``restate``), predictions wait for their price or expire. State is bounded by watermarks or by the fixed look-back of the indicators.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tickloom.operators.analytics import prediction_index, rolling_accuracy
 from tickloom.operators.bars import build_bars, last_n
@@ -18,7 +18,8 @@ from tickloom.operators.ledger import expired_columns, outcome_columns
 from tickloom.operators.replay import completed, mark_trained, update_replay
 from tickloom.plans.blocks import SeriesBlocks, index_series, trailing, usable
 from tickloom.schema import BAR, BAR_SECONDS, EXPIRY_SECONDS
-from tickloom.session import drop_path
+from tickloom.session import drop_path, stage
+from tickloom.streaming.state import KeyedState
 
 
 def _seconds(n: int) -> Column:
@@ -35,34 +36,53 @@ def stream_resolve(preds: DataFrame, prices: DataFrame, min_gap_s: int = BAR_SEC
                    max_gap_s: int = EXPIRY_SECONDS, delay: str = "1 minute", salts: int = 4, slot_s: int = BAR_SECONDS) -> DataFrame:
     """Outcome of each prediction: its first price in the window, or EXPIRED without one.
 
-    ``prices`` (ticker, ts, price) may be bars or ticks: it is cut to the first price of each ticker and
-    ``slot_s`` seconds as it comes in (state of one key per slot), so a prediction meets at most the slots of
-    its window; of ticks the outcome is the first slot price in the window. Predictions are salted and the few prices copied to all
-    salts, which spreads a busy ticker over several tasks.
+    ``prices`` (ticker, ts, price) may be bars or ticks. A watermark-bounded aggregate keeps the earliest price of each
+    ticker and ``slot_s`` seconds by event time, whatever comes first; a prediction meets the slots of its window,
+    and these decide unless its window begins inside a slot. Only such predictions also meet the single prices of
+    that one slot. Of prices at one time the lowest counts. Predictions are salted and the few slots copied to all
+    salts, which spreads a busy ticker over several tasks; prices inside slots are spread by (ticker, slot).
     """
-    p = preds.select("row_id", "timestamp", "ticker", "close", "prediction_direction")
-    p = p.withColumn("_salt", F.pmod(F.crc32("row_id"), F.lit(salts))).withWatermark("timestamp", delay)
-    slot = F.floor(F.unix_seconds("ts") / slot_s)
-    once = prices.withColumn("_slot", slot).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["ticker", "_slot"])
-    q = once.select(
-        F.col("ticker").alias("_pt"), F.col("ts").alias("_pts"), F.col("price").alias("_pp"),
+    key = ["row_id", "timestamp", "ticker", "close", "prediction_direction"]
+    p = preds.select(*key).withWatermark("timestamp", delay)
+    # A row without ticker or price still tells the time.
+    q = prices.select("ticker", "ts", "price").withWatermark("ts", delay).filter("ticker IS NOT NULL AND price IS NOT NULL")
+    begins, ends = F.col("timestamp") + _seconds(min_gap_s), F.col("timestamp") + _seconds(max_gap_s)
+
+    slots = q.groupBy("ticker", F.window("ts", f"{slot_s} seconds")).agg(F.min(F.struct("ts", "price")).alias("_first"))
+    slots = slots.select(
+        F.col("ticker").alias("_pt"), F.window_time("window").alias("_closes"), "_first",
         F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])).alias("_ps"),
     )
+    salted = p.withColumn("_salt", F.pmod(F.crc32("row_id"), F.lit(salts)))
     reach = (
         (F.col("ticker") == F.col("_pt"))
         & (F.col("_salt") == F.col("_ps"))
-        & (F.col("_pts") >= F.col("timestamp") + _seconds(min_gap_s))
-        & (F.col("_pts") <= F.col("timestamp") + _seconds(max_gap_s))
+        & (F.col("_closes") >= begins)
+        & (F.col("_closes") <= ends + _seconds(slot_s))
+        & (F.col("_first.ts") >= begins)
+        & (F.col("_first.ts") <= ends)
     )
-    first = p.join(q, reach, "left_outer").groupBy(
-        "row_id", "timestamp", "ticker", "close", "prediction_direction"
-    ).agg(F.min_by("_pp", "_pts").alias("_price"), F.min("_pts").alias("_at"))
-    found = F.col("_price").isNotNull()
-    hits = outcome_columns(F.col("_price"), F.col("_at"))
-    gone = expired_columns(F.col("timestamp") + _seconds(max_gap_s))
-    return first.withColumns({c: F.when(found, hits[c]).otherwise(gone[c]) for c in hits}).drop(
-        "_price", "_at"
+    met = salted.join(slots, reach, "left_outer").select(*key, "_first")
+
+    width = slot_s * 1_000_000
+    micros = F.unix_micros("timestamp") + min_gap_s * 1_000_000
+    inside = p.filter(F.pmod(micros, F.lit(width)) != 0).withColumn("_slot", F.floor(micros / width))
+    single = q.select(
+        F.col("ticker").alias("_pt"), F.col("ts").alias("_at"), F.floor(F.unix_micros("ts") / width).alias("_ps"),
+        F.struct("ts", "price").alias("_first"),
     )
+    same_slot = (
+        (F.col("ticker") == F.col("_pt"))
+        & (F.col("_slot") == F.col("_ps"))
+        & (F.col("_at") >= begins)
+        & (F.col("_at") <= F.col("timestamp") + _seconds(min(max_gap_s, min_gap_s + slot_s)))
+    )
+    met = met.unionByName(inside.join(single, same_slot).select(*key, "_first"))
+    first = met.groupBy(*key).agg(F.min(F.when(F.col("_first.ts").isNotNull(), F.col("_first"))).alias("_first"))
+    hits = outcome_columns(F.col("_first.price"), F.col("_first.ts"))
+    gone = expired_columns(ends)
+    found = F.col("_first").isNotNull()
+    return first.withColumns({c: F.when(found, hits[c]).otherwise(gone[c]) for c in hits}).drop("_first")
 
 
 def stream_dedupe(df: DataFrame, keys: list[str], ts: str, delay: str = "10 minutes") -> DataFrame:
@@ -132,6 +152,9 @@ def _drop_version(spark: SparkSession, path: str, batch_id: int) -> None:
         drop_path(spark, _version(path, batch_id))
 
 
+_HISTORY = T.StructType([*BAR.fields, T.StructField("series_idx", T.LongType()), T.StructField("series_len", T.LongType())])
+
+
 def indicator_batch(new: DataFrame, history: DataFrame | None, size: int | None = None):
     """Indicator rows of ``new`` bars, the history for the next batch, and bars that came too late.
 
@@ -178,26 +201,34 @@ def indicator_batch(new: DataFrame, history: DataFrame | None, size: int | None
     return result, keep if idle is None else keep.unionByName(idle), late
 
 
-def indicator_sink(out_path: str, state_path: str):
+def indicator_sink(out_path: str, state_path: str, buckets: int = 64):
     """``foreachBatch`` function: indicators on new bars using their history.
 
-    Output and state are written under the batch id, so a repeated batch replaces its own rows.
+    Output is written under the batch id and the history by ticker buckets (:class:`KeyedState`), so a repeated batch
+    replaces its own rows, and a batch rewrites the history of the buckets of its tickers only.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch = batch.persist()
-        history = _read_version(spark, state_path, batch_id - 1)
+        spark, staged = batch.sparkSession, []
+        state = indicator_state(spark, state_path, buckets)
+        batch = stage(batch, "indicator-batch", staged)
+        touched = state.touched(batch)
+        history = state.read(batch_id - 1, touched) if state.manifest(batch_id - 1) else None
         result, keep, late = indicator_batch(batch, history)
         result.write.mode("overwrite").parquet(_version(out_path, batch_id))
         late.write.mode("overwrite").parquet(_version(f"{out_path}-late", batch_id))
-        keep.write.mode("overwrite").parquet(_version(state_path, batch_id))
-        _drop_version(spark, state_path, batch_id - 3)
-        batch.unpersist()
+        state.write(keep, batch_id, touched)
+        for path in staged:
+            drop_path(spark, path)
 
     return run
 
 
+def indicator_state(spark: SparkSession, state_path: str, buckets: int = 64) -> KeyedState:
+    """The history that :func:`indicator_sink` keeps."""
+    return KeyedState(spark, state_path, _HISTORY, buckets=buckets)
+
+
 def stream_indicators(bars: DataFrame, out_path: str, state_path: str, checkpoint: str, trigger: dict | None = None):
     """Start the indicator query on a stream of bars that arrive in time order per ticker."""
     writer = bars.writeStream.foreachBatch(indicator_sink(out_path, state_path))
