@@ -44,11 +44,12 @@ def stream_resolve(preds: DataFrame, prices: DataFrame, min_gap_s: int = BAR_SEC
     """
     key = ["row_id", "timestamp", "ticker", "close", "prediction_direction"]
     p = preds.select(*key).withWatermark("timestamp", delay)
-    # A row without ticker or price still tells the time.
-    q = prices.select("ticker", "ts", "price").withWatermark("ts", delay).filter("ticker IS NOT NULL AND price IS NOT NULL")
+    # Rows without a price are left out after the joins: a filter here would move ahead of the watermark, and they tell the time.
+    q = prices.select("ticker", "ts", "price").withWatermark("ts", delay)
+    priced = F.when(F.col("price").isNotNull(), F.struct("ts", "price"))
     begins, ends = F.col("timestamp") + _seconds(min_gap_s), F.col("timestamp") + _seconds(max_gap_s)
 
-    slots = q.groupBy("ticker", F.window("ts", f"{slot_s} seconds")).agg(F.min(F.struct("ts", "price")).alias("_first"))
+    slots = q.groupBy("ticker", F.window("ts", f"{slot_s} seconds")).agg(F.min(priced).alias("_first"))
     slots = slots.select(
         F.col("ticker").alias("_pt"), F.window_time("window").alias("_closes"), "_first",
         F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(salts)])).alias("_ps"),
@@ -69,7 +70,7 @@ def stream_resolve(preds: DataFrame, prices: DataFrame, min_gap_s: int = BAR_SEC
     inside = p.filter(F.pmod(micros, F.lit(width)) != 0).withColumn("_slot", F.floor(micros / width))
     single = q.select(
         F.col("ticker").alias("_pt"), F.col("ts").alias("_at"), F.floor(F.unix_micros("ts") / width).alias("_ps"),
-        F.struct("ts", "price").alias("_first"),
+        priced.alias("_first"),
     )
     same_slot = (
         (F.col("ticker") == F.col("_pt"))
