@@ -93,7 +93,9 @@ def prepare(spark) -> None:
     ten = ledger.orderBy("row_id").limit(10)
     rest = ledger.join(ten.select("row_id"), "row_id", "left_anti")
     _TEN = stage(rest.unionByName(ten.withColumns(le.empty_phase2())), "ten-pending")
-    _PRICES = stage(src.ticks(spark, SF_DIR).select("ticker", "ts", "price"), "prices")
+    stored = staged_folder(spark, "prices")
+    bar_files.write_prices(src.ticks(spark, SF_DIR).select("ticker", "ts", "price"), stored)
+    _PRICES = bar_files.read_prices(spark, stored)
 
 
 def run(fn, spark) -> float:

@@ -176,3 +176,36 @@ def test_store_prunes_tickers_and_replaces_replay(spark, tmp_path):
     store.write_replay(df, f"{tmp_path}/replay")
     store.write_replay(store.read_replay(spark, f"{tmp_path}/replay").where("row_id = 'b'"), f"{tmp_path}/replay")
     assert [r.row_id for r in store.read_replay(spark, f"{tmp_path}/replay").collect()] == ["b"]
+
+
+def test_only_the_days_of_pending_windows_are_read(spark, tmp_path):
+    from tickloom.sources import bars as bar_files
+
+    start = dt.datetime(2024, 1, 1)
+    ticks = [("NSE:A", start + dt.timedelta(minutes=20 * i), 100.0 + i % 7) for i in range(72 * 20)]
+    bar_files.write_prices(spark.createDataFrame(ticks, "ticker string, ts timestamp, price double"), f"{tmp_path}/prices")
+    prices = bar_files.read_prices(spark, f"{tmp_path}/prices")
+    open_rows = ledger(spark, row("a", "NSE:A"), row("b", "NSE:A")).withColumn("timestamp", F.lit(start + dt.timedelta(days=7, hours=3)).cast("timestamp"))
+    done = le.resolve_phase2(open_rows.withColumns(le.empty_phase2()), prices, start + dt.timedelta(days=30))
+    assert "PartitionFilters: [isnotnull(day" in done._jdf.queryExecution().executedPlan().toString()
+    found = {(r.row_id, r.resolution_timestamp) for r in done.collect()}
+    assert found == {(i, start + dt.timedelta(days=7, hours=3, minutes=20)) for i in "ab"}
+
+
+def test_short_windows_in_buckets_of_their_own_length(spark):
+    import random
+
+    from tickloom.plans.asof import asof_forward
+
+    r = random.Random(5)
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    left = [("AB"[r.randrange(2)], at(r.randrange(40000)), i) for i in range(300)]
+    right = [("A", at(r.randrange(40000)), float(i)) for i in range(150)]
+    for low, high in ((0, 0), (10, 500), (300, 3600), (0, 7200), (100, 9000)):
+        got = asof_forward(spark.createDataFrame(left, "k string, t timestamp, i int"), spark.createDataFrame(right, "k string, ts timestamp, v double"),
+                           "k", "t", "ts", "v", low, high)
+        want = []
+        for k, t, i in left:
+            ok = sorted((ts, v) for g, ts, v in right if g == k and t + dt.timedelta(seconds=low) <= ts <= t + dt.timedelta(seconds=high))
+            want.append((i, *(ok[0] if ok else (None, None))))
+        assert sorted(map(str, want)) == sorted(str((x.i, x.matched_ts, x.matched_value)) for x in got.collect())

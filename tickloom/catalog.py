@@ -717,6 +717,51 @@ def replay_roundtrip(spark, d):
     return shown(store.read_replay(spark, path), "row_id", "timestamp", "used_in_training")
 
 
+@query
+def ledger_two_writers(spark, d):
+    """Two writers append in turns, each from the state it saw before the other's commit, while a third compacts."""
+    path = staged_folder(spark, "ledger-log")
+    preds = stage(src.predictions(spark, d).drop(*src.ANALYST_COLUMNS), "ledger-rows")
+    one, two, third = (store.ledger_table(spark, path) for _ in range(3))
+    part = F.pmod(F.crc32("row_id"), F.lit(6))
+    for k in range(0, 6, 2):
+        seen = one.snapshot()
+        two.append(preds.filter(part == k))
+        one.append(preds.filter(part == k + 1), base=seen)
+        third.compact(at_least=4)
+    return shown(one.read(), "row_id", "ticker", "timestamp", "close", "prediction_direction", "actual_direction")
+
+
+@query
+def replay_merge_days(spark, d):
+    """The replay table with newly completed rows, where only their days are written again."""
+    old, new = _two_versions(stage(src.predictions(spark, d).drop(*src.ANALYST_COLUMNS), "replay-rows"))
+    table = store.replay_table(spark, staged_folder(spark, "replay-log"))
+    table.append(old)
+    store.merge_replay_days(table, rp.completed(new), REPLAY_NOW)
+    return shown(table.read(), "row_id", "timestamp", "actual_direction", "used_in_training")
+
+
+@query
+def contributions_lookup(spark, d):
+    """What the agents said about ten rows, found by their keys in a ledger of several commits."""
+    table = store.ledger_table(spark, staged_folder(spark, "ledger-log"))
+    preds = stage(src.predictions(spark, d).drop(*src.ANALYST_COLUMNS), "ledger-rows")
+    for k in range(4):
+        table.append(preds.filter(F.pmod(F.crc32("row_id"), F.lit(4)) == k))
+    ids = preds.select("row_id").orderBy("row_id").limit(10)
+    return shown(ro.contributions_for(table.lookup([r[0] for r in ids.collect()]), ids))
+
+
+@query
+def resolve_stored_prices(spark, d):
+    """The pending rows of a few days, resolved with prices stored by day."""
+    path = staged_folder(spark, "prices")
+    bar_files.write_prices(src.ticks(spark, d).select("ticker", "ts", "price"), path)
+    pending = src.pending_ledger(spark, d).filter((F.col("timestamp") >= OLD_FROM) & (F.col("timestamp") < OLD_FROM + dt.timedelta(days=3)))
+    return _outcomes(le.resolve_phase2(stage(pending, "pending"), bar_files.read_prices(spark, path), ASOF))
+
+
 @query
 def snapshot_latest(spark, d):
     bars = src.bars(spark, d)

@@ -137,17 +137,18 @@ def resolve_phase2(ledger: DataFrame, prices: DataFrame, asof: dt.datetime,
     once the window has passed without one, and wait otherwise.
 
     Only pending rows are joined, with the prices between the first and the last of their windows; all other
-    rows pass through untouched.
+    rows pass through untouched. ``prices`` has ``ticker``, ``ts`` and ``price``; stored with :func:`sources.bars.write_prices` it also
+    has the ``day`` of each folder, and only the days of the windows are read.
     """
     at = F.lit(asof).cast("timestamp")
     waiting = pending()
     open_rows = ledger.filter(waiting)
-    times = open_rows.agg(F.min("timestamp").alias("a"), F.max("timestamp").alias("b"))
-    span = times.select(F.struct(F.unix_micros("a").alias("a"), F.unix_micros("b").alias("b")).alias("s")).scalar()
-    micros = F.unix_micros("ts")
-    known = prices.filter(F.col("ts") <= at).withColumn("_s", span).filter(
-        (micros >= F.col("_s.a") + int(min_gap_s * 1e6)) & (micros <= F.col("_s.b") + int(max_gap_s * 1e6))
-    ).drop("_s")
+    # Bounds on the columns themselves, so that the reader can skip row groups and, with prices by day, folders.
+    edge = lambda end, gap: open_rows.agg(F.timestamp_micros(F.unix_micros(end("timestamp")) + int(gap * 1e6)).alias("t")).scalar()
+    low, high = edge(F.min, min_gap_s), edge(F.max, max_gap_s)
+    known = prices.filter((F.col("ts") <= at) & (F.col("ts") >= low) & (F.col("ts") <= high))
+    if "day" in prices.columns:
+        known = known.filter((F.col("day") >= F.to_date(low)) & (F.col("day") <= F.to_date(high)))
     matched = resolve_forward(open_rows, known, min_gap_s, max_gap_s)
     late = waiting & F.col("matched_ts").isNull() & (elapsed_s("timestamp", at) > max_gap_s)
     found = waiting & F.col("matched_ts").isNotNull()

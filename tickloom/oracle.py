@@ -581,6 +581,12 @@ pred_q("contributions", """SELECT row_id, turn, sender, CASE WHEN turn = 3 THEN
   WHERE prediction_confidence <> 'LOW'""")
 pred_q("ledger_roundtrip", f"""SELECT row_id, ticker, {TS}, {r('close')} AS close, prediction_direction, actual_direction
   FROM p WHERE ticker IN ('click', 'error')""")
+pred_q("ledger_two_writers", f"SELECT row_id, ticker, {TS}, {r('close')} AS close, prediction_direction, actual_direction FROM p")
+ORACLE_SQL["replay_merge_days"] = ORACLE_SQL["merge_replay"]
+ORACLE_SQL["contributions_lookup"] = ORACLE_SQL["contributions"].replace(
+    "WHERE prediction_confidence <> 'LOW'", "WHERE row_id IN (SELECT row_id FROM p ORDER BY row_id LIMIT 10)")
+ORACLE_SQL["resolve_stored_prices"] = ORACLE_SQL["resolve_phase2"] + """
+  WHERE row_id IN (SELECT row_id FROM p WHERE bar_ts >= TIMESTAMP '2024-01-10' AND bar_ts < TIMESTAMP '2024-01-13')"""
 pred_q("snapshot_latest", """SELECT '{"market":{' || (
     SELECT string_agg('"' || ticker || '":{"open":' || open || ',"high":' || high || ',"low":' || low || ',"close":' || close ||
       ',"volume":' || volume || '}', ',' ORDER BY ticker)

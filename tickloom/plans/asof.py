@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+#: Windows up to this length are searched in buckets as long as they are.
+SHORT_WINDOW_S = 7200
+
 
 def asof_forward(
     left: DataFrame,
@@ -23,10 +26,12 @@ def asof_forward(
     rows afterwards, so no wide row is sorted and a burst of rows at one time counts once. No pairs
     are formed. A time without a match inside its bucket takes the
     first right row of the next filled bucket, found from one row per bucket (within a day) and
-    one row per day (across days). Where several right rows share a time the lowest value wins.
+    one row per day (across days). A window of up to ``SHORT_WINDOW_S`` gets buckets of its own length: only the
+    first row of the next bucket can lie in it. Where several right rows share a time the lowest value wins.
     """
-    width = bucket_s * 1_000_000
     gap = int(round(min_gap_s * 1e6))
+    short = max_gap_s is not None and max_gap_s - min_gap_s <= SHORT_WINDOW_S
+    width = max(bucket_s * 1_000_000, int(round(max_gap_s * 1e6)) - gap) if short else bucket_s * 1_000_000
 
     def floor_to(column: str, unit: int) -> Column:
         return F.expr(f"({column} - pmod({column}, {unit}L)) DIV {unit}L")
@@ -57,28 +62,14 @@ def asof_forward(
         }
     ).filter(~is_offer)
 
-    # First offer of each bucket that has offers or asks, then of the next filled bucket.
     offer_at = F.when(is_offer, F.col("_at"))
-    buckets = (
-        merged.groupBy(key, "_bucket")
-        .agg(F.min(offer_at).alias("_f_at"), F.min_by("_v", offer_at).alias("_f_v"))
-        .withColumn("_day", floor_to(f"(_bucket * {width}L)", 86_400_000_000))
-    )
-    days = buckets.groupBy(key, "_day").agg(
-        F.min("_f_at").alias("_f_at"), F.min_by("_f_v", "_f_at").alias("_f_v")
-    )
-
-    def later(order: str, *within: str) -> Column:
-        ahead = W.partitionBy(*within).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
-        first = F.when(F.col("_f_at").isNotNull(), F.struct("_f_at", "_f_v"))
-        return F.last(first, ignorenulls=True).over(ahead)
-
-    next_day = days.select(key, "_day", later("_day", key).alias("_other_day")).repartition(key, "_day")
-    successor = (
-        buckets.withColumn("_same_day", later("_bucket", key, "_day"))
-        .join(next_day, [key, "_day"], "left")
-        .select(key, "_bucket", F.coalesce("_same_day", "_other_day").alias("_next"))
-    )
+    firsts = merged.groupBy(key, "_bucket").agg(F.min(offer_at).alias("_f_at"), F.min_by("_v", offer_at).alias("_f_v"))
+    if short:
+        successor = firsts.filter(F.col("_f_at").isNotNull()).select(
+            key, (F.col("_bucket") - 1).alias("_bucket"), F.struct("_f_at", "_f_v").alias("_next")
+        )
+    else:
+        successor = _next_filled(firsts.withColumn("_day", floor_to(f"(_bucket * {width}L)", 86_400_000_000)), key)
 
     found = inside.join(successor.repartition(key, "_bucket"), [key, "_bucket"], "left")
     at = F.coalesce("_hit_at", "_next._f_at")
@@ -96,3 +87,22 @@ def asof_forward(
     result = asked.join(answers, (F.col(key) == F.col("_key")) & (F.col("_t") == F.col("_asked")), "left")
     # Rows without key or time match nothing; they skip the join instead of meeting in one task.
     return result.drop("_t", "_key", "_asked").unionByName(left.filter(~usable), allowMissingColumns=True)
+
+
+def _next_filled(buckets: DataFrame, key: str) -> DataFrame:
+    """The first offer (``_next``) of the next bucket with offers, of each bucket that has offers or asks."""
+    days = buckets.groupBy(key, "_day").agg(
+        F.min("_f_at").alias("_f_at"), F.min_by("_f_v", "_f_at").alias("_f_v")
+    )
+
+    def later(order: str, *within: str) -> Column:
+        ahead = W.partitionBy(*within).orderBy(F.desc(order)).rowsBetween(W.unboundedPreceding, -1)
+        first = F.when(F.col("_f_at").isNotNull(), F.struct("_f_at", "_f_v"))
+        return F.last(first, ignorenulls=True).over(ahead)
+
+    next_day = days.select(key, "_day", later("_day", key).alias("_other_day")).repartition(key, "_day")
+    return (
+        buckets.withColumn("_same_day", later("_bucket", key, "_day"))
+        .join(next_day, [key, "_day"], "left")
+        .select(key, "_bucket", F.coalesce("_same_day", "_other_day").alias("_next"))
+    )

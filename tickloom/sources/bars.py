@@ -44,3 +44,13 @@ def write_bars(bars: DataFrame, path: str) -> None:
 
 def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*BAR.names, "day")
+
+
+def write_prices(prices: DataFrame, path: str) -> None:
+    """Store prices (ticker, ts, price) by day, sorted, so that a resolution reads the days of its windows only."""
+    dated = prices.select("ticker", "ts", "price", F.to_date("ts").alias("day")).hint("rebalance", "day")
+    dated.sortWithinPartitions("day", "ticker", "ts").write.mode("append").partitionBy("day").parquet(path)
+
+
+def read_prices(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("ticker string, ts timestamp, price double, day date").parquet(path)

@@ -1,14 +1,21 @@
-"""Ledger and replay tables on shared storage."""
+"""Ledger and replay tables on shared storage.
+
+Plain folders serve one writer at a time. ``ledger_table`` and ``replay_table`` keep the same rows under a commit log:
+for several writers, compaction, look-up by ``row_id`` and merges that rewrite only the days they change.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tickloom.operators.bars import last_n
-from tickloom.schema import LEDGER, PHASE2
+from tickloom.operators.replay import update_replay
+from tickloom.schema import LEDGER, PHASE2, REPLAY_DAYS
+from tickloom.sources.commit_log import CommittedTable
 
 _POINTER = "_current"
 
@@ -100,3 +107,23 @@ def read_replay(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
     newest = spark.read.parquet(f"{path}/{_POINTER}").agg(F.max_by("version", "seq")).first()[0]
     return spark.read.parquet(f"{path}/v-{newest}").drop("_date")
+
+
+def ledger_table(spark: SparkSession, path: str) -> CommittedTable:
+    """A ledger under a commit log: ``append`` from any number of writers, ``compact``, ``read`` and ``lookup``."""
+    return CommittedTable(spark, path, LEDGER)
+
+
+def replay_table(spark: SparkSession, path: str) -> CommittedTable:
+    """A replay table under a commit log, with files by day."""
+    return CommittedTable(spark, path, LEDGER, by_day=True)
+
+
+def merge_replay_days(table: CommittedTable, done: DataFrame, now: dt.datetime, days: int = REPLAY_DAYS) -> int:
+    """:func:`operators.replay.update_replay` on the days of ``done`` alone; files of other days stay, old ones go.
+
+    A row keeps its timestamp, so a newer version of it lies on the same day. ``done`` is read several times: give it stored.
+    """
+    oldest = now - dt.timedelta(days=days)
+    done = done.filter(F.col("timestamp") >= F.lit(oldest).cast("timestamp"))
+    return table.merge_days(done, lambda old, new: update_replay(old, new, now, days), drop_before=oldest)
