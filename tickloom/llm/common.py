@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tickloom.session import stage
@@ -44,6 +45,19 @@ def fresh(name: str, columns: Sequence[str]) -> str:
     return name
 
 
+def with_row_key(docs: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two columns that tell its rows apart, and their names: hash of the file and place in it.
+
+    They are the same however often a stored table is read; one that is not read from files is stored first.
+    """
+    keys = [f"{name}_file", f"{name}_place"]
+    place = [F.xxhash64("_metadata.file_path").alias(keys[0]), F.col("_metadata.row_index").alias(keys[1])]
+    try:
+        return docs.select("*", *place), keys
+    except AnalysisException:
+        return stage(docs, "keyed").select("*", *place), keys
+
+
 def _running(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, out: str, how: Callable, merge: Callable) -> DataFrame:
     """``how`` of ``value`` over the earlier rows of the same keys, in and before the row's sort partition."""
     keys = list(keys)

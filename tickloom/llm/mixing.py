@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.common import count_words, prefix_sum, unit_hash
@@ -60,6 +62,7 @@ def mix_sources(
     cap: int = MAX_COPIES,
     affinity: str | None = None,
     seed: str = "mix",
+    row: Sequence[str] = (),
 ) -> DataFrame:
     """Copies of every document so that each source's words meet its target.
 
@@ -70,6 +73,9 @@ def mix_sources(
     number over their inclusion odds f / (1 - f) (times the ``affinity`` column, where given), and
     the head of that order whose words come nearest to f * source_size is taken.
 
+    ``row`` names columns that tell rows apart; they come along in the result, and then the hashed number of a row
+    follows from its text as well, so that rows with equal ids, or none, are not drawn together.
+
     Null or blank texts have size 0 and null sources form a source of their own, ordered last.
     Repeated rows are told apart only by their place in the order. An empty table gives an empty
     result. Other columns are ignored. The hash makes reruns agree. The order is
@@ -78,13 +84,13 @@ def mix_sources(
     picked = docs.select(
         "doc_id", "source", count_words("text").alias("size"),
         (F.col(affinity).cast("double") if affinity else F.lit(1.0)).alias("affinity"),
+        unit_hash(F.lit(seed), F.col("doc_id"), *([F.md5(F.coalesce("text", F.lit("")))] if row else [])).alias("_u"), *row,
     )
     rows = stage(picked, "mix-sizes")
     targets = stage(source_targets(rows.select("source", "size"), weights, share, cap), "targets")
     t = targets.select(F.col("source").alias("_source"), "source_size", "target")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    u = unit_hash(F.lit(seed), F.col("doc_id"))
-    joined = rows.join(t, F.col("source").eqNullSafe(F.col("_source"))).withColumns({"_rate": rate, "_u": u})
+    joined = rows.join(t, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_rate", rate)
     joined = joined.withColumns({"_whole": F.floor("_rate"), "_part_p": F.col("_rate") - F.floor("_rate")})
     odds = F.col("_part_p") / (1 - F.col("_part_p")) * F.col("affinity")
     joined = joined.withColumn("_q", F.when(odds > 0, F.col("_u") / (1 - F.col("_u")) / odds).otherwise(F.lit(float("inf"))))
@@ -93,5 +99,5 @@ def mix_sources(
     extra = F.col("_before") + F.col("size") / 2.0 < F.col("_part_p") * F.col("source_size")
     copies = F.least(F.col("_whole") + F.when(extra, 1).otherwise(0), F.lit(cap)).cast("long")
     return summed.withColumn("copies", copies).select(
-        "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *row
     )
