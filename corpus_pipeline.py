@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.driver_tables import table
 from tickloom.llm import langid, mixing, packing, simhash, suffix_dedup
-from tickloom.llm.common import count_words, fresh
+from tickloom.llm.common import fresh, with_row_key
 from tickloom.session import stage
 
 
@@ -30,16 +30,17 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that the sources meet their target words."""
-    n = fresh("_copy", docs.columns)
-    copies = mixing.mix_sources(docs).where("copies > 0")
-    # Ids repeat only where the input's do; then rows of one id and size share their copies.
-    per_row = copies.groupBy("doc_id", "size").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("rows"))
-    per_row = per_row.select(F.col("doc_id").alias(n + "_id"), F.col("size").alias(n + "_size"), F.ceil(F.col("c") / F.col("rows")).cast("int").alias(n))
-    sized = docs.withColumn(n + "_words", count_words("text"))
-    met = sized.join(per_row, F.col("doc_id").eqNullSafe(F.col(n + "_id")) & (F.col(n + "_words") == F.col(n + "_size")))
-    times = F.explode(F.sequence(F.lit(1), F.col(n))).alias(n + "_times")
-    return met.select(*docs.columns, times).drop(n + "_times")
+    """Repeats or leaves out documents so that the sources meet their target words.
+
+    Each row has the copies chosen for it, whatever other rows share its id or text.
+    """
+    own = fresh("_row", docs.columns)
+    keyed, keys = with_row_key(docs, own)
+    chosen = mixing.mix_sources(keyed, row=keys).where("copies > 0")
+    chosen = chosen.select(*[F.col(k).alias(f"{k}_met") for k in keys], F.col("copies").cast("int").alias(f"{own}_copies"))
+    met = keyed.join(chosen, [F.col(k) == F.col(f"{k}_met") for k in keys])
+    times = F.explode(F.sequence(F.lit(1), F.col(f"{own}_copies"))).alias(f"{own}_times")
+    return met.select(*docs.columns, times).drop(f"{own}_times")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
