@@ -88,7 +88,7 @@ def prepare(spark) -> None:
     _STORED = src.bars(spark, SF_DIR)
     _PREDICTIONS = src.predictions(spark, SF_DIR)
     _FILES = staged_folder(spark, "files")
-    src.write_bar_files(_STORED, _FILES)
+    bar_files.write_bars_csv(_STORED, _FILES)
     ledger = src.predictions(spark, SF_DIR, step=1).drop(*src.ANALYST_COLUMNS)
     ten = ledger.orderBy("row_id").limit(10)
     rest = ledger.join(ten.select("row_id"), "row_id", "left_anti")

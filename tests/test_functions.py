@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import market_time as mt, scoring as sc, text as tx
 from tickloom.operators import bars as ba, prompts as pr, responses as rs, rooms as ro
+from tickloom.schema import BAR
 from tickloom.sources import bars as source
+from tests.conftest import walk
 
 CALENDAR = [
     ("2026-08-10 12:00", "day", True), ("2026-08-08 12:00", "day", False), ("2026-08-09 12:00", "day", False),
@@ -196,3 +198,13 @@ def test_snapshot_document(spark, bars, tmp_path):
     assert set(got) == {"market", "predictions", "status"} and set(got["market"]) == {"HOT", "B"}
     last = bars.where("ticker = 'NSE:B'").orderBy(F.desc("bar_ts")).first()
     assert got["market"]["B"]["close"] == last.close and got["predictions"]["HOT"]["direction"] in ("UP", "DOWN", "SIDEWAYS")
+
+
+def test_bar_files_by_ticker_in_one_write(spark, tmp_path):
+    names = ["A", "M&M", "BAJAJ-AUTO", "x y", "100%", "a+b", "k:v"]
+    rows = [row for n in names for row in walk(n, 3)] + walk("HOT", 25)
+    df = spark.createDataFrame(rows, BAR)
+    source.write_bars_csv(df, f"{tmp_path}/files", rows_per_file=10)
+    back = source.read_bars_csv(spark, f"{tmp_path}/files")
+    assert {(r.ticker, r.bar_ts, r.close, r.volume) for r in back.collect()} == {(f"NSE:{t}", at, c, v) for t, at, _, _, _, c, v in rows}
+    assert len(list((tmp_path / "files" / "ticker=HOT").glob("*.csv"))) == 3

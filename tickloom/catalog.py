@@ -250,7 +250,7 @@ def quarantine_ticks(spark, d):
 def bars_csv_roundtrip(spark, d):
     """Hourly bars written as one CSV file set per series and read back with the file reader."""
     path = staged_folder(spark, "bar-files")
-    src.write_bar_files(src.bars(spark, d), path)
+    bar_files.write_bars_csv(src.bars(spark, d), path)
     return shown(bar_files.read_bars_csv(spark, path))
 
 
@@ -258,7 +258,7 @@ def bars_csv_roundtrip(spark, d):
 def bars_csv_stream(spark, d):
     """The same files through the streaming reader, a few per micro-batch."""
     path, base = staged_folder(spark, "bar-files"), staged_folder(spark, "bar-stream")
-    src.write_bar_files(src.bars(spark, d), path)
+    bar_files.write_bars_csv(src.bars(spark, d), path)
     done = bar_files.stream_bars(spark, path, 2).writeStream.format("parquet").option("path", f"{base}/out")
     done.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return shown(spark.read.schema(BAR).parquet(f"{base}/out"))
@@ -271,6 +271,18 @@ def normalize_columns(spark, d):
     return shown(ba.normalize_columns(named), "ticker", "bar_ts", "open", "high", "low", "close", "volume")
 
 
+@query
+def row_keys(spark, d):
+    """Ledger keys of the bars in one cycle."""
+    return shown(src.bars(spark, d).withColumn("cycle_id", F.lit("cycle_1")).select("ticker", "bar_ts", tx.row_key().alias("row_id")))
+
+
+@query
+def rounded_prices(spark, d):
+    nudged = F.col("close") + F.lit(1e-9)
+    return shown(src.bars(spark, d).select("ticker", "bar_ts", sc.round_n(nudged, 1).alias("tenth"), sc.round_n(nudged, 0).alias("whole")))
+
+
 @query
 def id_numbers(spark, d):
     """The sample index at the end of each cycle id."""

@@ -46,22 +46,6 @@ def gappy_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(bars(spark, sf_dir).withColumn("close", close), "gappy-bars")
 
 
-def write_bar_files(rows: DataFrame, path: str) -> None:
-    """One CSV file per ticker, as the file reader expects them; the given tables have a handful."""
-    spark = rows.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop(path))
-    for (ticker,) in rows.select("ticker").distinct().collect():
-        one = rows.filter(F.col("ticker") == ticker).select(
-            F.date_format("bar_ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "open", "high", "low", "close", "volume"
-        )
-        part = f"{path}-parts/{ticker}"
-        one.coalesce(1).write.option("header", True).csv(part)
-        made = [f.getPath() for f in fs.listStatus(hadoop(part)) if f.getPath().getName().startswith("part-")]
-        fs.rename(made[0], hadoop(f"{path}/NSE_{ticker}.csv"))
-
-
 def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier from ``lineitem``: unit prices, and the previous close as open.
 

@@ -610,6 +610,8 @@ ORACLE_SQL["quarantine_ticks"] = with_(TICKS) + f"""SELECT event_id, CASE WHEN N
 ORACLE_SQL["bars_csv_roundtrip"] = with_(*BARS) + f"SELECT 'NSE:' || ticker AS ticker, {BT}, {OHLC}, volume FROM bars"
 ORACLE_SQL["bars_csv_stream"] = ORACLE_SQL["bars_csv_roundtrip"]
 ORACLE_SQL["normalize_columns"] = ORACLE_SQL["bars_hourly"]
+ORACLE_SQL["row_keys"] = with_(*BARS) + f"SELECT ticker, {BT}, sha256(concat_ws(':', ticker, {t('bar_ts')}, 'cycle_1')) AS row_id FROM bars"
+ORACLE_SQL["rounded_prices"] = with_(*BARS) + f"SELECT ticker, {BT}, {r('close', 1)} AS tenth, {r('close', 0)} AS whole FROM bars"
 pred_q("id_numbers", "SELECT row_id, CAST(split_part(cycle_id, '_', 2) AS BIGINT) AS sample_idx FROM p")
 ORACLE_SQL["indicator_registry"] = with_(*BARS, *INDICATORS) + " UNION ALL ".join(
     f"SELECT ticker, {BT}, '{name}' AS indicator, {r(column)} AS value FROM {source}"
