@@ -14,11 +14,12 @@ from tickloom.operators import (
     replay as rp, responses as rs, rooms as ro, signals as sg,
 )
 from tickloom.plans.asof import asof_forward
+from tickloom.plans.selection import select_quantile
 from tickloom.schema import BAR
 from tickloom.session import stage, staged_folder
 from tickloom.sources import bars as bar_files, ledger_store as store
 from tickloom.sources.snapshot import activity_snapshot, dashboard_snapshot
-from tickloom.streaming import live, restate
+from tickloom.streaming import live, newest, restate
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,6 +108,13 @@ def ema_generic(spark, d):
     return shown(ind.rma(ind.ema(src.bars(spark, d), "close", 20), "close", 10), "ticker", "bar_ts", "ema_20", "rma_10")
 
 
+@query
+def ema_long(spark, d):
+    """An average that remembers 9,200 bars, over blocks of 512 bars that carry no copies."""
+    bars = ind.ema(src.bars(spark, d, "5 minutes"), "close", 400, size=512)
+    return shown(ind.rma(bars, "close", 300, size=512), "ticker", "bar_ts", "ema_400", "rma_300")
+
+
 @query
 def min_history_gate(spark, d):
     gated = ind.min_history_gate(ind.vwap(src.bars(spark, d)), rows=680)
@@ -582,8 +590,14 @@ def latency_median(spark, d):
 
 @query
 def value_median_by_ticker(spark, d):
-    ticks = src.ticks(spark, d).select("ticker", "price", "event_id")
-    return shown(an.quantile(ticks, "price", 0.5, ["ticker"], "event_id"))
+    return shown(an.quantile(src.ticks(spark, d).select("ticker", "price"), "price", 0.5, ["ticker"]))
+
+
+@query
+def line_price_quartile(spark, d):
+    """Lower quartile of the line prices by return flag: ranges are narrowed until they hold 1,000 values."""
+    lines = src.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("ticker"), "l_extendedprice")
+    return shown(select_quantile(lines, "l_extendedprice", 0.25, ["ticker"], small=1000))
 
 
 @query
@@ -925,6 +939,42 @@ def stream_indicators_late(spark, d):
     return shown(restate.read_restated(spark, f"{base}/out").drop("batch", "correction"))
 
 
+def _fed_states(rows: DataFrame, ts: str, label: str, states: list) -> None:
+    """The rows in three parts, the newest first, each merged into ``states`` by a run of the stream."""
+    base = staged_folder(rows.sparkSession, label)
+    rows, at = stage(rows, f"{label}-rows"), F.col(ts)
+    for part in (at >= OLD_TO, at < OLD_FROM, (at >= OLD_FROM) & (at < OLD_TO)):
+        rows.filter(part).write.mode("append").parquet(f"{base}/in")
+        feed = rows.sparkSession.readStream.schema(rows.schema).parquet(f"{base}/in")
+        newest.stream_newest(feed, f"{base}/progress", *states).awaitTermination()
+
+
+@query
+def stream_snapshot(spark, d):
+    """The latest state from states merged batch by batch."""
+    base = staged_folder(spark, "newest")
+    bars = src.bars(spark, d)
+    preds = le.backtest(bars, latency=src.latency())
+    kept_bars, kept = newest.newest_bars(spark, base, bars.schema), newest.newest_predictions(spark, base, preds.schema)
+    _fed_states(bars, "bar_ts", "newest-bars", [kept_bars])
+    _fed_states(preds, "timestamp", "newest-preds", [kept])
+    last = kept_bars.read()
+    rounded = last.withColumns({c: F.round(c, 2) for c in ("open", "high", "low", "close")})
+    said = kept.read().withColumn("prediction_return_pct", F.round("prediction_return_pct", 2))
+    return dashboard_snapshot(rounded, said, last.select("ticker"), {"mode": "INFERENCE_ONLY", "data_source": "events"})
+
+
+@query
+def stream_activity(spark, d):
+    """What the agents said last and the latency of the newest cycle, from states merged batch by batch."""
+    base = staged_folder(spark, "activity")
+    preds = src.predictions(spark, d)
+    kept, cycles = newest.newest_predictions(spark, base, preds.schema), newest.CycleLatency(spark, f"{base}/cycles")
+    _fed_states(preds, "timestamp", "activity-preds", [kept, cycles])
+    last = kept.read()
+    return activity_snapshot(last, last.select("ticker"), cycles.newest())
+
+
 @query
 def stream_rolling_accuracy(spark, d):
     """Outcomes fed in two parts; positions and windows continue over the cut."""

@@ -10,6 +10,7 @@ from tickloom.functions.scoring import resolved, short_ticker
 from tickloom.operators.replay import scored
 from tickloom.plans.blocks import SeriesBlocks, trailing
 from tickloom.plans.ranking import number_rows
+from tickloom.plans.selection import select_quantile
 from tickloom.schema import CONFIDENCES, DIRECTIONS
 from tickloom.session import stage
 
@@ -75,18 +76,9 @@ def return_correlation(df: DataFrame, include_expired: bool = False) -> DataFram
     return stats.select(F.when(F.col("n") > 2, F.col("_r")).otherwise(F.lit(0.0)).alias("r"), "n")
 
 
-def quantile(df: DataFrame, column: str, q: float = 0.5, by: Sequence[str] = (), tie: str = "row_id") -> DataFrame:
-    """Exact interpolated quantile from a distributed sort instead of one aggregation buffer."""
-    by = list(by)
-    values = df.filter(F.col(column).isNotNull()).select(*by, column, tie)
-    ranked = number_rows(values, by, [column, tie], out="_i", total="n")
-    at = (F.col("n") - 1) * F.lit(q)
-    lower, upper = F.floor(at), F.ceil(at)
-    ends = ranked.filter((F.col("_i") == lower) | (F.col("_i") == upper))
-    low = F.max(F.when(F.col("_i") == lower, F.col(column)))
-    high = F.max(F.when(F.col("_i") == upper, F.col(column)))
-    part = F.max(at - lower)
-    return ends.groupBy(*by).agg((low + (high - low) * part).alias("quantile"), F.max("n").alias("n"))
+def quantile(df: DataFrame, column: str, q: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
+    """Exact interpolated quantile per group, found by narrowing ranges of values instead of a sort."""
+    return select_quantile(df, column, q, by)
 
 
 def latency_median(df: DataFrame) -> DataFrame:

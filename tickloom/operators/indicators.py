@@ -13,8 +13,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickloom.plans.blocks import (
-    SeriesBlocks, block_size, forget_rows, index_series, real, replace_columns, trailing, usable, with_day,
+    BLOCK_ROWS, SeriesBlocks, block_size, forget_rows, index_series, real, replace_columns, trailing, usable, with_day,
 )
+from tickloom.plans.recurrence import long_average
 from tickloom.schema import INDICATOR_COLUMNS, MIN_HISTORY_ROWS
 
 RSI_N = ATR_N = 14
@@ -140,12 +141,16 @@ def sma(bars: DataFrame, *lengths: int) -> DataFrame:
 
 def ema(bars: DataFrame, col: str, n: int, size: int | None = None) -> DataFrame:
     """Exponential average of a column, started with the mean of the first n values; skips nulls."""
+    if forget_rows(ema_alpha(n)) > BLOCK_ROWS:
+        return long_average(bars.drop("series_idx", "series_len"), col, ema_alpha(n), n, f"ema_{n}", size=size or BLOCK_ROWS)
     b = _slices(bars.drop("series_idx", "series_len"), [ema_alpha(n)], 0, n, size, (col,))
     return b.add(**{f"ema_{n}": b.smooth(f"double(`{col}`)", ema_alpha(n), n)}).own()
 
 
 def rma(bars: DataFrame, col: str, n: int, size: int | None = None) -> DataFrame:
     """Wilder average of a column, started with the first value; skips nulls."""
+    if forget_rows(rma_alpha(n)) > BLOCK_ROWS:
+        return long_average(bars.drop("series_idx", "series_len"), col, rma_alpha(n), n, f"rma_{n}", "first", size=size or BLOCK_ROWS)
     b = _slices(bars.drop("series_idx", "series_len"), [rma_alpha(n)], 0, n, size, (col,))
     return b.add(**{f"rma_{n}": b.smooth(f"double(`{col}`)", rma_alpha(n), n, seed="first")}).own()
 

@@ -226,6 +226,15 @@ ORACLE_SQL["ema_generic"] = with_(*BARS, IX, WIN, """gen AS (
     f"SELECT ticker, {BT}, {r('e')} AS ema_20, {r('CASE WHEN i >= 9 THEN m END')} AS rma_10 "
     "FROM base JOIN gen USING (ticker, i)"
 )
+ORACLE_SQL["ema_long"] = with_(TICKS, bars_cte("5 minutes"), IX, """start AS MATERIALIZED (
+  SELECT ticker, avg(close) AS a FROM ix WHERE i < 400 GROUP BY 1),
+gen AS (
+  SELECT ticker, i, NULL::DOUBLE AS e, close AS m FROM ix WHERE i = 0
+  UNION ALL
+  SELECT x.ticker, x.i, CASE WHEN x.i = 399 THEN s.a ELSE p.e + (x.close - p.e) * 2 / 401.0::DOUBLE END, p.m + (x.close - p.m) / 300
+  FROM gen p JOIN ix x ON x.ticker = p.ticker AND x.i = p.i + 1 JOIN start s ON s.ticker = p.ticker)""") + (
+    f"SELECT ticker, {BT}, {r('e')} AS ema_400, {r('CASE WHEN i >= 299 THEN m END')} AS rma_300 FROM ix JOIN gen USING (ticker, i)"
+)
 bars_q("min_history_gate", f"SELECT ticker, {BT}, n AS series_len, {r('CASE WHEN n >= 680 THEN vwap END')} AS vwap FROM base")
 ind_q("indicators_all", f"SELECT ticker, {BT}, {rounded(*IND_COLS)}, volume, i AS series_idx, n AS series_len FROM ind")
 ORACLE_SQL["stream_indicators_late"] = with_(TICKS, bars_cte("5 minutes"), *INDICATORS) + (
@@ -524,6 +533,8 @@ pred_q("direction_distribution", "SELECT ticker, " + ", ".join(
 pred_q("sign_agreement", "SELECT row_id, sign(prediction_return_pct) = sign(actual_return_pct) AS agree FROM p")
 pred_q("return_correlation", f"SELECT {r('corr(prediction_return_pct, actual_return_pct)')} AS r, count(*) AS n FROM p")
 pred_q("latency_median", f"SELECT {r('median(inference_latency_ms)')} AS median_ms, count(*) AS n FROM p")
+ORACLE_SQL["line_price_quartile"] = f"""SELECT l_returnflag AS ticker, {r('quantile_cont(l_extendedprice, 0.25)')} AS quantile, count(*) AS n
+  FROM lineitem GROUP BY 1"""
 ORACLE_SQL["value_median_by_ticker"] = f"SELECT event_type AS ticker, {r('median(value)')} AS quantile, count(*) AS n FROM events GROUP BY 1"
 pred_q("latency_histogram", f"""SELECT b AS bin, {r('lo + w * b')} AS lo, {r('lo + w * (b + 1)')} AS hi,
   (SELECT count(*) FROM p WHERE least(floor((inference_latency_ms - lo) / (w * 30) * 30), 29) = b) AS n
@@ -636,3 +647,5 @@ pred_q("snapshot_activity", f"""SELECT '{{"agent_activity":{{' || (
   FROM (SELECT sum(inference_latency_ms) AS total FROM p WHERE cycle_id = (SELECT arg_max(cycle_id, ("timestamp", row_id)) FROM p))""")
 ORACLE_SQL["room_transcript_gaps"] = ORACLE_SQL["room_transcript"]
 ORACLE_SQL["ledger_lifecycle"] = ORACLE_SQL["resolve_phase2"]
+ORACLE_SQL["stream_snapshot"] = ORACLE_SQL["snapshot_latest"]
+ORACLE_SQL["stream_activity"] = ORACLE_SQL["snapshot_activity"]

@@ -39,18 +39,22 @@ def dashboard_snapshot(bars: DataFrame, predictions: DataFrame, active: DataFram
     )
 
 
-def activity_snapshot(predictions: DataFrame, active: DataFrame) -> DataFrame:
+def activity_snapshot(predictions: DataFrame, active: DataFrame, cycle: DataFrame | None = None) -> DataFrame:
     """One row, one column ``snapshot``: what the agents said last about each active ticker, and the latency of the newest cycle.
 
-    ``active`` bounds the document, as in :func:`dashboard_snapshot`.
+    ``active`` bounds the document, as in :func:`dashboard_snapshot`. ``cycle`` is the newest cycle with its ``latency_ms``, where
+    that is kept as a state; else it is found among all predictions.
     """
     names = active.select("ticker")
     newest = latest_per_key(predictions.join(names, "ticker", "left_semi"), ts="timestamp")
     said = F.transform(decode_messages("agent_contributions"), lambda m: F.struct(m["sender"].alias("sender"), m["text"].alias("text")))
     entries = F.array_sort(F.collect_list(F.struct(short_ticker("ticker").alias("k"), "v")))
     activity = newest.withColumn("v", said).agg(F.map_from_entries(entries).alias("_map"))
-    last = predictions.agg(F.max_by("cycle_id", F.struct("timestamp", "row_id"))).scalar()
-    total = predictions.withColumn("_last", last).filter("cycle_id = _last").agg(F.sum("inference_latency_ms").alias("t"))
+    if cycle is None:
+        last = predictions.agg(F.max_by("cycle_id", F.struct("timestamp", "row_id"))).scalar()
+        total = predictions.withColumn("_last", last).filter("cycle_id = _last").agg(F.sum("inference_latency_ms").alias("t"))
+    else:
+        total = cycle.agg(F.sum("latency_ms").alias("t"))
     tickers = names.distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     latency = total.select(F.struct(
         F.round(F.col("t") / tickers, 1).alias("inference_avg_ms"), F.round("t", 1).alias("inference_total_ms")

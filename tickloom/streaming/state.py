@@ -40,6 +40,10 @@ class KeyedState:
     def _batches(self) -> list[int]:
         return sorted(int(n[6:]) for n in self._names(f"{self.path}/manifest") if n.startswith("batch="))
 
+    def latest(self) -> int:
+        """The last batch, or -1 before the first."""
+        return max(self._batches(), default=-1)
+
     def manifest(self, batch_id: int) -> dict[int, int]:
         """Bucket to version after ``batch_id``. Only batch -1, before the first, may be missing."""
         there = self._batches()
