@@ -51,8 +51,9 @@ def closed(data, k=S.K, s=S.S):
     for i in range(len(inner) - w + 1):
         part = inner[i : i + w]
         if min(part[0], part[-1]) <= min(part[1:-1]):
-            out.add((part[0] ^ part[-1]) & 0xFFFFFFFF)
-    return out
+            seed = xxhash.xxh64_intdigest(part[0].to_bytes(8, "little", signed=True), 42)
+            out.add(xxhash.xxh64_intdigest(part[-1].to_bytes(8, "little", signed=True), seed) & 0xFFFFFFFF)
+    return out or {h(data) & 0xFFFFFFFF}
 
 
 def test_anchors_match_the_definition_across_parts(spark):
@@ -74,3 +75,26 @@ def test_odd_rows(spark):
     assert S.compare_edited(frame(spark, [])).count() == 0
     one = S.compare_edited(frame(spark, [(9, words(3, 50000))])).first()
     assert one["near_edited"] > 0.4 and one["near_next"] == 1.0
+
+
+def test_periodic_and_anchorless_texts_differ(spark):
+    import random
+
+    r = random.Random(8)
+    short = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(12 + i % 3)) for i in range(60)]
+    texts = ["a" * 40, "-" * 40, "ab" * 20, "abcd" * 10, *short]
+    df = frame(spark, list(enumerate(texts))).select(S.as_text(S.fingerprint(F.col("text"))).alias("f"))
+    prints = [x["f"] for x in df.collect()]
+    assert all(prints) and len(set(prints)) == len(texts)
+    assert any(not closed_keys(t.encode()) for t in short)
+
+
+def closed_keys(data):
+    """Whether any k-mer of the text is chosen."""
+    import xxhash
+
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    inner = [signed(xxhash.xxh64_intdigest(data[i : i + S.S], 42)) for i in range(len(data) - S.S + 1)]
+    w = S.K - S.S + 1
+    parts = [inner[i : i + w] for i in range(len(inner) - w + 1)]
+    return [p for p in parts if min(p[0], p[-1]) <= min(p[1:-1])]

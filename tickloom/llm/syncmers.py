@@ -30,8 +30,9 @@ def _anchors(part: Column, k: int, s: int) -> Column:
         def key(first: Column, i: Column) -> Column:
             last = F.get(h, i + (inner - 1))
             between = [F.get(h, i + j) for j in range(1, inner - 1)]
-            # The two inner strings cover the k-mer, so their hashes stand for it.
-            return F.when(F.least(first, last) <= F.least(*between), first.bitwiseXOR(last))
+            # The two inner strings cover the k-mer, so their hashes in this order stand for it.
+            # Beyond the last k-mer there is no last one; hashes and least values would pass over the null.
+            return F.when(last.isNotNull() & (F.least(first, last) <= F.least(*between)), F.xxhash64(first, last))
 
         return F.array_compact(F.transform(h, key))
 
@@ -46,7 +47,7 @@ def _as_int(x: Column) -> Column:
 def fingerprint(text: Column, k: int = K, s: int = S, size: int = SKETCH, part: int = PART) -> Column:
     """The ``size`` smallest 32-bit hashes of the text's closed syncmers, ascending (array of int).
 
-    A text shorter than k bytes is its own only anchor; null counts as empty. Long texts are taken
+    A text shorter than k bytes, or without a closed syncmer, is its own only anchor; null counts as empty. Long texts are taken
     in overlapping parts, each reduced to its smallest hashes before they are merged.
     """
 
@@ -65,7 +66,8 @@ def fingerprint(text: Column, k: int = K, s: int = S, size: int = SKETCH, part:
         parts = F.transform(starts, lambda j: F.substring(data, j * part + 1, F.lit(part + k - 1)))
         kept = F.flatten(F.transform(parts, lambda p: let(_anchors(p, k, s), low)))
         merged = F.slice(F.array_sort(F.array_distinct(kept)), 1, size)
-        return F.when(F.octet_length(data) < k, low(F.array(F.xxhash64(data)))).otherwise(merged)
+        alone = F.array(_as_int(F.xxhash64(data)))
+        return F.when(F.octet_length(data) < k, alone).otherwise(let(merged, lambda m: F.when(F.size(m) == 0, alone).otherwise(m)))
 
     return let(text_or_empty(text).cast("binary"), whole)
 
