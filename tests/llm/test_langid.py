@@ -78,3 +78,39 @@ def test_no_labels_and_no_rows(spark, model):
     empty = G.TextModel([], np.zeros((G.BUCKETS, 0), np.float32))
     assert G.identify_pages(df, empty).first()["lang"] is None
     assert G.identify_pages(df.where("false"), model).count() == 0
+
+
+def gibberish(seed, letters, n_words):
+    import random
+
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(letters) for _ in range(r.randrange(2, 10))) for _ in range(n_words))
+
+
+LATIN, CYRILLIC, GREEK = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя", "αβγδεζηθικλμνξοπρστυφχψω"
+FOREIGN = [
+    "Minden ember szabadnak születik és egyenlő méltósága és joga van, az emberek ésszel és lelkiismerettel bírnak",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan, heille on annettu järki",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw, są oni obdarzeni rozumem",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待",
+]
+
+
+def test_gibberish_and_foreign_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = G.fit_text_model(docs)
+    assert np.isfinite(model.usual).all()
+    odd = [gibberish(i, letters, 5 + i) for i in range(60) for letters in (LATIN, CYRILLIC, GREEK)] + FOREIGN
+    declared = model.languages * len(odd)
+    rows = [(i, t, declared[i], "wiki") for i, t in enumerate(odd)] + [(9000 + i, r["text"], r["lang"], r["source"]) for i, r in enumerate(docs.collect())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in G.keep_identified(df, model).collect()}
+    assert not {i for i in kept if i < 9000}
+    assert len(kept) == docs.count()
+
+
+def test_every_label_is_fitted(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} word", f"l{i:03}") for i in range(90)]
+    model = G.fit_text_model(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 90 and np.isnan(model.usual).all()
+    assert model.is_known(20, np.full(90, -400.0))  # too few rows to tell what is unusual

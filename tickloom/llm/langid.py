@@ -2,7 +2,8 @@
 
 The log likelihood of the text (letter trigrams) and of the language its markup declares are added
 to the log prior of the host. Priors are grouped sums of first-pass posteriors: a host leans on
-its address suffix, the suffix on all rows, and a row's own share is left out of its prior.
+its address suffix, the suffix on all rows, and a row's own share is left out of its prior. Texts in none
+of the fitted languages are told by a floor under the text's likelihood, set by held-out rows.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.llm.common import fresh, unit_hash
 from tickloom.session import stage
 
-#: Buckets of hashed trigrams; expected labelled rows per language to fit on; most languages.
-BUCKETS, SAMPLE_ROWS, MAX_LANGUAGES = 1 << 14, 2000, 64
+#: Buckets of hashed trigrams; expected labelled rows per language to fit on.
+BUCKETS, SAMPLE_ROWS = 1 << 14, 2000
 #: Trigrams of one text count as independent up to this many, as neighbours overlap.
 MAX_EVIDENCE = 60.0
 #: How often a declared language is right, and pseudo counts that pull a host to its suffix and a suffix to all.
 DECLARED_RIGHT, HOST_WEIGHT, SUFFIX_WEIGHT = 0.9, 5.0, 20.0
-#: A row is accepted with letters in its text and at least this probability.
+#: A row is accepted with letters in its text, a known language and at least this probability.
 MIN_PROBABILITY = 0.5
+#: Held-out rows from which a language's usual score is taken, trigrams of such a row, and deviations that chance is given.
+MIN_HELD_OUT, HELD_OUT_GRAMS, DEVIATIONS = 20, 50, 3.0
 
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _HIDDEN = re.compile(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[^<>]*>")
@@ -45,51 +48,102 @@ def trigrams(text: str | None) -> np.ndarray:
 
 
 class TextModel:
-    """Log likelihoods of trigram buckets per language; a bounded table of languages x buckets."""
+    """Log likelihoods of trigram buckets per language (64 KB each), and the usual score of each language.
 
-    def __init__(self, languages: list[str], table: np.ndarray):
+    ``usual`` holds two numbers per language, from held-out rows: the median of a row's mean log likelihood and
+    the deviation of single trigrams; NaN where too few rows were held out.
+    """
+
+    def __init__(self, languages: list[str], table: np.ndarray, usual: np.ndarray | None = None):
         self.languages, self.table = languages, table  # table: BUCKETS x languages
+        self.usual = np.full((len(languages), 2), np.nan) if usual is None else usual
 
-    def score(self, text: str | None) -> tuple[int, np.ndarray]:
-        """Number of trigrams and the log likelihood of each language, tempered to MAX_EVIDENCE."""
-        grams = trigrams(text)
-        if not len(grams):
-            return 0, np.zeros(len(self.languages))
+    def means(self, grams: np.ndarray) -> np.ndarray:
+        """Mean log likelihood of the trigrams under each language."""
         total = np.zeros(len(self.languages))
         for at in range(0, len(grams), 1 << 18):
             total += self.table[grams[at : at + (1 << 18)]].sum(axis=0, dtype=np.float64)
-        return len(grams), total * (min(len(grams), MAX_EVIDENCE) / len(grams))
+        return total / max(1, len(grams))
+
+    def score(self, text: str | None) -> tuple[int, np.ndarray]:
+        """Number of trigrams and the log likelihood of each language, tempered to MAX_EVIDENCE."""
+        grams = trigrams(text)
+        return len(grams), self.means(grams) * min(len(grams), MAX_EVIDENCE)
+
+    def floor(self, n_grams: int) -> np.ndarray:
+        """Mean log likelihood under which a text of so many trigrams is not in the language.
+
+        It lies halfway between the language's own texts and trigrams at random, less what chance may
+        take off a short text; neighbours overlap, so a third of the trigrams count as independent. A language
+        without held-out rows has no floor.
+        """
+        median, single = self.usual.T
+        halfway = (median + self.table.mean(axis=0, dtype=np.float64)) / 2
+        return np.nan_to_num(halfway - DEVIATIONS * single * np.sqrt(3.0 / max(1, n_grams)), nan=-np.inf)
+
+    def is_known(self, n_grams: int, scores: np.ndarray) -> bool:
+        """Whether some language explains a text with these ``scores`` (see ``score``) well enough."""
+        means = scores / max(1.0, min(n_grams, MAX_EVIDENCE))
+        return not len(scores) or not n_grams or bool((means >= self.floor(n_grams)).any())
+
+
+def _log_shares(counts: np.ndarray) -> np.ndarray:
+    return np.log((counts + 0.5) / (counts + 0.5).sum(axis=0)).astype(np.float32)
 
 
 def fit_text_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> TextModel:
     """Fits on a sample of ``labelled`` (``doc_id``, ``text``, ``lang``): about ``sample_rows`` per language, chosen by hash.
 
-    Only sums per language and bucket go to the driver: at most MAX_LANGUAGES x BUCKETS numbers.
+    Every language that labels a row is fitted. The sample has two halves; the usual score of a language is that
+    of each half's rows under the counts of the other. Sums per half, language and bucket go to the driver.
     """
-    counts = {r["lang"]: r["n"] for r in labelled.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return TextModel([], np.zeros((BUCKETS, 0), np.float32))
+    languages = sorted(counts)
+    place = {x: i for i, x in enumerate(languages)}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, sample_rows / n)])
     sample = labelled.where(F.col("lang").isin(*counts)).where(unit_hash(F.lit("lang"), F.col("doc_id")) < share[F.col("lang")])
+    sample = stage(sample.select("lang", (unit_hash(F.lit("half"), F.col("doc_id")) < 0.5).cast("int").alias("half"), "text"), "labelled")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        sums: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+            for lang, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                got = sums.setdefault((lang, half), np.zeros(BUCKETS, np.int64))
                 got += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
-        for lang, got in sums.items():
+        for (lang, half), got in sums.items():
             hit = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit)), pa.array(hit), pa.array(got[hit])], ["lang", "bucket", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([place[lang]] * len(hit), pa.int32()), pa.array([half] * len(hit), pa.int32()), pa.array(hit), pa.array(got[hit])],
+                ["language", "half", "bucket", "n"],
+            )
 
-    rows = sample.select("lang", "text").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = rows.toPandas()
-    languages = sorted(counts)
-    table = np.full((BUCKETS, len(languages)), 0.5)
-    place = {x: i for i, x in enumerate(languages)}
-    np.add.at(table, (found["bucket"].to_numpy(), found["lang"].map(place).to_numpy()), found["n"].to_numpy())
-    return TextModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+    rows = sample.mapInArrow(count, "language int, half int, bucket long, n long").groupBy("language", "half", "bucket").agg(F.sum("n").alias("n"))
+    found = rows.toArrow()
+    halves = np.zeros((2, BUCKETS, len(languages)))
+    language, half, bucket, n = (found.column(c).to_numpy() for c in ("language", "half", "bucket", "n"))
+    halves[half, bucket, language] = n
+    others = [TextModel(languages, _log_shares(halves[1 - h])) for h in (0, 1)]
+
+    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made: list[list] = [[], [], []]
+            for lang, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                grams = trigrams(text.as_py())
+                if len(grams) >= HELD_OUT_GRAMS:
+                    logs = others[half].table[grams, place[lang]].astype(np.float64)
+                    for col, v in zip(made, (place[lang], logs.mean(), logs.var())):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), *(pa.array(c, pa.float64()) for c in made[1:])], ["language", "mean", "var"])
+
+    usual = np.full((len(languages), 2), np.nan)
+    judged = sample.mapInArrow(held_out, "language int, mean double, var double").groupBy("language").agg(
+        F.count(F.lit(1)).alias("n"), F.percentile("mean", 0.5).alias("median"), F.sqrt(F.percentile("var", 0.5)).alias("single")
+    )
+    for r in judged.where(F.col("n") >= MIN_HELD_OUT).collect():
+        usual[r["language"]] = r["median"], r["single"]
+    return TextModel(languages, _log_shares(halves.sum(axis=0)), usual)
 
 
 def softmax(scores: np.ndarray) -> np.ndarray:
@@ -117,8 +171,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def text_evidence(rows: DataFrame, model: TextModel, keys: list[str], text: str, reader: Callable | None = None) -> DataFrame:
-    """``keys`` (with ``declared``) and ``n_grams``, ``text_lang``, ``evidence`` (log likelihood of text
-    and markup per language) and ``p`` (posterior of the evidence alone)."""
+    """``keys`` (with ``declared``) and ``n_grams``, ``known`` (whether the text is in one of the languages), ``text_lang``,
+    ``evidence`` (log likelihood of text and markup per language) and ``p`` (posterior of the evidence alone)."""
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     languages, at = model.languages, keys.index("declared")
 
@@ -127,15 +181,16 @@ def text_evidence(rows: DataFrame, model: TextModel, keys: list[str], text: str,
             scored = [model.score(reader(v.as_py()) if reader else v.as_py()) for v in batch.column(batch.num_columns - 1)]
             grams = [n for n, _ in scored]
             logs = np.array([s for _, s in scored]).reshape(len(scored), len(languages))
+            known = [model.is_known(n, x) for n, x in scored]
             best = [languages[i] if n else None for n, i in zip(grams, logs.argmax(axis=1))] if languages else [None] * len(grams)
             evidence = logs + said(batch.column(at).to_pylist(), languages)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(grams, pa.int64()), pa.array(best, pa.string()), _lists(evidence), _lists(softmax(evidence))],
-                [*batch.schema.names[:-1], "n_grams", "text_lang", "evidence", "p"],
+                [*batch.columns[:-1], pa.array(grams, pa.int64()), pa.array(known, pa.bool_()), pa.array(best, pa.string()), _lists(evidence), _lists(softmax(evidence))],
+                [*batch.schema.names[:-1], "n_grams", "known", "text_lang", "evidence", "p"],
             )
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    return rows.select(*keys, text).mapInArrow(run, f"{schema}, n_grams long, text_lang string, evidence array<double>, p array<double>")
+    return rows.select(*keys, text).mapInArrow(run, f"{schema}, n_grams long, known boolean, text_lang string, evidence array<double>, p array<double>")
 
 
 def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
@@ -161,6 +216,7 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
         for batch in batches:
             col = dict(zip(batch.schema.names, batch.columns))
             grams = col["n_grams"].to_numpy()
+            known = col["known"].to_numpy(zero_copy_only=False)
             if n:
                 evidence, p, h, x = (_matrix(col[c], n) for c in ("evidence", "p", "h", "x"))
                 less = lambda a: np.maximum(a - p, 0.0)  # without the row's own share
@@ -171,7 +227,7 @@ def fuse(rows: DataFrame, languages: list[str]) -> DataFrame:
                 best, top = post.argmax(axis=1), post.max(axis=1)
                 lang = [languages[i] for i in best]
                 host = prior[np.arange(len(best)), best]
-                fine = (grams > 0) & (top >= MIN_PROBABILITY)
+                fine = (grams > 0) & known & (top >= MIN_PROBABILITY)
                 made = [pa.array(lang, pa.string()), pa.array(top), pa.array(host), pa.array(fine)]
             else:
                 none = pa.nulls(len(grams), pa.float64())
@@ -202,7 +258,8 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
     """Language of each row of ``pages`` (``page_id``, ``url``, ``html``).
 
     Columns: ``page_id``, ``lang``, ``probability``, ``text_lang`` (of the text alone), ``declared``,
-    ``host``, ``suffix``, ``host_prior``, ``n_grams``, ``accepted``. A null or empty page has no text
+    ``host``, ``suffix``, ``host_prior``, ``n_grams``, ``known``, ``accepted``. A text nearer to trigrams at random than to the texts
+    of any language is not known and not accepted. A null or empty page has no text
     evidence and is not accepted; a null or odd address joins the group without host. Ties go to
     the first language in order. Repeated rows each get a result. Whole pages are read. With a
     model of no languages ``lang`` is null. Other columns are ignored.
@@ -213,7 +270,7 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
     )
     scored = text_evidence(rows, model, ["page_id", "host", "suffix", "declared"], "html", visible_text)
     return fuse(stage(scored, "page-evidence"), model.languages).select(
-        "page_id", "lang", "probability", "text_lang", "declared", "host", "suffix", "host_prior", "n_grams", "accepted"
+        "page_id", "lang", "probability", "text_lang", "declared", "host", "suffix", "host_prior", "n_grams", "known", "accepted"
     )
 
 
@@ -221,8 +278,8 @@ def keep_identified(docs: DataFrame, model: TextModel | None = None) -> DataFram
     """``docs`` without the rows whose language cannot be told; all columns as they are.
 
     ``lang`` serves as the declared language and ``source`` as the host. Rejected are rows without
-    a letter (null, empty, only digits or marks) and rows whose best language stays under
-    MIN_PROBABILITY. The row itself is carried through, so ties and repeated rows are judged alike.
+    a letter (null, empty, only digits or marks), rows in none of the fitted languages and rows whose
+    best language stays under MIN_PROBABILITY. The row itself is carried through, so ties and repeated rows are judged alike.
     """
     model = model or fit_text_model(docs.select("doc_id", "text", "lang"))
     keys = ["doc_id", "_h", "declared", "host", "suffix"]
