@@ -42,6 +42,55 @@ def test_long_chains_and_one_passage_said_by_all(spark):
     assert got[6, n]["reply_to_turn"] == n - 1  # the latest of the equal ones
 
 
+def test_other_conversations_on_both_sides(spark):
+    rows = [
+        (3, 1, "user", "> The kettle is on the stove\nok"), (7, 0, "user", "The kettle is on the stove"),
+        (9, 4, "user", "> The kettle is on the stove\nagain"), (7, 5, "user", "> The kettle is on the stove\nindeed"),
+        (8, 0, "user", "> said only here now\nsaid only here now"), (2, 3, "user", "> thanks\nwelcome"), (1, 0, "user", "thanks"),
+        (None, 2, "user", "> The kettle is on the stove\nlost"),
+    ]
+    got = {r["conv_id"]: r for r in chats(spark, rows).where("n_quoted > 0").collect()}
+    link = lambda c: (got[c]["reply_to_conv"], got[c]["reply_to_turn"])
+    assert link(3) == link(9) == link(7) == link(None) == (7, 0)
+    assert link(8) == (None, None)  # nobody else says it
+    assert link(2) == (None, None)  # one word does not tie conversations
+    assert got[3]["depth"] == 0 and got[7]["depth"] == 1
+
+
+def test_sentences_out_of_longer_lines(spark):
+    rows = [
+        (1, 0, "user", "It rains today. The bridge is closed\nuntil the river falls. Take the ferry instead!"),
+        (1, 1, "user", "> The bridge is closed until the river falls.\nSince when?"),
+        (1, 2, "user", "> Take the ferry\n> instead!\nYes."),
+        (2, 0, "user", "> It rains today.\n> Take the ferry instead!\nBoth."),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in chats(spark, rows).collect()}
+    for at in ((1, 1), (1, 2), (2, 0)):
+        assert (got[at]["reply_to_conv"], got[at]["reply_to_turn"], got[at]["n_linked"]) == (1, 0, 1)
+
+
+def brute_far(rows):
+    """The first other conversation that says a quoted line of three words, where the own one has not said it before."""
+    said = {(c, t): {x for x in text.split("\n") if not x.startswith(">")} for c, t, _, text in rows}
+    out = {}
+    for c, t, _, text in rows:
+        for line in text.split("\n"):
+            if line.startswith("> ") and not any(k[0] == c and k[1] < t and line[2:] in v for k, v in said.items()):
+                out[c, t] = min((k for k, v in said.items() if k[0] != c and line[2:] in v), default=(None, None))
+    return out
+
+
+def test_lines_of_other_conversations_against_loops(spark):
+    import random
+
+    r = random.Random(5)
+    lines = [f"line {a} of {b}" for a in "abcd" for b in "xyz"]
+    rows = [(c, t, "user", (f"> {r.choice(lines)}\n" if r.random() < 0.5 else "") + r.choice(lines)) for c in range(12) for t in range(4)]
+    got = {(x["conv_id"], x["turn"]): (x["reply_to_conv"], x["reply_to_turn"]) for x in chats(spark, rows).collect()}
+    want = brute_far(rows)
+    assert len(want) > 10 and {k: got[k] for k in want} == want
+
+
 def brute_links(rows):
     norm = lambda t: " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split())
     own = {}

@@ -11,6 +11,8 @@ from tickloom.session import stage
 #: Marks in front of a quoted line: one ">" per level, with blanks between them.
 MARKS = r"^(?:[ \t]*>)+[ \t]?"
 MESSAGE = ("conv_id", "turn", "hash")
+#: Words that a sentence needs to be a key, and any passage to be sought in other conversations.
+MIN_WORDS = 3
 
 
 def normalised(text: Column) -> Column:
@@ -45,43 +47,63 @@ def own_text(text: Column) -> Column:
 
 
 def passage_keys(body: Column) -> Column:
-    """Hashes by which a passage can be known: the whole, its paragraphs and its lines, normalised."""
+    """Keys by which a passage can be known, as structs of ``key`` (hash) and ``words``.
+
+    These are the whole, its paragraphs, its lines, and its sentences, which may run over lines; all normalised. A
+    key met twice counts at its first place.
+    """
     parts = F.concat(F.array(body), F.split(body, r"\r?\n[ \t]*\r?\n"), F.split(body, r"\r?\n"))
-    words = F.filter(F.transform(parts, normalised), lambda x: x != "")
-    return F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))
+    sentences = F.transform(F.split(body, r"(?<=[.!?])\s+"), normalised)
+    words = lambda x: F.size(F.split(x, " "))
+    some = F.filter(F.transform(parts, normalised), lambda x: x != "")
+    keys = F.array_distinct(F.concat(some, F.filter(sentences, lambda x: words(x) >= MIN_WORDS)))
+    return F.transform(keys, lambda x: F.struct(F.xxhash64(x).alias("key"), words(x).alias("words")))
+
+
+def far_holders(owned: DataFrame) -> DataFrame:
+    """Per ``key`` the first own message (``far``) and that of the next conversation (``next_far``; null: none).
+
+    Whoever quotes the key finds another conversation's message among the two. Turns are reduced per conversation and the
+    two conversations picked before they are shuffled, so a key that all say costs no more than others.
+    """
+    first = owned.groupBy("key", "conv_id").agg(F.min("turn").alias("turn"))
+    place = F.row_number().over(W.partitionBy("key").orderBy("conv_id"))
+    two = first.withColumn("place", place).where("place <= 2")
+    holder = lambda n: F.min(F.when(F.col("place") == n, F.struct("conv_id", "turn")))
+    return two.groupBy("key").agg(holder(1).alias("far"), holder(2).alias("next_far"))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
     """The message behind each quoted passage: message, ``passage``, ``level``, ``to_conv``, ``to_turn``.
 
     A key of the passage is sought among the own passages of earlier turns of the same conversation (the
-    latest counts), else among all messages (the first by conversation and turn). Of a passage's keys
-    the one of the whole passage decides, then paragraphs, then lines. Both sides are ordered by a range sort over
-    (conversation, key) instead of joined, so frequent passages make no pairs and spread over many tasks.
+    latest counts), else, if it has MIN_WORDS words, among all other conversations, whether their ids are smaller or larger
+    (the first by conversation and turn). Of a passage's keys the one of the whole passage decides, then paragraphs, then
+    lines, then sentences. Both sides are ordered by a range sort over (conversation, key) instead of joined, so frequent
+    passages make no pairs and spread over many tasks.
     """
     quotes = quoted_passages(messages)
-    quotes = quotes.select(*MESSAGE, "passage", "level", F.posexplode(passage_keys(F.col("body"))).alias("rank", "key"))
-    quotes = stage(quotes, "quotes")
+    quotes = quotes.select(*MESSAGE, "passage", "level", F.posexplode(passage_keys(F.col("body"))).alias("rank", "k"))
+    quotes = stage(quotes.select("*", "k.key", "k.words").drop("k"), "quotes")
     wanted = quotes.select("key").distinct()
-    owned = messages.select("conv_id", "turn", F.explode(passage_keys(own_text(F.col("text")))).alias("key"))
+    owned = messages.select("conv_id", "turn", F.explode(passage_keys(own_text(F.col("text")))["key"]).alias("key"))
     owned = stage(owned.join(wanted, "key", "left_semi").distinct(), "owned")
     both = quotes.withColumn("own", F.lit(None).cast("long")).unionByName(
         owned.select("conv_id", "turn", "key", F.col("turn").cast("long").alias("own")), allowMissingColumns=True
     )
     # Quotes of a turn come before what that turn says itself.
     order = ["turn", F.col("rank").isNull()]
-    near = prefix_max(stage(both, "said"), ["conv_id", "key"], order, "own", "near").where("rank is not null")
-    anywhere = owned.groupBy("key").agg(F.min(F.struct("conv_id", "turn")).alias("far"))
-    found = near.join(anywhere, "key")
-    here = F.col("near").isNotNull()
-    elsewhere = F.struct("conv_id", "turn") > F.col("far")
-    rank = F.struct((~here).cast("int").alias("away"), "rank")
-    target = F.when(here, F.struct(F.col("conv_id").alias("to_conv"), F.col("near").alias("to_turn"))).when(
-        elsewhere, F.struct(F.col("far.conv_id").alias("to_conv"), F.col("far.turn").cast("long").alias("to_turn")))
-    best = found.withColumn("t", target).where("t is not null").groupBy(*MESSAGE, "passage", "level").agg(
-        F.min(F.struct(rank.alias("r"), "t")).alias("b")
+    near = stage(prefix_max(stage(both, "said"), ["conv_id", "key"], order, "own", "near").where("rank is not null"), "near")
+    here = near.where("near is not null").select(
+        *MESSAGE, "passage", "level", "rank", F.lit(0).alias("away"), F.col("conv_id").alias("to_conv"), F.col("near").alias("to_turn")
+    )
+    sought = near.where((F.col("near").isNull()) & (F.col("words") >= MIN_WORDS))
+    other = F.when(~F.col("far.conv_id").eqNullSafe(F.col("conv_id")), F.col("far")).otherwise(F.col("next_far"))
+    away = sought.join(far_holders(owned), "key").withColumn("t", other).where("t is not null").select(
+        *MESSAGE, "passage", "level", "rank", F.lit(1).alias("away"), F.col("t.conv_id").alias("to_conv"), F.col("t.turn").cast("long").alias("to_turn")
     )
-    return best.select(*MESSAGE, "passage", "level", "b.t.to_conv", "b.t.to_turn")
+    best = here.unionByName(away).groupBy(*MESSAGE, "passage", "level").agg(F.min(F.struct("away", "rank", "to_conv", "to_turn")).alias("b"))
+    return best.select(*MESSAGE, "passage", "level", "b.to_conv", "b.to_turn")
 
 
 def thread_depths(links: DataFrame) -> DataFrame:
@@ -123,8 +145,9 @@ def format_chats(messages: DataFrame) -> DataFrame:
     chosen = links.groupBy(*MESSAGE).agg(
         F.count(F.lit(1)).alias("n_linked"), F.min(F.struct("level", "passage", "to_conv", "to_turn")).alias("b")
     )
-    chosen = stage(counted.join(chosen, list(MESSAGE), "left").select(
-        *[F.col(c).alias(f"_{c}") for c in MESSAGE], "n_quoted", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"),
+    counted = counted.select(*[F.col(c).alias(f"_{c}") for c in MESSAGE], "n_quoted")
+    chosen = stage(counted.join(chosen, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in MESSAGE], "left").select(
+        *[f"_{c}" for c in MESSAGE], "n_quoted", F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"),
         F.col("b.to_conv").alias("reply_to_conv"), F.col("b.to_turn").alias("reply_to_turn"),
     ), "chosen")
     inside = chosen.where(F.col("reply_to_conv") == F.col("_conv_id")).groupBy("_conv_id", "_turn").agg(F.max("reply_to_turn").alias("up"))
