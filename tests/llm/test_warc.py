@@ -3,6 +3,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import warc as R
 
@@ -63,3 +64,14 @@ def test_look_up_reads_only_what_is_asked(spark):
 
 def test_empty(spark):
     assert R.archive_round_trip(frame(spark, [])).count() == 0
+
+
+def test_stretches_of_one_archive_go_to_several_tasks(spark, monkeypatch):
+    rows = [(i, f"http://a.ex/{i}", f"{i} " * 400) for i in range(3000)]
+    df = spark.createDataFrame([(*r, "s", "f", 1) for r in rows], "page_id long, url string, html string, sha string, first string, id int")
+    root = R.archive_root(spark)
+    captures = R.write_archives(df.coalesce(1), root)
+    monkeypatch.setattr(R, "STRETCH_BYTES", 50_000)
+    read = R.read_records(captures, root)
+    held = read.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in held) == 3000 and len(held) > 4

@@ -21,13 +21,14 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tickloom.llm.common import with_row_key
 from tickloom.llm.langid import host_of
 from tickloom.session import shared_root, stage
 
 #: Index lines of a block, bytes at which an archive is closed, and the least payload that is not written twice.
 BLOCK_LINES, ARCHIVE_BYTES, MIN_REVISIT_BYTES = 1000, 256 << 20, 0
-#: Bytes of neighbouring records that are read at once.
-READ_BYTES = 8 << 20
+#: Bytes of neighbouring records that are read at once, and of a stretch of an archive that one task reads.
+READ_BYTES, STRETCH_BYTES = 8 << 20, 32 << 20
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -84,9 +85,13 @@ def write_archives(pages: DataFrame, root: str, min_revisit_bytes: int = MIN_REV
     attempt of a task, and only those of the attempt that counts are among the captures.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", surt(F.col("url")).alias("key"), payload.alias("payload"), F.sha1(payload).alias("sha"))
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first")).withColumnRenamed("sha", "_sha")
-    met = rows.join(firsts, F.col("sha") == F.col("_sha"))
+    keyed, keys = with_row_key(pages.select("page_id", "url", "html"), "_row")
+    # Which rows share a payload is settled on narrow rows; payloads move once, under the key of their own row.
+    narrow = stage(keyed.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("page_id").cast("long").alias("id"), F.sha1(payload).alias("sha")), "digests")
+    firsts = narrow.groupBy("sha").agg(F.min("id").alias("first"))
+    marks = narrow.join(firsts, "sha")
+    met = keyed.join(marks, [F.col(k) == F.col(f"k{i}") for i, k in enumerate(keys)])
+    met = met.select(F.col("id").alias("page_id"), "url", surt(F.col("url")).alias("key"), "sha", payload.alias("payload"), "first")
     again = ~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= min_revisit_bytes)
     met = met.select("page_id", "url", "key", "sha", F.octet_length("payload").cast("long").alias("size"), F.when(~again, F.col("payload")).alias("payload"), "first")
 
@@ -213,6 +218,8 @@ def look_up(keys: DataFrame, shards: DataFrame, root: str) -> DataFrame:
 def read_records(captures: DataFrame, root: str) -> DataFrame:
     """The records of ``captures``, read by ranges in the order of the archives and checked.
 
+    Tasks are numbered by the bytes of the records, not by the captures, which are narrow: each takes stretches of
+    archives of STRETCH_BYTES. ``captures`` is stored, as it is read for its sum first.
     ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``, ``refers_to`` and
     ``payload`` (null for a revisit). A payload that does not fit its digest raises.
     """
@@ -245,7 +252,11 @@ def read_records(captures: DataFrame, root: str) -> DataFrame:
                     ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
                 )
 
-    placed = captures.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    places = stage(captures.select("file", "offset", "length"), "places")
+    total = places.agg(F.sum("length")).first()[0] or 0
+    tasks = max(places.sparkSession.sparkContext.defaultParallelism, -(-total // STRETCH_BYTES))
+    stretch = F.floor(F.col("offset") / F.lit(STRETCH_BYTES))
+    placed = places.repartition(tasks, "file", stretch).sortWithinPartitions("file", "offset")
     return placed.mapInArrow(
         run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     )
