@@ -39,29 +39,51 @@ def test_edited_texts_and_likeness(spark):
 
 
 def closed(data, k=S.K, s=S.S):
+    """First place of each closed syncmer's 32-bit hash."""
     import xxhash
 
     def h(x):
         v = xxhash.xxh64_intdigest(x, 42)
         return v - (1 << 64) if v >> 63 else v
 
-    inner = [h(data[i : i + s]) for i in range(len(data) - s + 1)]
-    w = k - s + 1
-    out = set()
-    for i in range(len(inner) - w + 1):
-        part = inner[i : i + w]
-        if min(part[0], part[-1]) <= min(part[1:-1]):
-            seed = xxhash.xxh64_intdigest(part[0].to_bytes(8, "little", signed=True), 42)
-            out.add(xxhash.xxh64_intdigest(part[-1].to_bytes(8, "little", signed=True), seed) & 0xFFFFFFFF)
-    return out or {h(data) & 0xFFFFFFFF}
+    out = {}
+    for i in range(len(data) - k + 1):
+        inner = [h(data[j : j + s]) for j in range(i, i + k - s + 1)]
+        if min(inner[0], inner[-1]) <= min(inner[1:-1]):
+            seed = xxhash.xxh64_intdigest(inner[0].to_bytes(8, "little", signed=True), 42)
+            out.setdefault(xxhash.xxh64_intdigest(inner[-1].to_bytes(8, "little", signed=True), seed) & 0xFFFFFFFF, i)
+    return out or {h(data) & 0xFFFFFFFF: 0}
 
 
 def test_anchors_match_the_definition_across_parts(spark):
-    texts = [words(1, 300), words(2, 30), "ab" * 100, "a" * 50, "x" * S.K]
+    texts = [words(1, 300), words(2, 30), "ab" * 100, "a" * 50, "x" * S.K, words(3, 40) + words(1, 40) + words(3, 40)]
     df = frame(spark, list(enumerate(texts))).select("doc_id", S.as_text(S.fingerprint(F.col("text"), part=100)).alias("f"))
     for r in df.collect():
-        want = sorted(closed(texts[r["doc_id"]].encode()))[: S.SKETCH]
-        assert r["f"] == "".join(f"{v:08x}" for v in want)
+        want = sorted(closed(texts[r["doc_id"]].encode()).items())[: S.SKETCH]
+        assert r["f"] == "".join(f"{(v << 31) | place:016x}" for v, place in want)
+
+
+def ordered(a, b):
+    """Longest common order of shared anchors over the anchors of either, from all anchors, by a plain table."""
+    x, y = closed(a.encode()), closed(b.encode())
+    places = [y[h] for h in sorted(x.keys() & y.keys(), key=x.get)]
+    best = []
+    for i, p in enumerate(places):
+        best.append(1 + max((best[j] for j in range(i) if places[j] < p), default=0))
+    return max(best, default=0) / len(x.keys() | y.keys())
+
+
+def test_likeness_is_by_position(spark):
+    a, b, c = words(11, 150), words(12, 150), words(13, 150)
+    pairs = [(a + b, b + a), (a + b, a + "wedge " + b), (a + b + c, c + b + a), (a + b, a + c), (a, c), (a, a), ("a" * 40, "-" * 40),
+             ("a" * 40, "a" * 60), (words(14, 12), words(14, 13)), ("zq93kfmPq!xx", "zq93kfmPq!xy"), ("", ""), ("", "x")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i long, a string, b string")
+    for size, slack in ((100_000, 1e-12), (S.SKETCH, 0.2)):
+        prints = [S.fingerprint(F.col(x), size=size) for x in "ab"]
+        got = {r["i"]: r["l"] for r in df.select("i", S.likeness(*prints, size=size).alias("l")).collect()}
+        for i, (x, y) in enumerate(pairs):
+            assert abs(got[i] - ordered(x, y)) <= slack
+    assert 0.35 < got[0] < 0.65 and got[1] > 0.9 and got[2] < 0.5 and got[5] == 1.0 and got[6] == 0.0
 
 
 def test_odd_rows(spark):

@@ -2,8 +2,9 @@
 
 A k-mer of the text's UTF-8 bytes is chosen if the smallest hash among its inner s-mers is that of
 its first or its last one. Whether it is chosen depends on the k-mer alone, so equal passages give equal
-anchors wherever they stand. The fingerprint is the set of smallest hashes of the chosen k-mers,
-from which the Jaccard similarity of two texts' anchors is estimated.
+anchors wherever they stand. The fingerprint is the set of smallest hashes of the chosen k-mers, each with
+the place of its first occurrence. Two texts are matched by position: of the anchors that both have, the longest run of
+them that stands in the same order in both counts, as a share of the anchors of either.
 """
 
 from __future__ import annotations
@@ -18,10 +19,21 @@ from tickloom.session import stage
 K, S, SKETCH = 12, 8, 64
 #: Bytes of a text that are looked at as one array; parts overlap by K - 1 and are merged.
 PART = 8192
+#: An anchor is one long: 32 bits of its hash over as many of its place in bytes.
+_PLACE_BITS = 31
+_PLACE = (1 << _PLACE_BITS) - 1
 
 
-def _anchors(part: Column, k: int, s: int) -> Column:
-    """Hashes of the closed syncmers of a binary variable (longs)."""
+def _anchor(hash_: Column, place: Column) -> Column:
+    return F.shiftleft(hash_.bitwiseAND(0xFFFFFFFF), _PLACE_BITS).bitwiseOR(place.cast("long"))
+
+
+def _hash(anchor: Column) -> Column:
+    return F.shiftright(anchor, _PLACE_BITS)
+
+
+def _anchors(part: Column, start: Column, k: int, s: int) -> Column:
+    """The closed syncmers of a binary variable that begins at byte ``start`` of its text."""
     inner = k - s + 1
     places = F.sequence(F.lit(1), F.octet_length(part) - (s - 1))
     hashes = F.transform(places, lambda i: F.xxhash64(F.substring(part, i, F.lit(s))))
@@ -32,55 +44,80 @@ def _anchors(part: Column, k: int, s: int) -> Column:
             between = [F.get(h, i + j) for j in range(1, inner - 1)]
             # The two inner strings cover the k-mer, so their hashes in this order stand for it.
             # Beyond the last k-mer there is no last one; hashes and least values would pass over the null.
-            return F.when(last.isNotNull() & (F.least(first, last) <= F.least(*between)), F.xxhash64(first, last))
+            return F.when(last.isNotNull() & (F.least(first, last) <= F.least(*between)), _anchor(F.xxhash64(first, last), start + i))
 
         return F.array_compact(F.transform(h, key))
 
     return let(hashes, chosen)
 
 
-def _as_int(x: Column) -> Column:
-    """The low 32 bits, as an int in their order."""
-    return (x.bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int")
+def _smallest(anchors: Column, size: int) -> Column:
+    """The ``size`` smallest hashes, ascending, each at its first place."""
+    first = lambda a: F.filter(a, lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(a, i - 1))))
+    return F.slice(let(F.array_sort(anchors), first), 1, size)
 
 
 def fingerprint(text: Column, k: int = K, s: int = S, size: int = SKETCH, part: int = PART) -> Column:
-    """The ``size`` smallest 32-bit hashes of the text's closed syncmers, ascending (array of int).
+    """The ``size`` smallest anchors of the text, ascending (array of long: 32 bits of hash, 31 of place).
 
     A text shorter than k bytes, or without a closed syncmer, is its own only anchor; null counts as empty. Long texts are taken
-    in overlapping parts, each reduced to its smallest hashes before they are merged.
+    in overlapping parts, each reduced to its smallest anchors before they are merged.
     """
 
-    def smallest(keys: Column) -> Column:
-        return F.slice(F.array_sort(F.array_distinct(F.transform(keys, _as_int))), 1, size)
-
     def low(keys: Column) -> Column:
         """The smallest of many: sorts only those under a bound that leaves about four times as many as are kept."""
         bound = F.lit(4.0 * size * (1 << 32)) / F.greatest(F.size(keys), F.lit(1))
-        few = F.filter(keys, lambda x: x.bitwiseAND(0xFFFFFFFF) < bound.cast("long"))
-        return let(smallest(few), lambda f: F.when(F.size(f) == size, f).otherwise(smallest(keys)))
-
+        few = F.filter(keys, lambda x: _hash(x) < bound.cast("long"))
+        return let(_smallest(few, size), lambda f: F.when(F.size(f) == size, f).otherwise(_smallest(keys, size)))
 
     def whole(data: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.floor((F.octet_length(data) - k) / F.lit(part)).cast("int"))
-        parts = F.transform(starts, lambda j: F.substring(data, j * part + 1, F.lit(part + k - 1)))
-        kept = F.flatten(F.transform(parts, lambda p: let(_anchors(p, k, s), low)))
-        merged = F.slice(F.array_sort(F.array_distinct(kept)), 1, size)
-        alone = F.array(_as_int(F.xxhash64(data)))
-        return F.when(F.octet_length(data) < k, alone).otherwise(let(merged, lambda m: F.when(F.size(m) == 0, alone).otherwise(m)))
+        starts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(data) - k) / F.lit(part)).cast("int")), lambda j: j * part)
+        kept = F.flatten(F.transform(starts, lambda at: let(_anchors(F.substring(data, at + 1, F.lit(part + k - 1)), at, k, s), low)))
+        alone = F.array(_anchor(F.xxhash64(data), F.lit(0)))
+        return F.when(F.octet_length(data) < k, alone).otherwise(let(_smallest(kept, size), lambda m: F.when(F.size(m) == 0, alone).otherwise(m)))
 
     return let(text_or_empty(text).cast("binary"), whole)
 
 
 def as_text(fp: Column) -> Column:
-    return F.lower(F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x.cast("long") + (1 << 31)), 8, "0")), ""))
+    """16 hex digits per anchor."""
+    return F.lower(F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+def _longest_rise(places: Column) -> Column:
+    """Length of the longest rising subsequence: smallest ends of the rising runs of each length, kept element by element."""
+
+    def put(ends: Column, x: Column) -> Column:
+        below = F.filter(ends, lambda e: e < x)
+        return let(below, lambda b: F.concat(b, F.array(x), F.slice(ends, F.size(b) + 2, F.greatest(F.size(ends), F.lit(1)))))
+
+    return F.size(F.aggregate(places, F.array().cast("array<bigint>"), put))
 
 
 def likeness(a: Column, b: Column, size: int = SKETCH) -> Column:
-    """Estimated Jaccard similarity: the part of the smallest hashes of both that both have."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, size)
-    shared = F.size(F.array_intersect(F.array_intersect(both, a), b))
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared.cast("double") / F.size(both))
+    """The part of the smallest hashes of either text that both have in the same order (0 to 1)."""
+
+    def matched(hashes_a: Column, hashes_b: Column) -> Column:
+        both = F.slice(F.array_sort(F.array_union(hashes_a, hashes_b)), 1, size)
+        return let(both, lambda u: let(F.array_intersect(F.array_intersect(u, hashes_a), hashes_b), lambda shared: ordered(shared) / F.size(u)))
+
+    def ordered(shared: Column) -> Column:
+        # Both are ascending by hash, so those of the shared hashes stand beside each other.
+        held = lambda fp: F.transform(F.filter(fp, lambda x: F.array_contains(shared, _hash(x))), lambda x: x.bitwiseAND(_PLACE))
+        pairs = F.zip_with(held(a), held(b), lambda x, y: F.shiftleft(x, _PLACE_BITS).bitwiseOR(y))
+        return _longest_rise(F.transform(F.array_sort(pairs), lambda x: x.bitwiseAND(_PLACE))).cast("double")
+
+    hashes = lambda fp: F.transform(fp, _hash)
+    return let(hashes(a), lambda x: let(hashes(b), lambda y: matched(x, y)))
+
+
+def _same(id_: str, hash_: str, out: str) -> list[Column]:
+    """Columns that identify a document, a null id included. Equality of them joins and groups by one partitioning."""
+    return [F.coalesce(F.col(id_), F.lit(0)).alias(f"{out}0"), F.col(id_).isNull().alias(f"{out}1"), F.col(hash_).alias(f"{out}2")]
+
+
+def _equal(a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}{i}") == F.col(f"{b}{i}") for i in range(3)]
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
@@ -91,6 +128,7 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     is shuffled once under its own id and its head once under the id before.
     """
     own = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("hash"), text_or_empty("text").alias("text"))
+    own = own.select("*", *_same("doc_id", "hash", "o"))
     ids = own.groupBy("doc_id", "hash").agg(F.max(F.char_length("text")).alias("n"))
     order = stage(number_rows(stage(ids, "ids"), [], ["doc_id", "hash"], out="at"), "order")
     total = order.count()
@@ -98,12 +136,11 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         F.pmod(F.col("at") + 1, F.lit(max(total, 1))).alias("at"), F.col("doc_id").alias("p_id"), F.col("hash").alias("p_hash"),
         F.floor(F.col("n") / 2).cast("int").alias("take"),
     )
-    links = order.join(before, "at").select(F.col("doc_id").alias("k_id"), F.col("hash").alias("k_hash"), "p_id", "p_hash", "take")
-    heads = own.join(links, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("hash") == F.col("k_hash")))
-    heads = heads.groupBy("p_id", "p_hash").agg(
+    links = order.join(before, "at").select(*_same("doc_id", "hash", "k"), *_same("p_id", "p_hash", "p"), "take")
+    heads = own.join(links, _equal("o", "k")).groupBy("p0", "p1", "p2").agg(
         F.first(F.left("text", "take")).alias("head"), F.first("doc_id").alias("next_id"), F.first("hash").alias("next_hash")
     )
-    joined = own.join(heads, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("hash") == F.col("p_hash")))
+    joined = own.join(heads, _equal("o", "p"))
     n = F.char_length("text")
     edited = F.concat(F.left("text", n - F.floor(n / 2).cast("int")), F.col("head"))
     return joined.select("doc_id", "hash", "text", edited.alias("edited"), "next_id", "next_hash")
@@ -115,7 +152,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     Columns: ``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint`` and
     ``edited_fingerprint`` (hex), ``near_edited`` and ``near_next`` (the next document's).
 
-    Null texts count as empty; two empty texts are alike (1). Texts shorter than a k-mer are alike
+    Likeness is by position: a text with its halves swapped is about half like itself. Null texts count as empty; two
+    empty texts are alike (1). Texts shorter than a k-mer are alike
     only if equal. Rows that share id and text are one document in the order and each get its
     result; rows that share only the id follow each other by a hash of the text. With a single document the next
     is itself. An empty table gives an empty result, and other columns are ignored.
@@ -125,8 +163,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         "doc_id", "hash", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("fp2"), "next_id", "next_hash",
     ), "fingerprints")
-    after = rows.select(F.col("doc_id").alias("n_id"), F.col("hash").alias("n_hash"), F.col("fp").alias("n_fp")).dropDuplicates(["n_id", "n_hash"])
-    met = rows.join(after, F.col("next_id").eqNullSafe(F.col("n_id")) & (F.col("next_hash") == F.col("n_hash")))
+    after = rows.select(*_same("doc_id", "hash", "a"), F.col("fp").alias("n_fp")).dropDuplicates(["a0", "a1", "a2"])
+    met = rows.select("*", *_same("next_id", "next_hash", "x")).join(after, _equal("x", "a"))
     return met.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("fp2")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("fp2")).alias("near_edited"), likeness(F.col("fp"), F.col("n_fp")).alias("near_next"),
