@@ -72,7 +72,8 @@ def fingerprint(text: Column, k: int = K, s: int = S, size: int = SKETCH, part:
 
     def whole(data: Column) -> Column:
         starts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(data) - k) / F.lit(part)).cast("int")), lambda j: j * part)
-        kept = F.flatten(F.transform(starts, lambda at: let(_anchors(F.substring(data, at + 1, F.lit(part + k - 1)), at, k, s), low)))
+        cut = lambda at: F.substring(data, at + 1, F.lit(part + k - 1))
+        kept = F.flatten(F.transform(starts, lambda at: let(cut(at), lambda p: let(_anchors(p, at, k, s), low))))
         alone = F.array(_anchor(F.xxhash64(data), F.lit(0)))
         return F.when(F.octet_length(data) < k, alone).otherwise(let(_smallest(kept, size), lambda m: F.when(F.size(m) == 0, alone).otherwise(m)))
 
