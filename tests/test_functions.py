@@ -208,3 +208,29 @@ def test_bar_files_by_ticker_in_one_write(spark, tmp_path):
     back = source.read_bars_csv(spark, f"{tmp_path}/files")
     assert {(r.ticker, r.bar_ts, r.close, r.volume) for r in back.collect()} == {(f"NSE:{t}", at, c, v) for t, at, _, _, _, c, v in rows}
     assert len(list((tmp_path / "files" / "ticker=HOT").glob("*.csv"))) == 3
+
+
+def test_supplier_tickers_without_the_formatter(spark):
+    from tickloom.driver_tables import supplier_ticker
+
+    df = spark.createDataFrame([(n,) for n in (0, 7, 123456, 999_999, 1_000_000, 12_345_678, -5, None)], "n long")
+    got = df.select(supplier_ticker("n").alias("a"), F.format_string("S%06d", "n").alias("b"))
+    assert all(r.a == r.b for r in got.collect())
+    plan = df.groupBy("n").count().select(supplier_ticker("n"))._jdf.queryExecution().executedPlan().toString()
+    assert "lpad" in plan
+
+
+def test_rounded_is_round(spark):
+    from tickloom.catalog import rounded
+
+    import random
+
+    r = random.Random(4)
+    values = [0.0, -0.0, 0.5, 1.0005, 2.675, -2.675, 0.0005, 1e-9, 999999.9995, 1e12 + 0.5, -1e300, float("inf"), float("-inf"), float("nan"), None]
+    values += [r.gauss(0, 10 ** r.randrange(-6, 10)) for _ in range(20000)]
+    values += [k / 2000 for k in range(-4001, 4001)] + [(2 * k + 1) / 2e6 for k in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 3, 4, 6):
+        x = F.col("x") + F.signum("x") * 1e-9
+        same = (rounded(x, digits) + F.lit(0.0)).eqNullSafe(F.round(x, digits) + F.lit(0.0))
+        assert df.where(~same).count() == 0

@@ -136,3 +136,20 @@ def test_plan_shuffles_by_day_and_slice_only(spark, bars):
     plan = ind.compute_indicators(stage(bars, "plan"))._jdf.queryExecution().executedPlan().toString()
     alone = [line for line in plan.splitlines() if "Exchange hashpartitioning(ticker" in line and "_blk" not in line and "_day" not in line]
     assert len(alone) == 1
+
+
+def test_short_series_take_one_shuffle(spark, bars):
+    """Series that fit in a slice: one exchange of the rows, and the columns that slices give."""
+    from tickloom.session import stage
+
+    rows = stage(bars, "short-series")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    short, long = ind.compute_indicators(rows), ind.compute_indicators(rows, size=1000)
+    assert exchanges(short) == 1 and exchanges(long) > 1
+    assert exchanges(ind.rsi(rows)) == 1
+    got, want = (df.orderBy("ticker", "bar_ts").toPandas() for df in (short, long))
+    assert sorted(got.columns) == sorted(want.columns)
+    pd.testing.assert_frame_equal(got[list(want.columns)], want, rtol=1e-9, atol=1e-9)
+    broken = rows.withColumn("close", F.when(F.minute("bar_ts") != 30, F.col("close"))).withColumn("ticker", F.when(F.col("ticker") != "NSE:B", F.col("ticker")))
+    got, want = (df.select(*short.columns).orderBy(*bars.columns).toPandas() for df in (ind.compute_indicators(broken), ind.compute_indicators(broken, size=1000)))
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-9)

@@ -40,6 +40,19 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``round(x, digits)``, by whole numbers where these decide it.
+
+    Spark rounds a double by its decimal digits, which takes longer than most indicators. The scaled number is off by
+    less than 0.001 below 1e12, so unless it is that near to a tie, the next whole number is the same, and its quotient
+    by a power of ten is the double nearest to that decimal.
+    """
+    power = F.lit(float(10**digits))
+    scaled = x * power
+    clear = (F.abs(scaled) < 1e12) & (F.abs(scaled - F.rint(scaled)) < 0.499)
+    return F.when(clear, F.rint(scaled) / power).otherwise(F.round(x, digits))
+
+
 def shown(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     """Comparable output: doubles rounded, times as text, integers as BIGINT.
 
@@ -49,7 +62,7 @@ def shown(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     for f in df.select(*columns).schema if columns else df.schema:
         c = F.col(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c + F.signum(c) * 1e-9, digits) + F.lit(0.0)
+            c = rounded(c + F.signum(c) * 1e-9, digits) + F.lit(0.0)
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
         elif isinstance(f.dataType, T.DateType):

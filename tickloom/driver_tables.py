@@ -46,16 +46,23 @@ def gappy_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(bars(spark, sf_dir).withColumn("close", close), "gappy-bars")
 
 
+def supplier_ticker(number: str) -> Column:
+    """S and the number in six digits or more; the formatter is called only for numbers that need it."""
+    n = F.col(number)
+    padded = F.concat(F.lit("S"), F.lpad(n.cast("string"), 6, "0"))
+    return F.when(n.between(0, 999_999), padded).otherwise(F.format_string("S%06d", n))
+
+
 def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars per supplier from ``lineitem``: unit prices, and the previous close as open.
 
-    Only order-free aggregates are used, as several lines share a day.
+    Only order-free aggregates are used, as several lines share a day. Tickers are made of the grouped numbers.
     """
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     daily = (
         table(spark, sf_dir, "lineitem")
         .groupBy(
-            F.format_string("S%06d", "l_suppkey").alias("ticker"),
+            "l_suppkey",
             F.date_trunc("day", F.col("l_shipdate").cast("timestamp")).alias("bar_ts"),
         )
         .agg(
@@ -64,7 +71,7 @@ def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.min(unit).alias("low"),
             F.sum("l_quantity").cast("long").alias("volume"),
         )
-        .withColumn("open", F.col("close"))
+        .select(supplier_ticker("l_suppkey").alias("ticker"), "bar_ts", "close", "high", "low", "volume", F.col("close").alias("open"))
     )
     return stage(daily, "supplier-bars")
 

@@ -3,7 +3,8 @@
 Every function takes bars (ticker, bar_ts, open, high, low, close, volume) and returns them with
 ``series_idx``, ``series_len`` and the indicator columns. All windows of one call run on the same
 slices (see ``plans.blocks``): one shuffle by day for the positions and the session VWAP, one by
-slice for everything else, for any number of indicators.
+slice for everything else, for any number of indicators. Where every series fits in one slice, one shuffle
+by series does for all; the rows are counted first, so bars that are expensive to compute should be staged.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tickloom.plans.blocks import (
-    BLOCK_ROWS, SeriesBlocks, block_size, forget_rows, index_series, real, replace_columns, trailing, usable, with_day,
+    BLOCK_ROWS, SeriesBlocks, block_size, fits_slice, forget_rows, index_series, index_whole, positioned, real, replace_columns,
+    trailing, usable, with_day,
 )
 from tickloom.plans.recurrence import long_average
 from tickloom.schema import INDICATOR_COLUMNS, MIN_HISTORY_ROWS
@@ -184,7 +186,10 @@ def indicator_blocks(bars: DataFrame, extra_back: int = 0, ahead: int = 0,
     back = INDICATOR_BACK + extra_back
     size = size or block_size(_ALPHAS, back, max(SMA_LENGTHS))
     good = usable(bars, "ticker", "bar_ts", *PRICES)
-    b = SeriesBlocks(index_series(add_vwap(bars.filter(good))), back=back, ahead=ahead, size=size)
+    rows = bars.filter(good)
+    whole = not positioned(bars) and fits_slice(rows, size)
+    rows = add_vwap(index_whole(rows)) if whole else index_series(add_vwap(rows))
+    b = SeriesBlocks(rows, back=back, ahead=ahead, size=size, whole=whole)
     b.rest = bars.filter(~good)
     b.add(_pc=b.over(_PREV)).add(true_range=_TRUE_RANGE)
     b.add(

@@ -3,7 +3,9 @@
 A series may hold a large share of all rows, so nothing here sorts a whole series in one task.
 Positions come from two levels (rank inside a day, plus the counts of earlier days: one row per
 series and calendar day). Window work then runs on slices of a fixed number of rows, each
-carrying as many rows of its neighbours as the windows look back or ahead.
+carrying as many rows of its neighbours as the windows look back or ahead. Where no series is longer
+than one slice, as a count of the rows tells, each series is its own slice: one shuffle by series then does for
+positions and windows.
 """
 
 from __future__ import annotations
@@ -73,6 +75,29 @@ def _index_placed(df: DataFrame, key: str, ts: str) -> DataFrame:
     )
 
 
+def positioned(df: DataFrame) -> bool:
+    return {"series_idx", "series_len"} <= set(df.columns)
+
+
+def fits_slice(df: DataFrame, size: int, key: str = "ticker") -> bool:
+    """Whether no series of ``df`` has more than ``size`` rows. Counts them, so ``df`` is read for it."""
+    longest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    return (longest or 0) <= size
+
+
+def index_whole(df: DataFrame, key: str = "ticker", ts: str = "bar_ts") -> DataFrame:
+    """Positions as :func:`index_series` adds them, for short series: each is sorted in one task. Keeps ``_day``.
+
+    Rows without key or time must be set aside. Later windows by series and day find the rows laid out and sorted.
+    """
+    series = W.partitionBy(key).orderBy("_day", ts)
+    everything = series.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return with_day(df, ts).withColumns({
+        "series_idx": F.row_number().over(series).cast("long") - 1,
+        "series_len": F.count(F.lit(1)).over(everything),
+    })
+
+
 def forget_rows(alpha: float) -> int:
     """Rows after which the starting value of a recursive average no longer matters."""
     return 1 if alpha >= 1 else math.ceil(_FORGET_LOGS / -math.log1p(-alpha))
@@ -125,27 +150,38 @@ class SeriesBlocks:
         key: str = "ticker",
         ts: str = "bar_ts",
         needs: Sequence[str] = (),
+        whole: bool = False,
     ):
         """Rows with null or NaN in key, time or ``needs`` take no part: positions, averages and
-        frames skip them, and :meth:`own` returns them with nulls in all added columns."""
+        frames skip them, and :meth:`own` returns them with nulls in all added columns. ``whole``: positions are
+        given by :func:`index_whole` and no series is longer than a slice."""
         if size <= 0 or back < 0 or ahead < 0:
             raise ValueError("block sizes must be positive")
         self.size, self.back, self.ahead, self.key = size, back, ahead, key
         first = f"greatest(series_idx - {ahead}, 0) DIV {size}"
         last = f"least(series_idx + {back}, series_len - 1) DIV {size}"
         self.rest: DataFrame | None = None
-        if {"series_idx", "series_len"} <= set(df.columns):
+        self.order = f"`{key}`, _blk ORDER BY series_idx"
+        if positioned(df) and not whole:
             # Positions given by the caller; rows without one were set aside before.
             placed, self.rest = df.drop("_day").filter("series_idx IS NOT NULL"), df.drop("_day").filter("series_idx IS NULL")
-        else:
+        elif not whole:
             good = usable(df, key, ts, *needs)
             self.rest = df.filter(~good).drop("_day")
-            placed = _index_placed(df.filter(good), key, ts)
+            df = df.filter(good)
+            whole = fits_slice(df, size, key)
+            placed = index_whole(df, key, ts) if whole else _index_placed(df, key, ts)
+        else:
+            placed = df
+        if whole:
+            self.df = placed.withColumn("_blk", F.lit(0).cast("long"))
+            self.order = f"`{key}` ORDER BY _day, `{ts}`"
+            return
         # The slices that want a row: its own, and neighbours that look back or ahead to it.
         self.df = placed.selectExpr("*", f"explode(sequence({first}, {last})) AS _blk")
 
     def over(self, expr: str, frame: str = "") -> str:
-        return f"{expr} OVER (PARTITION BY `{self.key}`, _blk ORDER BY series_idx {frame})"
+        return f"{expr} OVER (PARTITION BY {self.order} {frame})"
 
     def add(self, **columns: str) -> "SeriesBlocks":
         self.df = self.df.selectExpr("*", *[f"{e} AS `{c}`" for c, e in columns.items()])
@@ -153,7 +189,7 @@ class SeriesBlocks:
 
     def own(self, *helpers: str) -> DataFrame:
         """The rows each slice owns, without copies and helper columns, and the rows set aside."""
-        rows = self.df.where(f"series_idx DIV {self.size} = _blk").drop("_blk", *helpers)
+        rows = self.df.where(f"series_idx DIV {self.size} = _blk").drop("_blk", "_day", *helpers)
         return rows if self.rest is None else rows.unionByName(self.rest, allowMissingColumns=True)
 
     def smooth(self, x: str, alpha: float, n: int, first: int = 0, seed: str = "sma") -> str:
