@@ -99,6 +99,29 @@ def test_odd_rows(spark):
     assert one["near_edited"] > 0.4 and one["near_next"] == 1.0
 
 
+def test_one_shuffle_of_the_texts_and_no_stored_fingerprints(spark, tmp_path):
+    """Texts that share a beginning with their edited text: long ones of several parts, some shorter than a k-mer, some without an anchor."""
+    import glob
+
+    from tickloom.session import stage, staged_folder
+
+    texts = [words(1, 4000), words(2, 3), "a" * 40, "x" * S.K, "", words(3, 60), "a" * 9000 + words(4, 900), "é" * 13, words(1, 4000)]
+    df = stage(frame(spark, list(enumerate(texts))), "texts")
+    area = staged_folder(spark, "x").removeprefix("file:").rsplit("/", 1)[0]
+    before = set(glob.glob(f"{area}/fingerprints-*"))
+    done = S.compare_edited(df)
+    done.write.parquet(f"{tmp_path}/out")
+    assert set(glob.glob(f"{area}/fingerprints-*")) == before
+    got = {r["doc_id"]: r for r in done.collect()}
+    plan = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "ReusedExchange" in plan and plan.count("array_except") == 1
+    for i, t in enumerate(texts):
+        after = texts[(i + 1) % len(texts)]
+        one = frame(spark, [(0, t)]).select(S.as_text(S.fingerprint(F.col("text"))).alias("f")).first()["f"]
+        two = frame(spark, [(0, t[: len(t) - len(t) // 2] + after[: len(t) // 2])]).select(S.as_text(S.fingerprint(F.col("text"))).alias("f")).first()["f"]
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (one, two)
+
+
 def test_periodic_and_anchorless_texts_differ(spark):
     import random
 

@@ -57,11 +57,10 @@ def _smallest(anchors: Column, size: int) -> Column:
     return F.slice(let(F.array_sort(anchors), first), 1, size)
 
 
-def fingerprint(text: Column, k: int = K, s: int = S, size: int = SKETCH, part: int = PART) -> Column:
-    """The ``size`` smallest anchors of the text, ascending (array of long: 32 bits of hash, 31 of place).
+def _least(data: Column, start: Column, k: int, s: int, size: int, part: int) -> Column:
+    """The ``size`` smallest anchors of a binary variable that begins at byte ``start`` of its text; none if it is shorter than k.
 
-    A text shorter than k bytes, or without a closed syncmer, is its own only anchor; null counts as empty. Long texts are taken
-    in overlapping parts, each reduced to its smallest anchors before they are merged.
+    Long ones are taken in overlapping parts, each reduced to its smallest anchors before they are merged.
     """
 
     def low(keys: Column) -> Column:
@@ -70,16 +69,67 @@ def fingerprint(text: Column, k: int = K, s: int = S, size: int = SKETCH, part:
         few = F.filter(keys, lambda x: _hash(x) < bound.cast("long"))
         return let(_smallest(few, size), lambda f: F.when(F.size(f) == size, f).otherwise(_smallest(keys, size)))
 
-    def whole(data: Column) -> Column:
-        starts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(data) - k) / F.lit(part)).cast("int")), lambda j: j * part)
-        cut = lambda at: F.substring(data, at + 1, F.lit(part + k - 1))
-        kept = F.flatten(F.transform(starts, lambda at: let(cut(at), lambda p: let(_anchors(p, at, k, s), low))))
-        alone = F.array(_anchor(F.xxhash64(data), F.lit(0)))
-        return F.when(F.octet_length(data) < k, alone).otherwise(let(_smallest(kept, size), lambda m: F.when(F.size(m) == 0, alone).otherwise(m)))
+    starts = F.transform(F.sequence(F.lit(0), F.floor((F.octet_length(data) - k) / F.lit(part)).cast("int")), lambda j: j * part)
+    cut = lambda at: F.substring(data, at + 1, F.lit(part + k - 1))
+    kept = F.flatten(F.transform(starts, lambda at: let(cut(at), lambda p: let(_anchors(p, start + at, k, s), low))))
+    return F.when(F.octet_length(data) < k, F.array().cast("array<bigint>")).otherwise(_smallest(kept, size))
+
+
+def _named(anchors: Column, whole: Column) -> Column:
+    """The anchors, or the hash of the whole text if there are none."""
+    return F.when(F.size(anchors) == 0, F.array(_anchor(whole, F.lit(0)))).otherwise(anchors)
 
+
+def fingerprint(text: Column, k: int = K, s: int = S, size: int = SKETCH, part: int = PART) -> Column:
+    """The ``size`` smallest anchors of the text, ascending (array of long: 32 bits of hash, 31 of place).
+
+    A text shorter than k bytes, or without a closed syncmer, is its own only anchor; null counts as empty.
+    """
+    whole = lambda data: let(_least(data, F.lit(0), k, s, size, part), lambda m: _named(m, F.xxhash64(data)))
     return let(text_or_empty(text).cast("binary"), whole)
 
 
+def _kept_chars(text: Column) -> Column:
+    """The part of a text that its edited text begins with."""
+    n = F.char_length(text)
+    return F.left(text, n - F.floor(n / 2).cast("int"))
+
+
+def _shared(kept: Column) -> Column:
+    """Number of k-mers that begin in the kept part of a text and end there: they are those of the edited text as well."""
+    return F.greatest(F.octet_length(kept) - (K - 1), F.lit(0))
+
+
+def _beyond(text: Column, shared: Column) -> Column:
+    """The smallest anchors of a text's k-mers from the place ``shared`` on."""
+    rest = let(text.cast("binary"), lambda data: F.substring(data, shared + 1, F.octet_length(data)))
+    return let(rest, lambda data: _least(data, shared, K, S, SKETCH, PART))
+
+
+def _marks(text: Column) -> Column:
+    """The smallest anchors of a text (none if it has no closed syncmer), then those of the kept part's smallest that are not among them."""
+
+    def both(kept: Column) -> Column:
+        begin = let(kept.cast("binary"), lambda data: _least(data, F.lit(0), K, S, SKETCH, PART))
+        return let(begin, lambda a: let(_smallest(F.concat(a, _beyond(text, _shared(kept))), SKETCH), lambda m: F.concat(m, F.array_except(a, m))))
+
+    return let(_kept_chars(text), both)
+
+
+def _of_text(marks: Column) -> Column:
+    return F.slice(marks, 1, SKETCH)
+
+
+def _of_edited(marks: Column, kept: Column, edited: Column) -> Column:
+    """The smallest anchors of an edited text: the kept part's are known, those beyond it are looked for."""
+
+    def merged(shared: Column) -> Column:
+        begin = F.filter(marks, lambda x: x.bitwiseAND(_PLACE) < shared)
+        return _smallest(F.concat(begin, _beyond(edited, shared)), SKETCH)
+
+    return let(_shared(kept), merged)
+
+
 def as_text(fp: Column) -> Column:
     """16 hex digits per anchor."""
     return F.lower(F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
@@ -122,15 +172,16 @@ def _equal(a: str, b: str) -> list[Column]:
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """Each text with its edited text: ``doc_id``, ``hash``, ``text``, ``edited``, and the next document's ``next_id``, ``next_hash``.
+    """Each text with its edited text: ``doc_id``, ``hash``, ``text``, ``marks``, ``edited``, and the next document's ``next_hash``, ``next_marks``.
 
     The edited text has the last floor(n / 2) code points replaced by the first as many (or all) of the next document by
     ascending doc_id (null first); the last is followed by the first. Only ids are sorted; a text
-    is shuffled once under its own id and its head once under the id before.
+    is shuffled once under its own id and its head once under the id before, each with the text's smallest anchors. Both joins
+    are merged whatever their size and take the same columns of the texts, so that one shuffle of these serves both.
     """
     own = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("hash"), text_or_empty("text").alias("text"))
-    own = own.select("*", *_same("doc_id", "hash", "o"))
     ids = own.groupBy("doc_id", "hash").agg(F.max(F.char_length("text")).alias("n"))
+    own = own.select("text", _marks(F.col("text")).alias("marks"), *_same("doc_id", "hash", "o"))
     order = stage(number_rows(stage(ids, "ids"), [], ["doc_id", "hash"], out="at"), "order")
     total = order.count()
     before = order.select(
@@ -138,13 +189,13 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
         F.floor(F.col("n") / 2).cast("int").alias("take"),
     )
     links = order.join(before, "at").select(*_same("doc_id", "hash", "k"), *_same("p_id", "p_hash", "p"), "take")
-    heads = own.join(links, _equal("o", "k")).groupBy("p0", "p1", "p2").agg(
-        F.first(F.left("text", "take")).alias("head"), F.first("doc_id").alias("next_id"), F.first("hash").alias("next_hash")
+    heads = own.join(links.hint("merge"), _equal("o", "k")).groupBy("p0", "p1", "p2").agg(
+        F.first(F.left("text", "take")).alias("head"), F.first("o2").alias("next_hash"), F.first(_of_text(F.col("marks"))).alias("next_marks"),
     )
-    joined = own.join(heads, _equal("o", "p"))
-    n = F.char_length("text")
-    edited = F.concat(F.left("text", n - F.floor(n / 2).cast("int")), F.col("head"))
-    return joined.select("doc_id", "hash", "text", edited.alias("edited"), "next_id", "next_hash")
+    joined = own.join(heads.hint("merge"), _equal("o", "p"))
+    edited = F.concat(_kept_chars(F.col("text")), F.col("head"))
+    doc_id = F.when(~F.col("o1"), F.col("o0")).alias("doc_id")
+    return joined.select(doc_id, F.col("o2").alias("hash"), "text", "marks", edited.alias("edited"), "next_hash", "next_marks")
 
 
 def compare_edited(docs: DataFrame) -> DataFrame:
@@ -159,13 +210,13 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     result; rows that share only the id follow each other by a hash of the text. With a single document the next
     is itself. An empty table gives an empty result, and other columns are ignored.
     """
-    pairs = edited_pairs(docs)
-    rows = stage(pairs.select(
-        "doc_id", "hash", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fp"), fingerprint(F.col("edited")).alias("fp2"), "next_id", "next_hash",
-    ), "fingerprints")
-    after = rows.select(*_same("doc_id", "hash", "a"), F.col("fp").alias("n_fp")).dropDuplicates(["a0", "a1", "a2"])
-    met = rows.select("*", *_same("next_id", "next_hash", "x")).join(after, _equal("x", "a"))
+    marks, edited = F.col("marks"), F.col("edited")
+    met = edited_pairs(docs).select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
+        _named(_of_text(marks), F.col("hash")).alias("fp"),
+        let(_of_edited(marks, _kept_chars(F.col("text")), edited), lambda m: _named(m, F.xxhash64(edited))).alias("fp2"),
+        _named(F.col("next_marks"), F.col("next_hash")).alias("n_fp"),
+    )
     return met.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("fp")).alias("fingerprint"), as_text(F.col("fp2")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("fp2")).alias("near_edited"), likeness(F.col("fp"), F.col("n_fp")).alias("near_next"),
